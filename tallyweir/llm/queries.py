@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, tokens
+from . import decontam, langid, linedup, mixing, pii, simhash, tokens
 from .common import table
 
+#: The key of the registered query; a deployment passes its own secret to pseudonymize().
+KEY = "demonstration key"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -19,6 +21,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokens_round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -33,11 +39,24 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data and secrets replaced."""
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), KEY)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, and the numbers of those that an earlier line of the corpus makes redundant."""
+    return linedup.line_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_simhash": op2_simhash,
     "op4_token_output": op4_token_output,
     "op5_language_id": op5_language_id,
     "op7_source_mixing": op7_source_mixing,
+    "op8_surrogates": op8_surrogates,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
