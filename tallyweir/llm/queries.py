@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linedup, mixing, pii, simhash, tokens
+from . import decontam, langid, linedup, mixing, pii, recompression, simhash, suffix, tokens
 from .common import table
 
 #: The key of the registered query; a deployment passes its own secret to pseudonymize().
@@ -25,6 +25,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokens_round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -44,6 +48,10 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"), KEY)
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup_words(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, and the numbers of those that an earlier line of the corpus makes redundant."""
     return linedup.line_counts(table(spark, sf_dir, "documents"))
@@ -52,10 +60,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_output": op4_token_output,
     "op5_language_id": op5_language_id,
     "op7_source_mixing": op7_source_mixing,
     "op8_surrogates": op8_surrogates,
+    "op9_recompression": op9_recompression,
     "op10_line_dedup": op10_line_dedup,
 }
 
