@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linedup, mixing, pii, recompression, simhash, suffix, tokens
+from . import chosenpath, decontam, langid, linedup, mixing, pii, recompression, simhash, suffix, tokens
 from .common import table
 
 #: The key of the registered query; a deployment passes its own secret to pseudonymize().
@@ -39,6 +39,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", langid.held_out()), model, "doc_id", "held_out").drop("accepted")
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents")).drop("th", "first")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_output": op4_token_output,
     "op5_language_id": op5_language_id,
+    "op6_chosen_path": op6_chosen_path,
     "op7_source_mixing": op7_source_mixing,
     "op8_surrogates": op8_surrogates,
     "op9_recompression": op9_recompression,
