@@ -6,10 +6,10 @@ rows that agree in both are copies of one document, so joins on the pair never m
 
 from __future__ import annotations
 
-import os
+import contextlib
 import tempfile
 import uuid
-from urllib.parse import urlparse
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +51,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every scratch table made so far. Call it only when results that read them are written."""
-    while _scratch:
-        target = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables; the list is emptied. Only for tables that no open DataFrame reads."""
+    while paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def scratch_made(into: list[str]) -> Iterator[None]:
+    """Collects the scratch tables made meanwhile."""
+    mark = len(_scratch)
+    try:
+        yield
+    finally:
+        into += _scratch[mark:]
+        del _scratch[mark:]
+
+
 def text_of(column: str = "text") -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -93,6 +104,3 @@ def keep_rows(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataF
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def is_local(path: str) -> bool:
-    return urlparse(path).scheme in ("", "file") and os.path.isabs(urlparse(path).path)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,27 +125,29 @@ def predict(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
     accepted. Repeated rows and null doc_ids are predicted like any other. Only the text decides.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
-    source = docs.select(*carry, F.col("text").alias("__tw_text"))
     names = list(carry)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    source = docs.select(*[F.col(c).alias(f"__tw_{k}") for k, c in enumerate(names)], *[F.col("text").alias("__tw_text")] * ("text" not in names))
+    at_text = names.index("text") if "text" in names else len(names)
+
+    def score(text: str | None, m: Model) -> tuple[str, float, bool]:
+        at = subwords(text) if text and m.languages else ()
+        if not len(at):
+            return UNKNOWN, 0.0, False
+        z = (np.bincount(at, minlength=BUCKETS).astype(np.float32) @ m.logits if len(at) > BUCKETS else m.logits[at].sum(axis=0)) / len(at) / m.temperature
+        p = np.exp(z - z.max())
+        best = min(1.0, float(p.max() / p.sum()))
+        return m.languages[int(z.argmax())], best, best >= m.reject_below
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for pdf in batches:
-            out = []
-            for text in pdf["__tw_text"]:
-                at = subwords(text) if isinstance(text, str) and m.languages else ()
-                if not len(at):
-                    out.append((UNKNOWN, 0.0, False))
-                    continue
-                z = (np.bincount(at, minlength=BUCKETS).astype(np.float32) @ m.logits if len(at) > BUCKETS else m.logits[at].sum(axis=0)) / len(at) / m.temperature
-                p = np.exp(z - z.max())
-                score = float(p.max() / p.sum())
-                out.append((m.languages[int(z.argmax())], min(1.0, score), score >= m.reject_below))
-            got = pd.DataFrame(out, columns=["lang_pred", "score", "accepted"])
-            yield pd.concat([pdf[names].reset_index(drop=True), got], axis=1)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInPandas(run, f"{kinds}{', ' * bool(kinds)}lang_pred string, score double, accepted boolean")
+        for batch in batches:
+            got = [score(t, m) for t in batch.column(at_text).to_pylist()]
+            new = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], names=[f"__tw_{k}" for k in range(len(names))] + ["lang_pred", "score", "accepted"])
+
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema.fields[: len(names)])
+    out = source.mapInArrow(run, f"{kinds}lang_pred string, score double, accepted boolean")
+    return out.select(*[F.col(f"__tw_{k}").alias(c) for k, c in enumerate(names)], "lang_pred", "score", "accepted")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
