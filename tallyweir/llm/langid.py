@@ -58,6 +58,8 @@ def subwords(text: str) -> np.ndarray:
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dims: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 11) -> Model:
     """rows: language, buckets, their shares (summing to 1). Deterministic for given rows."""
     languages = sorted({r[0] for r in rows})
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0, 1.0)
     number = {x: i for i, x in enumerate(languages)}
     rng = np.random.default_rng(seed)
     table, weights = rng.normal(0, 1 / dims, (BUCKETS, dims)), np.zeros((dims, len(languages)))
