@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, keyed, materialize, partitions, same
+from .common import SPACES, keyed, materialize, partitions
 
 SHINGLE = 5
 LANES = 0x0000000100000001
 KEPT = 3
 
 
+
 def votes(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys and fp, the 64-bit fingerprint of each group's text; 0 where there is no term. Equal rows change nothing."""
     words = F.array_remove(F.split(F.col(text), SPACES), "")
@@ -53,20 +54,24 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / 64.0
 
 
-def following(ids: DataFrame) -> DataFrame:
-    """ids with next_id and next_th: what comes next in descending (doc_id, th), null ids last; after the last, the first.
+def ordered(docs: DataFrame) -> DataFrame:
+    """Keyed documents with bucket and rn: ranges of falling doc_id (null last), and the place in each.
 
-    Range partitions are put in order each by a window of its own; a row per partition links them.
+    The range bounds are approximate quantiles, one for each shuffle partition, so a window over a bucket is a partition.
+    Equal ids stand by text hash.
     """
-    order = (F.col("doc_id").desc_nulls_last(), F.col("th").desc())
-    ranged = materialize(ids.repartitionByRange(partitions(ids.sparkSession), *order).withColumn("part", F.spark_partition_id()), "simhash_order")
-    ahead = Window.partitionBy("part").orderBy(*order)
-    own = ranged.withColumn("ahead", F.lead(F.struct("doc_id", "th")).over(ahead))
-    firsts = ranged.groupBy("part").agg(F.max(F.struct("doc_id", "th")).alias("head"))
-    parts = Window.orderBy("part")
-    linked = firsts.select(F.col("part").alias("p"), F.coalesce(F.lead("head").over(parts), F.first("head").over(parts)).alias("then"))
-    out = own.join(linked, own["part"] == linked["p"]).withColumn("ahead", F.coalesce("ahead", "then"))
-    return out.select(*ids.columns, F.col("ahead.doc_id").alias("next_id"), F.col("ahead.th").alias("next_th"))
+    own = keyed(docs)
+    n = partitions(docs.sparkSession)
+    bounds = own.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    above = F.lit(sorted(set(bounds)) or [0]).cast("array<long>")
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(n + 1)).otherwise(F.size(F.filter(above, lambda x: x > F.col("doc_id"))))
+    return own.withColumn("bucket", bucket.cast("int")).withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("th").desc())))
+
+
+def linked(heads: DataFrame) -> DataFrame:
+    """p, then: for each bucket the head of the next bucket, after the last that of the first. A row per bucket."""
+    parts = Window.orderBy("bucket")
+    return heads.select(F.col("bucket").alias("p"), F.coalesce(F.lead("head").over(parts), F.first("head").over(parts)).alias("then"))
 
 
 def near_counts(fingerprints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFrame:
@@ -116,26 +121,30 @@ def edited_likeness(docs: DataFrame, radius: int = 3) -> DataFrame:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near. The next
     document is the next lower doc_id (equal ids by text hash, null ids last; after the last, the first). n_near, for
     doc_ids divisible by 100, counts the other documents within radius bits, else null. Null text: empty. A row
-    for each input row: rows equal in doc_id and text are fingerprinted once and returned as often as they occur.
+    for each input row; rows equal in doc_id and text follow each other.
     """
-    own = keyed(docs)
-    ids = following(own.select("doc_id", "th", F.length("text").cast("long").alias("n_chars")).groupBy("doc_id", "th", "n_chars").agg(F.count("*").alias("copies")))
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    heads = own.join(ids.select(F.col("doc_id").alias("a"), F.col("th").alias("ath"), "next_id", "next_th", third.alias("third")),
-                     own["doc_id"].eqNullSafe(F.col("next_id")) & (own["th"] == F.col("next_th")))
-    heads = heads.select(F.col("a").alias("doc_id"), F.col("ath").alias("th"), F.substring("text", F.lit(1), F.col("third")).alias("head")).groupBy("doc_id", "th").agg(F.max("head").alias("head"))
-    joined = same(own, heads).withColumn("n", F.length("text"))
-    keep = F.col("n") - F.floor(F.col("n") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), keep), "head")
-    kinds = joined.select("doc_id", "th", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t"), F.lit("").alias("sha")), F.struct(F.lit(1).alias("kind"), edited.alias("t"), F.sha2(edited, 256).alias("sha")))).alias("x"))
-    fps = votes(kinds.select("doc_id", "th", "x.kind", "x.sha", F.col("x.t").alias("text")), ["doc_id", "th", "kind", "sha"])
-    both = fps.groupBy("doc_id", "th").agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("efp"), F.max("sha").alias("edited_sha256"))
-    known = materialize(same(ids, both), "simhash_fp")
-    of_next = known.select(F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("fp").alias("nfp"))
-    out = same(known, of_next, keys=("next_id", "next_th"))
-    asked = known.filter("doc_id % 100 = 0")
-    rows = known.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    near = near_counts(rows, asked, radius).withColumnsRenamed({"fp": "qfp"})
-    out = out.join(near, (F.col("fp") == F.col("qfp")) & (F.col("doc_id") % 100 == 0), "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    rows = ordered(docs)
+    inside = Window.partitionBy("bucket").orderBy("rn")
+    firsts = keyed_first(rows)
+    ahead = rows.withColumn("next", F.lead("text").over(inside)).join(linked(firsts), F.col("bucket") == F.col("p"), "left")
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring(F.coalesce("next", "then"), F.lit(1), third))
+    kinds = ahead.select("bucket", "rn", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).select(
+        "bucket", "rn", "doc_id", "n_chars", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t"), F.lit("").alias("sha")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"), F.sha2("edited", 256).alias("sha")))).alias("x"))
+    keys = ["bucket", "rn", "doc_id", "n_chars", "kind", "sha"]
+    fps = votes(kinds.select("bucket", "rn", "doc_id", "n_chars", "x.kind", "x.sha", F.col("x.t").alias("text")), keys)
+    # everything up to here, and this, is grouped by bucket: one shuffle
+    both = fps.groupBy("bucket", "rn", "doc_id", "n_chars").agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("efp"), F.max("sha").alias("edited_sha256"))
+    known = materialize(both, "simhash_fp")
+    heads = known.groupBy("bucket").agg(F.min_by("fp", "rn").alias("head"))
+    out = known.withColumn("nfp", F.lead("fp").over(inside)).join(linked(heads), F.col("bucket") == F.col("p")).withColumn("nfp", F.coalesce("nfp", "then"))
+    near = near_counts(known, known.filter("doc_id % 100 = 0"), radius).withColumnsRenamed({"fp": "qfp"})
+    out = out.join(near, (F.col("fp") == F.col("qfp")) & (F.col("doc_id") % 100 == 0), "left")
     return out.select("doc_id", "n_chars", "edited_sha256", hexed(F.col("fp")).alias("fingerprint"), hexed(F.col("efp")).alias("edited_fingerprint"),
                       likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"), "n_near")
+
+
+def keyed_first(rows: DataFrame) -> DataFrame:
+    """bucket, head: the text that stands first in each bucket."""
+    return rows.groupBy("bucket").agg(F.min_by("text", "rn").alias("head"))
