@@ -102,10 +102,11 @@ def stability(allocations: DataFrame, p: ResearchPolicy = ResearchPolicy()) -> D
     return out.withColumn("region", F.when(F.col("share_stable") >= p.stable_share, "STABLE_REGION").otherwise("UNSTABLE_REGION"))
 
 
-def filter_trace(allocations: DataFrame, p: ResearchPolicy = ResearchPolicy()) -> DataFrame:
+def filter_trace(allocations: DataFrame) -> DataFrame:
     """A row per (split, rule): reason, threshold, observed, evidence_gap."""
-    facts = allocations.groupBy(*RULE, "status", "message").agg(F.max("weight").alias("observed"))
-    return facts.select("split_id", "challenger", F.when(F.col("status") == "OK", "PASS").otherwise(F.concat_ws(":", "status", "message")).alias("reason"), F.lit(p.te_cap).alias("threshold"), "observed", F.when(F.col("status") == "OK", "NONE").otherwise("ALLOCATION_MISSING").alias("evidence_gap"))
+    facts = allocations.select("split_id", "challenger", "status", "message").distinct()
+    ok = F.col("status") == "OK"
+    return facts.select("split_id", "challenger", F.when(ok, "PASS").otherwise(F.col("status")).alias("reason"), F.lit("OK").alias("threshold"), F.col("status").alias("observed"), F.when(ok, "").otherwise(F.col("message")).alias("evidence_gap"))
 
 
 def rejected(trace: DataFrame, rules: list[str]) -> DataFrame:
@@ -121,17 +122,23 @@ def replay(evaluated: DataFrame, execution_: DataFrame, panel: DataFrame) -> Dat
 
 
 # Named components of the attribution; all but the cost are 0.
-COMPONENTS = ["CASH", "DIVIDEND", "FX", "FINANCING", "SLIPPAGE", "TRANSACTION_COST_ESTIMATE", "RESIDUAL"]
+COMPONENTS = ["ALLOCATION_SIGNAL", "MARKET_DRIFT", "CONSTRAINT_TURNOVER_SCALING", "TRANSACTION_COST_ESTIMATE", "CASH_RETURN", "REALIZED_SHADOW_PNL", "SHADOW_CASH_FLOW"]
 
 
 def attribution(held: DataFrame, rows: DataFrame, p: ResearchPolicy) -> DataFrame:
-    """RULE, dt, component, value: one row per asset and day (weight times return) and the named components; the cost falls on day 0."""
+    """RULE, dt, component, value, classification, net, identity_status: one row per asset and day (weight times return) and the
+    named components; the cost falls on day 0. The identity holds if the components of a day sum to its net return."""
     j = rows.join(held.select(*RULE, "asset", "weight", "turnover"), [*SPLIT, "asset"])
     assets = j.select(*RULE, "dt", F.concat(F.lit("ASSET:"), "asset").alias("component"), (F.col("weight") * F.col("ret")).alias("value"))
     days = j.select(*RULE, "dt", "turnover").distinct().withColumn("day0", F.row_number().over(Window.partitionBy(*RULE).orderBy("dt")) == 1)
     cost = F.when((F.col("component") == "TRANSACTION_COST_ESTIMATE") & F.col("day0"), -F.col("turnover") * p.cost_bps / 1e4).otherwise(0.0)
     named = days.withColumn("component", F.explode(F.array(*[F.lit(c) for c in COMPONENTS]))).select(*RULE, "dt", "component", cost.alias("value"))
-    return assets.unionByName(named)
+    held_days = j.groupBy(*RULE, "dt").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"))
+    charged = held_days.join(days, [*RULE, "dt"]).select(*RULE, "dt", (F.col("gross") - F.when(F.col("day0"), F.col("turnover") * p.cost_bps / 1e4).otherwise(0.0)).alias("net"))
+    out = assets.unionByName(named).join(charged, [*RULE, "dt"])
+    gap = F.abs(F.sum("value").over(Window.partitionBy(*RULE, "dt")) - F.col("net"))
+    kind = F.when(F.col("component").startswith("ASSET:"), "UNREALIZED_SHADOW_PNL").otherwise(F.col("component"))
+    return out.withColumn("classification", kind).withColumn("identity_status", F.when(gap <= 1e-12, "PASS").otherwise("FAIL"))
 
 
 def latest_targets(held: DataFrame) -> DataFrame:

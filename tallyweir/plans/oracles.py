@@ -170,10 +170,10 @@ ORACLES: dict[str, str] = {
     "differential": _H + "select split_id, challenger, count(*) as days, 'PASS' status from port group by all",
     "walk_forward": _H + f"select split_id, challenger, {_r(_METRICS, 6)}, round(te_before, 6) te_before, round(te_after, 6) te_after, te_binding, turnover_binding, differential_status from eval",
     "cpcv": _cpcv() + f"select split_id, challenger, {_r(_METRICS, 6)}, round(te_before, 6) te_before from eval",
-    "filter_trace": _P + " select split_id, challenger, 'PASS' reason, 0.04e0 threshold, round(max(weight), 8) observed, 'NONE' evidence_gap from alloc group by all",
+    "filter_trace": _P + " select distinct split_id, challenger, 'PASS' reason, 'OK' threshold, 'OK' observed, '' evidence_gap from alloc",
     "rejected_candidates": "select cast(null as varchar) split_id, challenger, 'NO_AUTO_PROMOTION' reason from (values ('equal_weight'), ('inverse_volatility'), ('min_cdar')) r(challenger)",
     "shadow_replay": _H + """select e.split_id, challenger, (select sha256('["'||string_agg(asset, '","' order by asset)||'"]') from cur) universe_hash, a.dt decided_at, b.dt execute_at, round(total_return, 6) net_return from eval e join wf on wf.split_no=e.split_no join days a on a.obs_no=start_at-1 join days b on b.obs_no=start_at""",
-    "attribution": _H + "select h.split_id, challenger, dt, 'ASSET:'||t.asset component, round(w*ret, 10) as value from test t join held h on t.split_no=h.split_no and t.asset=h.asset union all select split_id, challenger, dt, c.component, round(case when c.component='TRANSACTION_COST_ESTIMATE' then net-ret else 0 end, 10) from net, (values " + ", ".join(f"('{c}')" for c in COMPONENTS) + ") c(component)",
+    "attribution": _H + "select h.split_id, h.challenger, t.dt, 'ASSET:'||t.asset component, round(w*t.ret, 10) as value, 'UNREALIZED_SHADOW_PNL' classification, round(net.net, 10) net, 'PASS' identity_status from test t join held h on t.split_no=h.split_no and t.asset=h.asset join net on net.split_no=h.split_no and net.challenger=h.challenger and net.dt=t.dt union all select split_id, challenger, dt, c.component, round(case when c.component='TRANSACTION_COST_ESTIMATE' then net.net-net.ret else 0 end, 10), c.component, round(net.net, 10), 'PASS' from net, (values " + ", ".join(f"('{c}')" for c in COMPONENTS) + ") c(component)",
     "latest_targets": _H + "select split_id, challenger, asset, round(w, 8) weight from held where split_no=(select max(split_no) from held)",
     "quote_time": _QUOTES + "select row_id, case when age<1 then 'FUTURE_EVIDENCE' else '' end reasons from q",
     "quote_staleness": _QUOTES + "select row_id, cast(age as double) quote_age, cast(age-1 as double) source_age, concat_ws(';', case when age>30 then 'QUOTE_STALE' end, case when age-1>60 then 'SOURCE_STALE' end) reasons from q",

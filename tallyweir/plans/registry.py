@@ -359,12 +359,12 @@ def cpcv(spark, d):
 
 @query()
 def filter_trace(spark, d):
-    return backtest.filter_trace(Research(spark, d).allocations(), P)
+    return backtest.filter_trace(Research(spark, d).allocations())
 
 
 @query()
 def rejected_candidates(spark, d):
-    return backtest.rejected(backtest.filter_trace(Research(spark, d).allocations(), P), [*SIMPLE, "min_cdar"])
+    return backtest.rejected(backtest.filter_trace(Research(spark, d).allocations()), [*SIMPLE, "min_cdar"])
 
 
 @query(6)
@@ -376,7 +376,7 @@ def shadow_replay(spark, d):
 @query(10)
 def attribution(spark, d):
     r = Research(spark, d)
-    return backtest.attribution(r.held(), r.test(), P).select("split_id", "challenger", "dt", "component", "value")
+    return backtest.attribution(r.held(), r.test(), P).select("split_id", "challenger", "dt", "component", "value", "classification", "net", "identity_status")
 
 
 @query()
