@@ -181,9 +181,11 @@ def _one_by_one(contexts: DataFrame, m: Method) -> DataFrame:
 
     def explode(batches):
         for pdf in batches:
-            for r in pdf.itertuples():
-                w = m.windows(r.data)
-                yield pd.DataFrame({"anchor": r.anchor, "context": r.context, "times": r.times, "off": np.arange(len(w), dtype=np.int32), "w1": [x[0] for x in w], "w2": [x[1] for x in w]})
+            digests = [m.windows(d) for d in pdf["data"]]
+            n = np.array([len(w) for w in digests], np.int64)
+            flat = np.array([x for w in digests for x in w], np.int64).reshape(-1, 2)
+            own = {c: np.repeat(pdf[c].to_numpy(), n) for c in ("anchor", "context", "times")}
+            yield pd.DataFrame(own | {"off": (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "w1": flat[:, 0], "w2": flat[:, 1]})
 
     windows = materialize(contexts.dropDuplicates(["anchor", "context"]).mapInPandas(explode, "anchor long, context long, times long, off int, w1 long, w2 long"), "repeat_windows")
     often = windows.groupBy("w1", "w2").agg(F.sum("times").alias("k")).filter("k > 1")
