@@ -108,7 +108,11 @@ def contexts(value: np.ndarray, place: np.ndarray, owner: np.ndarray, ok: np.nda
 
 
 def _byte_docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), text_of().cast("binary").alias("text"))
+    """doc_id, th, text as bytes. Where doc_ids are all there and differ, they name documents alone and th is 0."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    shared = docs.select(doc_id).groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 or doc_id is null")
+    th = F.lit(0).cast("long") if shared.isEmpty() else text_key()
+    return docs.select(doc_id, th.alias("th"), text_of().cast("binary").alias("text"))
 
 
 def _grouped(batches: Iterator, size: int) -> Iterator[tuple[list, list, list]]:
@@ -127,9 +131,9 @@ def _grouped(batches: Iterator, size: int) -> Iterator[tuple[list, list, list]]:
         yield ids, hashes, texts
 
 
-def spans_of(docs: DataFrame, method: Method) -> DataFrame:
-    """doc_id, th, spans (array of at, lo, hi): per document with repeats, the covered ranges, lo and hi from at on."""
-    m, base = method, _byte_docs(docs)
+def spans_of(base: DataFrame, method: Method) -> DataFrame:
+    """For _byte_docs(): doc_id, th, spans (array of at, lo, hi): per document with repeats, the covered ranges, lo and hi from at on."""
+    m = method
 
     def emit(batches):
         for ids, hashes, texts in _grouped(batches, m.batch):
@@ -196,7 +200,7 @@ def _one_by_one(contexts: DataFrame, m: Method) -> DataFrame:
 def finished(docs: DataFrame, method: Method, row: Callable, schema: str) -> DataFrame:
     """row(text, merged spans) for each input row, after doc_id."""
     base = _byte_docs(docs)
-    joined = same(base, spans_of(docs, method), "left").select("doc_id", "text", "spans")
+    joined = same(base, spans_of(base, method), "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for b in batches:
