@@ -15,6 +15,7 @@ one neighbour in its group. Groups are the connected components of the links.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -126,6 +127,18 @@ def compare(sets: list[np.ndarray], earlier: list[np.ndarray], side: np.ndarray,
     return links, np.array([find(i) for i in range(len(sets))])
 
 
+def _by_bucket(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema, groups: int) -> DataFrame:
+    """f on the rows of each bucket. Most buckets hold two or three rows, so many are handed over together."""
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns="__g").sort_values(["node", "b0", "b1"], kind="stable", ignore_index=True)
+        key = pdf[["node", "b0", "b1"]].to_numpy()
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        return pd.concat([f(pdf[i:j]) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)], strict=True)], ignore_index=True)
+
+    return rows.withColumn("__g", F.pmod(F.xxhash64("node", "b0", "b1"), F.lit(groups)).cast("int")).groupBy("__g").applyInPandas(each, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, root of the vertices of edges (a, b): the least vertex of each one's component. Alternating large and small stars."""
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
@@ -196,13 +209,16 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
 
     def useful(pdf: pd.DataFrame) -> pd.DataFrame:
         """Rows with a partner whose first common bucket this is."""
+        if len(pdf) == 2:
+            a, b = pdf["earlier"]
+            return pdf if set(a).isdisjoint(b) and (pdf["side"].iloc[0] != pdf["side"].iloc[1] or pdf["side"].iloc[0] == 2) else pdf[:0]
         earlier = [np.asarray(e, np.int64) for e in pdf["earlier"]]
         side = pdf["side"].to_numpy()
         ok = _first_here(earlier) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
         np.fill_diagonal(ok, False)
         return pdf[ok.any(axis=1)]
 
-    kept = here.groupBy("node", "b0", "b1").applyInPandas(useful, here.schema)
+    kept = _by_bucket(here, useful, here.schema, nodes.count() // 20_000 + 1)
     rep = classes.select("c", "rep.doc_id", "rep.th")
     wanted = materialize(kept.join(rep, "c"), "path_wanted")
     want = wanted.groupBy("doc_id", "th", "c").agg(F.collect_list(F.struct("node", "b0", "b1", "side", "earlier")).alias("want"))
@@ -220,7 +236,7 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
         return pd.DataFrame({"c": pdf["c"], "links": links, "peer": pdf["c"].to_numpy()[root]})[links > 0]
 
     dealt = same(base, want).select("c", "text", "want").mapInArrow(sets, "node long, b0 int, b1 int, side int, earlier array<long>, c string, own binary")
-    found = materialize(dealt.groupBy("node", "b0", "b1").applyInPandas(verify, "c string, links long, peer string"), "path_links")
+    found = materialize(_by_bucket(dealt, verify, "c string, links long, peer string", wanted.count() // 1000 + 1), "path_links")
     links = found.groupBy("c").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("c").alias("a"), F.col("peer").alias("b")))
     out = every.select("doc_id", "th", "c").join(links, "c", "left").join(roots.withColumnRenamed("v", "c"), "c", "left")
