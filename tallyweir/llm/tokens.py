@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -61,30 +63,79 @@ def decode_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
 class Encoder:
     """Whole-text ids of a byte-level BPE tokenizer, remembering the ids of space-separated pieces.
 
-    Byte-level BPE never merges across the space that opens a word, so a text without two adjacent white
-    spaces and without special-token marks is the concatenation of its pieces' ids; other texts go whole.
+    Byte-level BPE never merges across the space that opens a word, nor between a letter and the punctuation after
+    it, so a text without two adjacent white spaces and without special-token marks is the concatenation of its
+    pieces' ids; other texts go whole. New pieces are encoded many in one string and told apart by their bytes.
     """
 
+    TAIL = ".,;:!?%&*#$|)"
+    TOGETHER = 64
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}  # ids of a space and the key
         self.whole = re.compile(r"\s\s|<\|")
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token stands for a byte
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def __call__(self, text: str) -> np.ndarray:
-        if self.whole.search(text) or not text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    def _learn(self, new: set[str]) -> None:
         known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype=np.uint32).tobytes()
-        return np.frombuffer(b"".join([known[p] for p in pieces]), np.uint32)
+        parts = {}
+        for x in new:
+            core = x.rstrip(self.TAIL)
+            parts[x] = (core, x[len(core) :]) if core and core[-1].isalpha() else (x, "")
+        cores = {c for c, _ in parts.values()}.difference(known)
+        plain = [c for c in cores if c]
+        for k in range(0, len(plain), self.TOGETHER):
+            some = plain[k : k + self.TOGETHER]
+            got = self.ids(" " + " ".join(some))
+            ends = np.cumsum([1 + len(c.encode()) for c in some])
+            cuts = np.searchsorted(np.cumsum(self.sizes[got]), ends) + 1
+            for c, i, j in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                known[c] = got[i:j].tobytes()
+        if "" in cores:
+            known[""] = self.ids(" ").tobytes()
+        tails = {t: self.ids(t).tobytes() for t in {t for _, t in parts.values()} if t}
+        for x, (core, tail) in parts.items():
+            if tail:
+                known[x] = known[core] + tails[tail]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each word."""
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = set(words)
+        self._learn(new)
+        return [self.known[w] for w in words]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None if t and not self.whole.search(t) else self.ids(t) for t in texts]
+        plain = [i for i, x in enumerate(out) if x is None]
+        if not plain:
+            return out
+        pieces = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        words, ends = pieces.values.dictionary_encode(), pieces.offsets.to_numpy()
+        number = words.indices.to_numpy()
+        known = self._ids_of(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        flat, start = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
+        n = size[number]
+        n[ends[:-1]] = 0  # the first piece of a text has no space before it
+        at = np.repeat(start[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        ids = flat[at]
+        cuts = np.r_[0, np.cumsum(n)][ends]
+        for k, i in enumerate(plain):
+            own, first = ids[cuts[k] : cuts[k + 1]], texts[i].split(" ", 1)[0]
+            out[i] = np.concatenate([self.ids(first), own]) if first else own
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -104,6 +155,19 @@ def _unplanes(data: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
+def _in_groups(many, texts: list[str], size: int = 1 << 22) -> Iterator[np.ndarray]:
+    """many() of texts, about size characters at a time."""
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t)
+        if held >= size:
+            yield from many(group)
+            group, held = [], 0
+    if group:
+        yield from many(group)
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """Blocks in ascending doc_id order (null first, equal ids by text hash): shard, block, start (ids before it in
     the shard), n_ids, docs and raw (both byte planes: doc_id with a null mark and length; ids)."""
@@ -127,8 +191,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                                  "lengths": [_planes(lengths, 4)], "raw": [_planes(flat, 4)]})
 
         for batch in batches:
-            for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                one = encode(text)
+            texts = batch.column("text").to_pylist()
+            for d, one in zip(batch.column("doc_id").to_pylist(), _in_groups(encode.many, texts), strict=True):
                 ids += [one, end]
                 who.append((d or 0, d is None, len(one) + 1))
                 held += len(one) + 1
@@ -139,8 +203,6 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
             yield close()
 
     def arrow(batches):
-        import pyarrow as pa
-
         for pdf in run(batches):
             yield pa.RecordBatch.from_pandas(pdf, schema=_arrow_schema(), preserve_index=False)
 
@@ -148,8 +210,6 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
 
 def _arrow_schema():
-    import pyarrow as pa
-
     return pa.schema([("shard", pa.int32()), *[(k, pa.int64()) for k in ("block", "start", "n_ids", "n_docs")], *[(k, pa.binary()) for k in ("doc_ids", "nulls", "lengths", "raw")]])
 
 
