@@ -17,6 +17,20 @@ from pyspark.sql.window import Window
 
 from .common import materialize, same, text_key
 
+# Characters of an IBAN by country. Any other country, or length, falls to the general form of 15 to 34.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+                23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV",
+                29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """Groups of four and a last shorter one, compact or spaced. The known length comes first, so a capitalized word behind it is not taken in."""
+    four = "(?: ?[A-Z0-9]{4})"
+    known = [f"(?:{c})[0-9]{{2}}{four}{{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()]
+    other = [f"[A-Z]{{2}}[0-9]{{2}}{x}" for x in (f"{four}{{7}}(?: ?[A-Z0-9]{{1,2}})?", f"{four}{{3,6}}(?: ?[A-Z0-9]{{1,3}})?", f"{four}{{2}} ?[A-Z0-9]{{3}}")]
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(f'{x}(?![A-Za-z0-9])' for x in known + other)})"
+
+
 # Kinds of entities and their patterns, the first that fits decides.
 KINDS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?",
@@ -25,7 +39,7 @@ KINDS = {
     "repo_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,}",
     "secret": r"(?i:(?<![A-Za-z])(?:password|passwd|api[_-]?key|secret|access[_-]?token|token)\s?[:=]\s?['\x22]?[A-Za-z0-9_+/.-]{6,}['\x22]?)",
     "card": r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\g[0-9]{4}\g[0-9]{4}(?![0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": _iban(),
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9])1[3-9][0-9]{9}(?![0-9])",

@@ -227,6 +227,18 @@ def test_surrogates(spark):
     assert pii.pseudonymize(df.limit(0), "k").count() == 0
 
 
+def test_ibans_of_every_length(spark):
+    known = ["NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "MK07250120000058984", "AT611904300234573201", "CH9300762011623852957", "DE89370400440532013000", "GB29NWBK60161331926819", "AE070331234567890123456", "ES9121000418450200051332", "PT50000201231234567890154", "TR330006100519786457841326", "FR1420041010050500013M02606", "IT60X0542811101000000123456", "PL61109010140000071219812874", "BR1800360305000010009795493C1", "MU17BOMM0101101030300200000MUR", "MT84MALT011000012345MTLCAST001S", "LC55HEMM000100010012001200023015", "RU0304452522540817810538091310419"]
+    known += ["ZZ12" + "".join(str(k % 10) for k in range(n - 4)) for n in range(15, 35)]
+    spaced = [" ".join(x[k : k + 4] for k in range(0, len(x), 4)) for x in known]
+    df = spark.createDataFrame([(i, f"pay {a} or {b}, THE END") for i, (a, b) in enumerate(zip(known, spaced, strict=True))] + [(99, "pay ES91 2100 0418 4502 0005 1332 THE END")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "k").collect()}
+    for i, (a, b) in enumerate(zip(known, spaced, strict=True)):
+        x, y = got[i].text.removeprefix("pay ").removesuffix(", THE END").split(" or ")
+        assert got[i].n_entities == 2 and got[i].kinds == ["iban"] and x == y.replace(" ", "") != a and [len(w) for w in y.split()] == [len(w) for w in b.split()]
+    assert got[99].text.endswith(" THE END")
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda kind, norm, key, attempt: F.when(attempt == 0, F.lit("10.0.0.1")).otherwise(real(kind, norm, key, attempt)))
