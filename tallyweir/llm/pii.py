@@ -37,7 +37,7 @@ KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "cloud_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "repo_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,}",
-    "secret": r"(?i:(?<![A-Za-z])(?:password|passwd|api[_-]?key|secret|access[_-]?token|token)\s?[:=]\s?['\x22]?[A-Za-z0-9_+/.-]{6,}['\x22]?)",
+    "secret": r"(?i:(?<![A-Za-z])(?:password|passwd|api[_-]?key|secret|access[_-]?token|token)\s?[:=]\s?['\x22]?(?=[_+/.-]*[A-Za-z0-9])[A-Za-z0-9_+/.-]{6,}['\x22]?)",
     "card": r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\g[0-9]{4}\g[0-9]{4}(?![0-9])",
     "iban": _iban(),
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
@@ -56,8 +56,10 @@ GIVEN = {
 SYLLABLES = {"latin": ["ba", "del", "fin", "gor", "hal", "ker", "lam", "mon", "nor", "pel", "ras", "sen", "tor", "vik", "wen", "zal"],
              "cyrillic": ["ба", "дел", "гор", "кер", "лам", "мон", "нор", "тор"]}
 _CARD_GROUP = 1
-#: Draws a colliding surrogate may need; with a 256-bit keyed stream the loop ends after one or two.
+#: Draws a colliding surrogate may need. Names have a syllable more in every draw, and short kinds grow after ROOMY draws, so
+#: the loop ends for any number of entities.
 ATTEMPTS = 50
+ROOMY = 4
 #: Copies of the surrogate table a hot mention is spread over.
 SALTS = 16
 
@@ -100,7 +102,7 @@ def _luhn(digits: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
-def _person(norm: Column, stream: Column) -> Column:
+def _person(norm: Column, stream: Column, attempt: Column) -> Column:
     parts = F.split(norm, " ")
     cyrillic = F.regexp_replace(norm, r"^\S+ ", "").rlike(r"\p{IsCyrillic}")
     female = norm.rlike(f"^(?:{FEMALE}) ")
@@ -112,7 +114,9 @@ def _person(norm: Column, stream: Column) -> Column:
         return F.when(female, pick(GIVEN["f", script], 0)).otherwise(pick(GIVEN["m", script], 0))
 
     def family(script: str) -> Column:
-        return F.initcap(F.concat(*[pick(SYLLABLES[script], k) for k in (1, 2, 3, 4)]))
+        own = F.array(*[F.lit(x) for x in SYLLABLES[script]])
+        more = F.transform(F.sequence(F.lit(1), attempt + 4), lambda k: F.element_at(own, _nibble(stream, k) % len(SYLLABLES[script]) + 1))
+        return F.initcap(F.array_join(more, ""))
 
     name = F.when(cyrillic, F.when(F.size(parts) > 2, F.concat_ws(" ", given("cyrillic"), family("cyrillic"))).otherwise(family("cyrillic"))).otherwise(F.when(F.size(parts) > 2, F.concat_ws(" ", given("latin"), family("latin"))).otherwise(family("latin")))
     return F.concat_ws(" ", parts[0], name)
@@ -122,16 +126,17 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
     """The surrogate of an entity in its normal form."""
     stream = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string")), 256)
     top = F.regexp_extract(norm, r"\.[A-Za-z]+$", 0)
+    grown = F.greatest(attempt - ROOMY, F.lit(0))
     octet = [(_nibble(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)]
     fixed = {"cloud_key": 4, "repo_token": 4, "iban": 2}
-    out = F.when(kind == "email", F.concat(_scrambled(F.substring(norm, F.lit(1), F.length(norm) - F.length(top)), stream), top))
-    out = out.when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "person", _person(norm, stream))
+    out = F.when(kind == "email", F.concat(F.substring(stream, F.lit(1), grown), _scrambled(F.substring(norm, F.lit(1), F.length(norm) - F.length(top)), stream), top))
+    out = out.when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "person", _person(norm, stream, attempt))
     out = out.when(kind == "card", _luhn(F.concat(F.substring(norm, 1, 1), _scrambled(F.substring(norm, F.lit(2), F.length(norm)), stream))))
-    out = out.when(kind == "phone", F.concat(F.when(norm.rlike("^[01]"), F.substring(norm, 1, 1)).otherwise(F.lit("")), _scrambled(F.when(norm.rlike("^[01]"), F.substring(norm, F.lit(2), F.length(norm))).otherwise(norm), stream)))
+    out = out.when(kind == "phone", F.concat(F.when(norm.rlike("^[01]"), F.substring(norm, 1, 1)).otherwise(F.lit("")), _scrambled(F.when(norm.rlike("^[01]"), F.substring(norm, F.lit(2), F.length(norm))).otherwise(norm), stream), F.translate(F.substring(stream, F.lit(1), grown), "abcdef", "012345")))
     out = out.when(kind == "private_key", F.concat(F.lit("-----BEGIN PRIVATE KEY-----"), stream, F.lit("-----END PRIVATE KEY-----")))
     for k, n in fixed.items():
         out = out.when(kind == k, F.concat(F.substring(norm, 1, n), _scrambled(F.substring(norm, F.lit(n + 1), F.length(norm)), stream)))
-    return out.otherwise(_scrambled(norm, stream))
+    return out.otherwise(F.concat(_scrambled(norm, stream), F.when(kind == "secret", F.substring(stream, F.lit(1), grown)).otherwise("")))
 
 
 def written(kind: Column, mention: Column, norm: Column, made: Column) -> Column:
@@ -140,6 +145,7 @@ def written(kind: Column, mention: Column, norm: Column, made: Column) -> Column
     # how many characters of the class stand before i
     at = F.transform(chars, lambda c, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x.rlike("[0-9]"))))
     digits = F.array_join(F.zip_with(chars, at, lambda c, n: F.when(c.rlike("[0-9]"), F.substring(made, n, F.lit(1))).otherwise(c)), "")
+    digits = F.concat(digits, F.substring(made, F.length(norm) + 1, F.length(made)))  # a grown phone number
     tight = F.transform(chars, lambda c, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x != " ")))
     spaced = F.array_join(F.zip_with(chars, tight, lambda c, n: F.when(c != " ", F.substring(made, n, F.lit(1))).otherwise(c)), "")
     return (F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", spaced)

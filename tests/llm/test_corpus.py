@@ -247,6 +247,19 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(got) == 21 == len({r.made for r in got}) and not {r.made for r in got} & {r.norm for r in got}
 
 
+@pytest.mark.parametrize(("kind", "norms"), [
+    ("person", [f"г-н {a}{b}{c}{d}" for a in "АБВГДЖЗИКЛ" for b in "абвгджзикл" for c in "абвгджзикл" for d in "абвгд"]),
+    ("phone", [f"1{k:04}" for k in range(10_000)]), ("email", [f"{a}@{b}.io" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"])])
+def test_more_entities_than_short_surrogates(spark, kind, norms):
+    got = pii.surrogates(spark.createDataFrame([(kind, n) for n in norms], "kind string, norm string"), "k").collect()
+    assert len(got) == len(norms) == len({r.made for r in got}) and not {r.made for r in got} & set(norms)
+
+
+def test_values_without_letters_or_digits_are_no_secrets(spark):
+    df = spark.createDataFrame([(1, "Password: ________"), (2, "token=......")], "doc_id long, text string")
+    assert {(r.doc_id, r.text, r.n_entities) for r in pii.pseudonymize(df, "k").collect()} == {(1, "Password: ________", 0), (2, "token=......", 0)}
+
+
 def test_line_dedup(docs):
     rows = [(r.doc_id, k, line.split()) for r in docs.dropDuplicates(["doc_id", "text"]).collect() for k, line in enumerate((r.text or "").split("\n"))]
     keyed = sorted(((i is not None, i or 0, k, set(w)) for i, k, w in rows if w), key=lambda x: x[:3])
