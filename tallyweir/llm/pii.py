@@ -2,7 +2,9 @@
 
 One pattern finds all entities of a text in a single pass. Each distinct entity, in its normal form, receives
 one surrogate from a keyed hash: digits stay digits, letters keep their case, addresses keep their top domain,
-card numbers stay Luhn-valid, IP octets stay in range, titled names keep title, gender and script. A mention is
+card numbers stay Luhn-valid, IP octets stay in range, titled names keep title, gender and script. A family name and
+a full name are entities apart from the title, so 'Mrs. Anna Klug', 'Ms. Anna Klug' and 'Frau Klug' share a family
+name; a credential is the same entity alone and behind 'token='. A mention is
 written in its own format from its entity's surrogate, so spellings of one entity stay spellings of one
 surrogate. Surrogates that meet each other, or that are entities of the corpus themselves, are drawn again.
 """
@@ -71,11 +73,19 @@ def kind_of(mention: Column) -> Column:
     return F.coalesce(*[F.when(mention.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in _PATTERNS.items()], F.lit("secret"))
 
 
-def normal(kind: Column, mention: Column) -> Column:
-    """What the spellings of one entity share."""
-    digits = F.regexp_replace(mention, "[^0-9]", "")
-    return (F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", F.lower(mention)).when(kind == "iban", F.regexp_replace(mention, " ", ""))
-            .when(kind == "secret", F.regexp_replace(mention, r"^[A-Za-z_-]+\s?[:=]\s?['\x22]?|['\x22]$", "")).when(kind == "person", F.regexp_replace(mention, r"\.", "")).otherwise(mention))
+_BEFORE, _AFTER = r"^[A-Za-z_-]+\s?[:=]\s?['\x22]?", r"\.*['\x22]?$"
+
+
+def value_of(kind: Column, mention: Column) -> Column:
+    """What is replaced: of a secret, what stands behind its name, less quotes and a full stop; else the mention."""
+    return F.when(kind == "secret", F.regexp_replace(F.regexp_replace(mention, _BEFORE, ""), _AFTER, "")).otherwise(mention)
+
+
+def normal(kind: Column, value: Column) -> Column:
+    """What the spellings of one entity share; of a person, what stands behind the title."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return (F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", F.lower(value)).when(kind == "iban", F.regexp_replace(value, " ", ""))
+            .when(kind == "person", F.regexp_replace(value, r"^\S+ ", "")).otherwise(value))
 
 
 def _nibble(stream: Column, i: Column) -> Column:
@@ -102,24 +112,21 @@ def _luhn(digits: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
-def _person(norm: Column, stream: Column, attempt: Column) -> Column:
-    parts = F.split(norm, " ")
-    cyrillic = F.regexp_replace(norm, r"^\S+ ", "").rlike(r"\p{IsCyrillic}")
-    female = norm.rlike(f"^(?:{FEMALE}) ")
+def _name(kind: Column, norm: Column, stream: Column, attempt: Column) -> Column:
+    """A family name of syllables, or a given name of the pool, with a syllable more in every draw after the third."""
+    cyrillic, female = F.element_at(F.split(norm, " "), -1).rlike(r"\p{IsCyrillic}"), norm.startswith("f ")
 
-    def pick(options: list[str], at: int) -> Column:
-        return F.element_at(F.array(*[F.lit(x) for x in options]), _nibble(stream, F.lit(at)) % len(options) + 1)
+    def pick(options: list[str], at: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in options]), _nibble(stream, at) % len(options) + 1)
 
-    def given(script: str) -> Column:
-        return F.when(female, pick(GIVEN["f", script], 0)).otherwise(pick(GIVEN["m", script], 0))
+    def syllables(script: str, n: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda k: F.when(k > 0, pick(SYLLABLES[script], k)).otherwise("")), "")
 
-    def family(script: str) -> Column:
-        own = F.array(*[F.lit(x) for x in SYLLABLES[script]])
-        more = F.transform(F.sequence(F.lit(1), attempt + 4), lambda k: F.element_at(own, _nibble(stream, k) % len(SYLLABLES[script]) + 1))
-        return F.initcap(F.array_join(more, ""))
+    def name(script: str) -> Column:
+        given = F.when(female, pick(GIVEN["f", script], F.lit(0))).otherwise(pick(GIVEN["m", script], F.lit(0)))
+        return F.when(kind == "given", F.concat(given, syllables(script, F.greatest(attempt - 2, F.lit(0))))).otherwise(F.initcap(syllables(script, attempt + 4)))
 
-    name = F.when(cyrillic, F.when(F.size(parts) > 2, F.concat_ws(" ", given("cyrillic"), family("cyrillic"))).otherwise(family("cyrillic"))).otherwise(F.when(F.size(parts) > 2, F.concat_ws(" ", given("latin"), family("latin"))).otherwise(family("latin")))
-    return F.concat_ws(" ", parts[0], name)
+    return F.when(cyrillic, name("cyrillic")).otherwise(name("latin"))
 
 
 def surrogate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
@@ -130,7 +137,7 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
     octet = [(_nibble(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)]
     fixed = {"cloud_key": 4, "repo_token": 4, "iban": 2}
     out = F.when(kind == "email", F.concat(F.substring(stream, F.lit(1), grown), _scrambled(F.substring(norm, F.lit(1), F.length(norm) - F.length(top)), stream), top))
-    out = out.when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "person", _person(norm, stream, attempt))
+    out = out.when(kind == "ip", F.concat_ws(".", *octet)).when(kind.isin("given", "family"), _name(kind, norm, stream, attempt))
     out = out.when(kind == "card", _luhn(F.concat(F.substring(norm, 1, 1), _scrambled(F.substring(norm, F.lit(2), F.length(norm)), stream))))
     out = out.when(kind == "phone", F.concat(F.when(norm.rlike("^[01]"), F.substring(norm, 1, 1)).otherwise(F.lit("")), _scrambled(F.when(norm.rlike("^[01]"), F.substring(norm, F.lit(2), F.length(norm))).otherwise(norm), stream), F.translate(F.substring(stream, F.lit(1), grown), "abcdef", "012345")))
     out = out.when(kind == "private_key", F.concat(F.lit("-----BEGIN PRIVATE KEY-----"), stream, F.lit("-----END PRIVATE KEY-----")))
@@ -150,27 +157,50 @@ def written(kind: Column, mention: Column, norm: Column, made: Column) -> Column
     spaced = F.array_join(F.zip_with(chars, tight, lambda c, n: F.when(c != " ", F.substring(made, n, F.lit(1))).otherwise(c)), "")
     return (F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", spaced)
             .when(kind == "email", F.when(mention == F.upper(mention), F.upper(made)).otherwise(made))
-            .when(kind == "secret", F.concat(F.regexp_extract(mention, r"^[A-Za-z_-]+\s?[:=]\s?['\x22]?", 0), made, F.regexp_extract(mention, r"['\x22]$", 0)))
-            .when((kind == "person") & mention.rlike(r"^\S+\. "), F.regexp_replace(made, r"^(\S+) ", r"$1. ")).otherwise(made))
+            .when(kind == "person", F.concat(F.regexp_extract(mention, r"^\S+ ", 0), made)).otherwise(made))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, norm, made: a surrogate for each distinct (kind, norm), no two alike within a kind and none an entity."""
-    own = materialize(entities.select("kind", "norm").distinct(), "pii_entities")
+    """kind, norm, made: a surrogate for each distinct (kind, norm), no two alike within a kind and none an entity.
+
+    Kind given (gender, given name, family name) is told apart within its family name.
+    """
+    given, words = F.col("kind") == "given", F.split("norm", " ")
+    scope, itself = F.when(given, F.element_at(words, -1)).otherwise(""), F.when(given, F.get(words, F.lit(1))).otherwise(F.col("norm"))
+    own = materialize(entities.select("kind", "norm").distinct().withColumns({"scope": scope, "itself": itself}), "pii_entities")
     todo, done = own.withColumn("attempt", F.lit(0)), []
     for _ in range(ATTEMPTS):
         drawn = todo.withColumn("made", surrogate(F.col("kind"), F.col("norm"), key, F.col("attempt")))
-        first = Window.partitionBy("kind", "made").orderBy("norm")  # a handful share one surrogate
-        taken = reduce(DataFrame.unionByName, [own.select("kind", F.col("norm").alias("made")), *[d.select("kind", "made") for d in done]])
-        tried = drawn.withColumn("n", F.row_number().over(first)).join(taken.withColumn("hit", F.lit(True)).distinct(), ["kind", "made"], "left")
+        first = Window.partitionBy("kind", "scope", "made").orderBy("norm")  # a handful share one surrogate
+        taken = reduce(DataFrame.unionByName, [own.select("kind", "scope", F.col("itself").alias("made")), *[d.select("kind", "scope", "made") for d in done]])
+        tried = drawn.withColumn("n", F.row_number().over(first)).join(taken.withColumn("hit", F.lit(True)).distinct(), ["kind", "scope", "made"], "left")
         tried = materialize(tried.withColumn("good", (F.col("n") == 1) & F.col("hit").isNull()), "pii_tried")
-        done.append(tried.filter("good").select("kind", "norm", "made"))
-        todo = tried.filter("not good").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
+        done.append(tried.filter("good").select("kind", "scope", "norm", "made"))
+        todo = tried.filter("not good").select("kind", "scope", "norm", (F.col("attempt") + 1).alias("attempt"))
         if todo.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            return reduce(DataFrame.unionByName, done).drop("scope")
     raise RuntimeError("surrogates kept colliding")
 
 
+def replaced(mentions: DataFrame, key: str) -> DataFrame:
+    """mention, kind, new: each distinct mention with what stands in its place."""
+    typed = mentions.withColumn("kind", kind_of(F.col("mention"))).withColumn("value", value_of(F.col("kind"), F.col("mention")))
+    typed = typed.withColumn("entity", F.when(F.col("kind") == "secret", kind_of(F.col("value"))).otherwise(F.col("kind"))).withColumn("norm", normal(F.col("entity"), F.col("value")))
+    person = F.col("entity") == "person"
+    gender = F.when(F.col("mention").rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("m")
+    typed = typed.withColumns({"main_kind": F.when(person, "family").otherwise(F.col("entity")), "main": F.when(person, F.element_at(F.split("norm", " "), -1)).otherwise(F.col("norm")),
+                               "given": F.when(person & F.col("norm").contains(" "), F.concat_ws(" ", gender, "norm"))})
+    typed = materialize(typed, "pii_mentions")
+    entities = typed.select(F.col("main_kind").alias("kind"), F.col("main").alias("norm")).unionByName(typed.filter("given is not null").select(F.lit("given").alias("kind"), F.col("given").alias("norm")))
+    made = surrogates(entities, key)
+    first = made.filter("kind = 'given'").select(F.col("norm").alias("given"), F.col("made").alias("made_given"))
+    main = made.withColumnsRenamed({"kind": "main_kind", "norm": "main"})
+    out = typed.join(main, ["main_kind", "main"]).join(first, "given", "left")
+    body = written(F.col("entity"), F.col("value"), F.col("norm"), F.concat_ws(" ", "made_given", "made"))
+    around = F.concat(F.regexp_extract("mention", _BEFORE, 0), body, F.regexp_extract("mention", _AFTER, 0))
+    return out.select("mention", "kind", F.when(F.col("kind") == "secret", around).otherwise(body).alias("new"))
+
+
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text, n_entities, kinds: every text with its entities replaced, a row per input row.
 
@@ -182,9 +212,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     clean = base.filter(~hit).select("doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     found = materialize(base.filter(hit).withColumn("th", text_key()).withColumn("found", F.regexp_extract_all("text", F.lit(ANY), 0)), "pii_found")
     mentions = found.select(F.explode("found").alias("mention")).distinct()
-    typed = materialize(mentions.withColumn("kind", kind_of(F.col("mention"))).withColumn("norm", normal(F.col("kind"), F.col("mention"))), "pii_mentions")
-    table = same(typed, surrogates(typed, key), keys=("kind", "norm")).withColumn("new", written(F.col("kind"), F.col("mention"), F.col("norm"), F.col("made")))
-    salted = materialize(table.select("mention", "kind", "new"), "pii_table").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = materialize(replaced(mentions, key), "pii_table").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = found.select("doc_id", "th", F.explode(F.array_distinct("found")).alias("mention"), F.pmod("th", F.lit(SALTS)).cast("int").alias("salt")).distinct()
     maps = own.join(salted, ["mention", "salt"]).groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("mention", F.struct("new", "kind")))).alias("m"))
     joined = same(found, maps)

@@ -248,13 +248,34 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
 
 
 @pytest.mark.parametrize(("kind", "norms"), [
-    ("person", [f"г-н {a}{b}{c}{d}" for a in "АБВГДЖЗИКЛ" for b in "абвгджзикл" for c in "абвгджзикл" for d in "абвгд"]),
+    ("family", [f"{a}{b}{c}{d}" for a in "АБВГДЖЗИКЛ" for b in "абвгджзикл" for c in "абвгджзикл" for d in "абвгд"]),
+    ("given", [f"f {a}{b} Klug" for a in "ABCDEFGHIJ" for b in "abcdefghij"]),
     ("phone", [f"1{k:04}" for k in range(10_000)]), ("email", [f"{a}@{b}.io" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"])])
 def test_more_entities_than_short_surrogates(spark, kind, norms):
     got = pii.surrogates(spark.createDataFrame([(kind, n) for n in norms], "kind string, norm string"), "k").collect()
     assert len(got) == len(norms) == len({r.made for r in got}) and not {r.made for r in got} & set(norms)
 
 
+def test_people_and_credentials_keep_their_surrogates(spark):
+    token, cloud = "ghp_" + "a1B2" * 6, "AKIA" + "SJDZWJNP6ZRYWK44"
+    texts = ["Mr. John Doe met Mr. Doe", "Mrs. Anna Klug, Ms. Anna Klug, Frau Klug, Herr Klug, Mrs. Vera Klug", "г-н Иван Котов и г-жа Котов", f"token={token} or {token}. token: '{token}'", f"secret={cloud} or {cloud}", "password=abcdef1. password=abcdef1", "card 4041894974608795 secret=4041894974608795"]
+    rows = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    got = {r.doc_id: r.text for r in rows}
+    john, doe = got[0].removeprefix("Mr. ").split(" met Mr. ")
+    assert john.split()[1] == doe != "Doe" and john.split()[0] in pii.GIVEN["m", "latin"]
+    one, two, frau, herr, vera = got[1].split(", ")
+    assert one.split()[1:] == two.split()[1:] and {x.split()[-1] for x in (one, two, frau, herr, vera)} == {frau.split()[1]} and vera.split()[1] != one.split()[1]
+    assert got[2].split()[2] == got[2].split()[5] != "Котов"
+    a, b, c = got[3].removeprefix("token=").replace(". token: '", " or ").removesuffix("'").split(" or ")
+    assert a == b == c != token and a.startswith("ghp_")
+    a, b = got[4].removeprefix("secret=").split(" or ")
+    assert a == b != cloud and a.startswith("AKIA")
+    a, b = got[5].split(". ")
+    assert a == b != "password=abcdef1"
+    assert got[6].split()[1] == got[6].split("secret=")[1] and "4041894974608795" not in got[6]
+    assert {r.doc_id: r.n_entities for r in rows} == {0: 2, 1: 5, 2: 2, 3: 3, 4: 2, 5: 2, 6: 2}
+
+
 def test_values_without_letters_or_digits_are_no_secrets(spark):
     df = spark.createDataFrame([(1, "Password: ________"), (2, "token=......")], "doc_id long, text string")
     assert {(r.doc_id, r.text, r.n_entities) for r in pii.pseudonymize(df, "k").collect()} == {(1, "Password: ________", 0), (2, "token=......", 0)}
