@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyweir.llm import chosenpath, common, decontam, langid, mixing, tokens
 from tallyweir.llm.queries import TOKENIZER
@@ -38,7 +39,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_stage
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal or near-equal texts."""
-    return common.keep_rows(docs, chosenpath.near_duplicates(docs).filter("first"))
+    return common.one_row_each(docs, chosenpath.near_duplicates(docs).filter("first"))
 
 
 @_stage
@@ -50,7 +51,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the mix draws it, shard by shard in shuffled order."""
-    return mixing.mixed_documents(docs, mixing.mix_sources(docs, block_words=None))
+    named = common.materialize(docs.withColumn("__tw_rid", F.monotonically_increasing_id()), "mixed_rows")
+    return mixing.mixed_documents(named, mixing.mix_sources(named, block_words=None, row_id="__tw_rid"), "__tw_rid").drop("__tw_rid")
 
 
 @_stage

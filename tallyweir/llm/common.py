@@ -101,6 +101,17 @@ def keep_rows(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataF
     return docs.join(right, on, how)
 
 
+def one_row_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of docs, columns unchanged, for each (doc_id, text hash) of rows, which has a row per row of docs.
+
+    Only rows that repeat the pair are shuffled; of rows that differ elsewhere the one of the least hash stays.
+    """
+    counted = materialize(rows.groupBy("doc_id", "th").count(), "row_counts")
+    alone, repeated = keep_rows(docs, counted.filter("count = 1")), keep_rows(docs, counted.filter("count > 1"))
+    picked = repeated.groupBy(F.col("doc_id").cast("long").alias("__tw_id"), text_key().alias("__tw_th")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("x"))
+    return alone.unionByName(picked.select("x.*"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

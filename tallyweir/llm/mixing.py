@@ -79,16 +79,17 @@ class Mix:
     draws: DataFrame
 
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int | None = 256, shards: int = 64, seed: int = 7) -> Mix:
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int | None = 256, shards: int = 64, seed: int = 7, row_id: str | None = None) -> Mix:
     """Draws blocks of documents until each source meets its target.
 
     Null text: size 0, never drawn. Null source: a source of its own, last. Null doc_id and repeated rows:
     each row is a document of its own. Empty table: empty frames. block_words=None keeps documents whole.
     No block is drawn more than ceil(cap) times; taken words differ from the target by at most half a block.
+    row_id: a stored, unique long column of docs that becomes rid, to join the draws back on.
     """
     spark = docs.sparkSession
     sized = materialize(
-        docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.col("source").cast("string").alias("source"),
+        docs.select((F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.col("source").cast("string").alias("source"),
                     F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix_sized")
     per = sized.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.ceil(F.col("size") / (block_words or 2**62))).alias("blocks")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
@@ -145,9 +146,8 @@ def taken(mix: Mix) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The mix as rows of docs: a document once per draw (mix_sources(block_words=None)), each shard in its own order."""
-    shard = mix.draws.groupBy(F.col("doc_id").alias("__tw_id"), F.col("th").alias("__tw_th"), F.col("copy").alias("__tw_copy")).agg(F.min("shard").alias("__tw_shard"), F.min("place").alias("__tw_place"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__tw_id")) & (text_key() == F.col("__tw_th"))
-    out = docs.join(shard, on)
-    return out.repartition("__tw_shard").sortWithinPartitions("__tw_shard", "__tw_place").drop("__tw_id", "__tw_th", "__tw_copy", "__tw_shard", "__tw_place")
+def mixed_documents(docs: DataFrame, mix: Mix, row_id: str) -> DataFrame:
+    """The mix as rows of docs: a row once per draw of it (mix_sources(block_words=None, row_id=row_id)), each shard in its own order."""
+    shard = mix.draws.select(F.col("rid").alias("__tw_row"), F.col("shard").alias("__tw_shard"), F.col("place").alias("__tw_place"))
+    out = docs.join(shard, F.col(row_id) == F.col("__tw_row"))
+    return out.repartition("__tw_shard").sortWithinPartitions("__tw_shard", "__tw_place").drop("__tw_row", "__tw_shard", "__tw_place")

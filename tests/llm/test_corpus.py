@@ -320,6 +320,21 @@ def test_empty_tables(docs):
     assert tokens.tokens_round_trip(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_pipeline_counts_rows_and_not_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    one, two, three = prose(80), prose(80), prose(90)
+    rows = [(1, one, "s0"), (1, one, "s0"), (1, one, "s0"), (None, two, "s0"), (None, two, "s1"), (None, two, None), (7, three, "s1"), (None, three, "s1"), (8, None, "s0"), (8, None, "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = stages["near_duplicates"](spark, df, sf_dir).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == sorted([(False, 1, one), (True, 0, two), (False, 7, three), (False, 8, "")])
+    same = spark.createDataFrame([(1, one, "s0")] * 5 + [(None, two, "s1")] * 40, "doc_id long, text string, source string").repartition(4)
+    drawn = mixing.mix_sources(same, block_words=None).draws.groupBy("source").count().collect()
+    mixed = stages["mixing"](spark, same, sf_dir).groupBy("source").count().collect()
+    assert {(r.source, r["count"]) for r in drawn} == {(r.source, r["count"]) for r in mixed}
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
