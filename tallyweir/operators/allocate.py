@@ -89,14 +89,20 @@ def _wide(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*SPLIT, "obs_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset", "ret"))), lambda x: x["ret"]).alias("r"))
 
 
+def _own(df: DataFrame, *more: str) -> list[str]:
+    """The keys of an incumbent: SPLIT, and start where a split has several."""
+    return [*SPLIT, *(["start"] if "start" in df.columns else []), *more]
+
+
 def candidates(incumbent: DataFrame) -> DataFrame:
-    """For incumbents (SPLIT, h, w in asset order): themselves (0, 0) and all transfers of h from one asset to another: i, j, w."""
+    """For incumbents (SPLIT, h, w in asset order): themselves (0, 0) and all transfers of h, or of what there is, from one asset to another: i, j, w."""
     n = F.size("w")
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     out = incumbent.withColumn("p", F.explode(F.filter(pairs, lambda p: (p["i"] != p["j"]) | (p["i"] == 1)))).withColumn("i", F.when(F.col("p.i") == F.col("p.j"), 0).otherwise(F.col("p.i"))).withColumn("j", F.when(F.col("i") == 0, 0).otherwise(F.col("p.j")))
-    out = out.filter((F.col("i") == 0) | (F.element_at("w", F.greatest("i", F.lit(1))) >= F.col("h")))
-    moved = F.transform("w", lambda x, k: x + F.when(k + 1 == F.col("j"), F.col("h")).when(k + 1 == F.col("i"), -F.col("h")).otherwise(0.0))
-    return out.select(*SPLIT, "h", "i", "j", moved.alias("w"))
+    out = out.filter((F.col("i") == 0) | (F.element_at("w", F.greatest("i", F.lit(1))) > 0))
+    out = out.withColumn("step", F.least("h", F.element_at("w", F.greatest("i", F.lit(1)))))
+    moved = F.transform("w", lambda x, k: x + F.when(k + 1 == F.col("j"), F.col("step")).when(k + 1 == F.col("i"), -F.col("step")).otherwise(0.0))
+    return out.select(*_own(incumbent, "h", "i", "j"), moved.alias("w"))
 
 
 def _dot(a: str, b: str):
@@ -105,7 +111,7 @@ def _dot(a: str, b: str):
 
 def score_cvar_budget(cands: DataFrame, wide: DataFrame) -> DataFrame:
     """Mean squared relative distance of the tail contributions from equal ones, plus a thousandth of the CVaR."""
-    keys = [*SPLIT, "h", "i", "j"]
+    keys = _own(cands, "h", "i", "j")
     loss = cands.join(wide, SPLIT).withColumn("loss", -_dot("w", "r"))
     q = loss.groupBy(*keys).agg(F.percentile("loss", F.lit(TAIL)).alias("q"))
     tail = loss.join(q, keys).filter(F.col("loss") >= F.col("q") - 1e-15).select(*keys, "w", F.posexplode("r").alias("k", "x"), "loss")
@@ -115,53 +121,62 @@ def score_cvar_budget(cands: DataFrame, wide: DataFrame) -> DataFrame:
 
 
 def score_cdar(cands: DataFrame, wide: DataFrame) -> DataFrame:
-    keys = [*SPLIT, "h", "i", "j"]
+    keys = _own(cands, "h", "i", "j")
     path = risk.drawdown_path(cands.join(wide, SPLIT).select(*keys, "obs_no", _dot("w", "r").alias("ret")), keys)
     return risk.tail_mean(path, keys, -F.col("drawdown"), "score").drop("q")
 
 
 def score_mean_risk(cands: DataFrame, stats: DataFrame) -> DataFrame:
     """8 w'Sw - m'w from stats (SPLIT, m in asset order, s: rows of the shrunk covariance)."""
-    keys = [*SPLIT, "h", "i", "j"]
+    keys = _own(cands, "h", "i", "j")
     j = cands.join(stats, SPLIT)
     quad = F.aggregate(F.zip_with("w", "s", lambda x, row: x * F.aggregate(F.zip_with(F.col("w"), row, lambda y, c: y * c), F.lit(0.0), lambda a, b: a + b)), F.lit(0.0), lambda a, b: a + b)
     return j.select(*keys, (8 * quad - _dot("w", "m")).alias("score"))
 
 
-def search(start: DataFrame, score: Callable[[DataFrame], DataFrame], first: float = 0.25, last: float = 1e-2, rounds: int = 60) -> DataFrame:
-    """Pair-transfer search on the simplex, all splits in one job a round: SPLIT, w, score, status.
+def search(start: DataFrame, score: Callable[[DataFrame], DataFrame], first: float = 0.25, last: float = 1e-4, rounds: int = 600) -> DataFrame:
+    """Pair-transfer search on the simplex, all splits and starts in one job a round: SPLIT, start where given, w, status, score.
 
     The best transfer of h is taken; h is halved where none is better, and a split is done when h is below last. A split that
     is not done after the rounds is SOLVER_FAILED.
     """
-    state = materialize(start.select(*SPLIT, "w", F.lit(first).alias("h")), "search")
+    own = _own(start)
+    state = materialize(start.select(*own, "w", F.lit(first).alias("h"), F.lit(None).cast("double").alias("score")), "search")
     for _ in range(rounds):
         if state.filter(F.col("h") >= last).isEmpty():
             break
-        cands = candidates(state.filter(F.col("h") >= last).select(*SPLIT, "h", "w"))
-        scored = cands.join(score(cands), [*SPLIT, "h", "i", "j"])
-        best = scored.groupBy(*SPLIT).agg(F.min(F.struct("score", "i", "j", "w")).alias("best"), F.max(F.when(F.col("i") == 0, F.col("score"))).alias("now"))
+        cands = candidates(state.filter(F.col("h") >= last).select(*own, "h", "w"))
+        scored = cands.join(score(cands), [*own, "h", "i", "j"])
+        best = scored.groupBy(*own).agg(F.min(F.struct("score", "i", "j", "w")).alias("best"), F.max(F.when(F.col("i") == 0, F.col("score"))).alias("now"))
         better = F.col("best.score") < F.col("now") - 1e-15
-        moved = state.join(best, SPLIT, "left").select(*SPLIT, F.when(better, F.col("best.w")).otherwise(F.col("w")).alias("w"), F.when((F.col("h") < last) | better, F.col("h")).otherwise(F.col("h") / 2).alias("h"))
+        moved = state.join(best, own, "left").select(*own, F.when(better, F.col("best.w")).otherwise(F.col("w")).alias("w"), F.when((F.col("h") < last) | better, F.col("h")).otherwise(F.col("h") / 2).alias("h"),
+                                                     F.when(better, F.col("best.score")).otherwise(F.coalesce("now", "score")).alias("score"))
         state = materialize(moved, "search")
-    return state.select(*SPLIT, "w", F.when(F.col("h") < last, "OK").otherwise("SOLVER_FAILED").alias("status"))
-
-
-def _searched(rows: DataFrame, score: Callable[[DataFrame], DataFrame], challenger: str, **how) -> DataFrame:
-    assets = rows.groupBy(*SPLIT).agg(F.array_sort(F.collect_set("asset")).alias("assets"))
-    start = assets.select(*SPLIT, F.transform("assets", lambda a: 1.0 / F.size("assets")).alias("w"))
-    out = search(start, score, **how).join(assets, SPLIT).select(*SPLIT, "status", F.explode(F.arrays_zip("assets", "w")).alias("x"))
+    return state.select(*own, "w", F.when(F.col("h") < last, "OK").otherwise("SOLVER_FAILED").alias("status"), "score")
+
+
+def _searched(cov: DataFrame, rows: DataFrame, score: Callable[[DataFrame], DataFrame], challenger: str, **how) -> DataFrame:
+    """The best end of the searches from equal, inverse-volatility and HRP weights; the last two only where they have weights."""
+    assets = materialize(rows.groupBy(*SPLIT).agg(F.array_sort(F.collect_set("asset")).alias("assets")), "assets")
+    starts = assets.select(*SPLIT, F.lit(0).alias("start"), F.transform("assets", lambda a: 1.0 / F.size("assets")).alias("w"))
+    for k, rule in enumerate((inverse_volatility, hierarchical_risk_parity), 1):
+        ready = rule(cov).filter("status = 'OK'").groupBy(*SPLIT).agg(F.array_sort(F.collect_list(F.struct("asset", "weight"))).alias("x")).join(assets, SPLIT)
+        ready = ready.filter((F.col("x.asset") == F.col("assets")) & F.forall("x.weight", lambda w: w.isNotNull() & ~F.isnan(w)))
+        starts = starts.unionByName(ready.select(*SPLIT, F.lit(k).alias("start"), F.col("x.weight").alias("w")))
+    ends = search(starts, score, **how)
+    best = ends.groupBy(*SPLIT).agg(F.min(F.struct((F.col("status") != "OK").alias("failed"), "score", "start", "w", "status")).alias("e")).select(*SPLIT, "e.w", "e.status")
+    out = best.join(assets, SPLIT).select(*SPLIT, "status", F.explode(F.arrays_zip("assets", "w")).alias("x"))
     return _as_rule(out.select(*SPLIT, F.col("x.assets").alias("asset"), F.when(F.col("status") == "OK", F.col("x.w")).alias("weight"), "status"), challenger, "PAIR_TRANSFER_SEARCH")
 
 
 def risk_budget_cvar(cov: DataFrame, rows: DataFrame, **how) -> DataFrame:
     wide = materialize(_wide(rows), "scenarios")
-    return _searched(rows, lambda c: score_cvar_budget(c, wide), "risk_budget_cvar", **how)
+    return _searched(cov, rows, lambda c: score_cvar_budget(c, wide), "risk_budget_cvar", **how)
 
 
 def min_cdar(cov: DataFrame, rows: DataFrame, **how) -> DataFrame:
     wide = materialize(_wide(rows), "scenarios")
-    return _searched(rows, lambda c: score_cdar(c, wide), "min_cdar", **how)
+    return _searched(cov, rows, lambda c: score_cdar(c, wide), "min_cdar", **how)
 
 
 def mean_risk_inputs(rows: DataFrame) -> DataFrame:
@@ -177,7 +192,7 @@ def mean_risk_inputs(rows: DataFrame) -> DataFrame:
 
 def shrunk_mean_risk(cov: DataFrame, rows: DataFrame, **how) -> DataFrame:
     stats = materialize(mean_risk_inputs(rows), "mean_risk")
-    return _searched(rows, lambda c: score_mean_risk(c, stats), "shrunk_mean_risk", **how)
+    return _searched(cov, rows, lambda c: score_mean_risk(c, stats), "shrunk_mean_risk", **how)
 
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
