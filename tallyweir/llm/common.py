@@ -27,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets a folder of its own and any other is refused."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyweir-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -45,10 +47,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    Spark deletes a finished job's shuffle files once the driver's garbage collector finds that nothing refers to
+    them; it is asked to look now, as a long chain of jobs would otherwise keep the files of all of them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df. Only once nothing that reads df is still to run."""
+    _scratch.remove(df.scratch_path)
+    delete(df.sparkSession, [df.scratch_path])
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
@@ -78,9 +94,15 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
-def keyed(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id (long, may be null), th (hash of the text), text (never null) and what else is asked for."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), text_of().alias("text"), *more)
+def key_of(docs: DataFrame) -> Column:
+    """What names a document beside its doc_id: 0 where doc_ids are all there and differ, else the hash of the text."""
+    shared = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("k")).filter("k > 1 or doc_id is null")
+    return F.lit(0).cast("long") if shared.isEmpty() else text_key()
+
+
+def keyed(docs: DataFrame, *more: Column, th: Column | None = None) -> DataFrame:
+    """doc_id (long, may be null), th (hash of the text, or what key_of() gave), text (never null) and what else is asked for."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (text_key() if th is None else th).alias("th"), text_of().alias("text"), *more)
 
 
 def same(left: DataFrame, right: DataFrame, how: str = "inner", keys: tuple[str, ...] = ("doc_id", "th")) -> DataFrame:

@@ -2,12 +2,15 @@
 
 A line is the set of its words. Words are ordered by rarity (occurrences of their hash bucket over the whole
 corpus, then hash), so a line's prefix holds its rarest words. Two lines reach the Jaccard threshold only if their
-prefixes share a word, their lengths are close and the shared word stands early enough in both; what passes these
-filters is verified on the words themselves. Equal sets are joined once. A line goes if any earlier line (lower
-doc_id, then line number) reaches the threshold with it, whether or not that one goes too.
-
-For a group of many similar lines, each line is first held against the earliest line of each of its prefix
-words, then against the earliest that is still open; only lines left open meet all earlier lines of their words.
+prefixes share a word, their lengths are close and the shared word stands early enough in both. A 64-bit parity map of
+each line's words bounds from below by how many words two lines differ, and drops most of what else passes these
+filters; the rest is verified on the words themselves. Equal sets are joined once. A line goes if any earlier line
+(lower doc_id, then line number) reaches the threshold with it, whether or not that one goes too.
+
+The postings (a word of a prefix, the line, its length, place and map) are dealt by word once. Words of up to ``HOT``
+postings are joined there and then. Postings of the other words are set aside: each of their lines is first held against the
+earliest line of each word, which settles groups of many similar lines, and only lines still open meet all
+earlier lines, dealt by word and length class.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, keyed, materialize, same, text_key
+from .common import SPACES, drop_table, key_of, keyed, materialize, same
 
 #: Hash buckets that words are counted in: one short array for all workers.
 RARITY_BUCKETS = 1 << 14
+#: Postings of a word up to which all its lines are compared at once.
+HOT = 32
 
 
 def words_of(line: Column) -> Column:
@@ -36,14 +41,20 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(ranks[b]) for b in range(RARITY_BUCKETS))), ",").cast("array<int>")
 
 
-def codes_of(words: Column, ranks: Column) -> Column:
-    """Words as longs in order of rarity: 14 bits of rank, 48 bits of hash."""
+def codes_of(line: Column, ranks: Column) -> Column:
+    """The distinct words of a line as longs in order of rarity: 14 bits of rank, 48 bits of hash."""
+    hashes = F.transform(F.array_remove(F.split(line, SPACES), ""), lambda w: F.xxhash64(w))
+
+    def code(h: Column) -> Column:
+        return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
+
+    return F.sort_array(F.array_distinct(F.transform(hashes, code)))
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, F.pmod(h, F.lit(RARITY_BUCKETS))).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
-    return F.sort_array(F.transform(words, code))
+def parity_map(codes: Column) -> Column:
+    """64 bits, each the parity of the number of codes that fall on it: maps of two sets differ in no more bits than the sets in codes."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -51,58 +62,99 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def near_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, th, line_no of every line to remove. Lines without words stay. See the module text."""
-    own = keyed(docs)
-    ranks = rarity(own)
-    instances = lines_of(own).withColumn("codes", codes_of(words_of(F.col("line")), ranks)).withColumn("n", F.size("codes")).filter("n > 0")
-    k1, k2 = F.xxhash64("codes"), F.xxhash64(F.lit(1), "codes")
-    # below this many words only an equal set reaches the threshold
+def line_sets(own: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, th, line_no, k1 and k2 (digest of the word set), n (its size), bits, prefix: the hashes of its rarest words, as
+    many as a partner must share one of; null where only an equal set reaches the threshold."""
+    sets = lines_of(own).select("doc_id", "th", "line_no", codes_of(F.col("line"), rarity(own)).alias("codes"))
+    n = F.size("codes")
     least = math.floor(1 / (1 - threshold) - 1e-9) if threshold < 1 else 2**31 - 1
-    prefix = F.when(F.col("n") >= least, F.slice("codes", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1))
-    slim = materialize(instances.select("doc_id", "th", "line_no", k1.alias("k1"), k2.alias("k2"), "n", prefix.alias("prefix")), "line_sets")
-
-    at = F.struct("doc_id", "line_no", "th").alias("at")
-    classes = slim.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts = (classes.filter("prefix is not null").select("k1", "k2", "at", "n", F.posexplode("prefix").alias("pos", "code")))
-    posts = materialize(posts, "line_posts")
-    low = threshold / (1 + threshold)
-
-    def fits(a: str, b: str) -> Column:
-        """Length and positional filters for rows a.* and b.*."""
-        na, nb, pa, pb = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
-        return (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (F.least(na - pa, nb - pb) >= F.ceil((na + nb) * low - 1e-9))
-
-    def prefixed(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{p}{c}") if c != "code" else F.col(c) for c in df.columns])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """k1, k2 of those b of pairs (aat, bat, bk1, bk2) that reach the threshold with their a."""
-        pairs = materialize(pairs.select("aat", "bat", "bk1", "bk2").distinct(), "line_pairs")
-        wanted = pairs.select(F.explode(F.array("aat", "bat")).alias("at")).distinct().groupBy("at.doc_id", "at.th").agg(F.collect_set("at.line_no").alias("line_nos"))
-        texts = same(own, wanted).dropDuplicates(["doc_id", "th"])
-        picked = texts.select("doc_id", "th", F.explode("line_nos").alias("line_no"), F.split("text", "\n").alias("lines"))
-        words = materialize(picked.select(F.struct("doc_id", "line_no", "th").alias("at"), words_of(F.get("lines", F.col("line_no"))).alias("w")), "line_words")
-        both = pairs.join(words.select(F.col("at").alias("aat"), F.col("w").alias("aw")), "aat").join(words.select(F.col("at").alias("bat"), F.col("w").alias("bw")), "bat")
-        shared = F.size(F.array_intersect("aw", "bw"))
-        return both.filter(shared >= (F.size("aw") + F.size("bw") - shared) * threshold - 1e-9).select(F.col("bk1").alias("k1"), F.col("bk2").alias("k2")).distinct()
-
-    def against_first(open_: DataFrame, firsts: DataFrame) -> DataFrame:
-        """Pairs of each open line with the earliest line of each of its prefix words, per length class."""
-        pivot = prefixed(firsts.groupBy("code").agg(F.min(F.struct("at", "n", "pos")).alias("m")).select("code", "m.at", "m.n", "m.pos"), "a")
-        return prefixed(open_, "b").join(pivot, "code").filter((F.col("aat") < F.col("bat")) & fits("a", "b"))
-
-    near = materialize(verified(against_first(posts, posts)), "line_near")
-    still = posts.join(near, ["k1", "k2"], "left_anti")
-    again = materialize(verified(against_first(still, still)), "line_near")
-    near = near.unionByName(again)
-    still = posts.join(near, ["k1", "k2"], "left_anti")
-    rest = prefixed(still, "b").join(prefixed(posts, "a"), "code").filter((F.col("aat") < F.col("bat")) & fits("a", "b"))
-    near = materialize(near.unionByName(verified(rest)), "line_near")
-
-    firsts = classes.select("k1", "k2", "at").join(near.withColumn("near", F.lit(True)), ["k1", "k2"], "left")
-    judged = slim.select("k1", "k2", "doc_id", "th", "line_no").join(firsts, ["k1", "k2"])
-    return judged.filter(F.col("near").isNotNull() | ~F.struct("doc_id", "line_no", "th").eqNullSafe(F.col("at"))).select("doc_id", "th", "line_no").distinct()
+    rarest = F.slice("codes", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    prefix = F.when(n >= least, F.transform(rarest, lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    return sets.select("doc_id", "th", "line_no", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), parity_map(F.col("codes")).alias("bits"), prefix.alias("prefix"))
+
+
+class _Join:
+    """The filters of one threshold, for postings a.* and b.* of two lines."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    @staticmethod
+    def side(posts: DataFrame, p: str) -> DataFrame:
+        return posts.select("code", *[F.col(c).alias(p + c) for c in ("d", "l", "t", "n", "pos", "bits")])
+
+    @staticmethod
+    def at(p: str) -> Column:
+        return F.struct(F.col(f"{p}d").alias("doc_id"), F.col(f"{p}l").alias("line_no"), F.col(f"{p}t").alias("th"))
+
+    def may_match(self) -> Column:
+        """a is earlier, and length, positions and parity maps allow the threshold."""
+        na, nb, pa, pb = F.col("an"), F.col("bn"), F.col("apos"), F.col("bpos")
+        both = na + nb
+        close = F.least(na, nb) >= F.greatest(na, nb) * self.threshold - 1e-9
+        placed = F.least(na - pa, nb - pb) >= F.ceil(both * (self.threshold / (1 + self.threshold)) - 1e-9)
+        few = F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= both * ((1 - self.threshold) / (1 + self.threshold)) + 1e-9
+        return close & placed & few & (self.at("a") < self.at("b"))
+
+    def length_class(self, n: Column) -> Column:
+        """Lines whose classes differ by more than one are too unlike in length."""
+        return F.floor(F.log(n.cast("double")) / -math.log(self.threshold) + 1e-6).cast("int") if self.threshold < 1 else n
+
+    def pairs(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        return self.side(a, "a").join(self.side(b, "b"), "code").filter(self.may_match()).select(self.at("a").alias("a"), self.at("b").alias("b"))
+
+
+def near_lines(docs: DataFrame, threshold: float = 0.8, th: Column | None = None) -> DataFrame:
+    """doc_id, th, line_no of every line to remove; th as key_of() gives it. Lines without words stay. See the module text."""
+    own = keyed(docs, th=key_of(docs) if th is None else th)
+    join = _Join(threshold)
+    slim = materialize(line_sets(own, threshold), "line_sets")
+    worded = slim.filter("n > 0")
+
+    first = F.min(F.struct("doc_id", "line_no", "th"))
+    classes = worded.groupBy("k1", "k2").agg(first.alias("at"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
+    posts = classes.filter("prefix is not null").select(F.col("at.doc_id").alias("d"), F.col("at.line_no").alias("l"), F.col("at.th").alias("t"), "n", "bits", F.posexplode("prefix").alias("pos", "code"))
+    counts = posts.groupBy("code").agg(F.count("*").alias("k"))
+    cold, hot = posts.join(counts.filter((F.col("k") > 1) & (F.col("k") <= HOT)).select("code"), "code"), posts.join(counts.filter(F.col("k") > HOT).select("code"), "code")
+    columns = ["code", "d", "l", "t", "n", "pos", "bits"]
+    dealt = materialize(join.pairs(cold, cold).distinct().unionByName(hot.select(*columns), allowMissingColumns=True), "line_posts")
+    cold_pairs, hot = dealt.filter("code is null").select("a", "b"), dealt.filter("code is not null").select(*columns)
+
+    earliest = hot.groupBy("code").agg(F.min(F.struct("d", "l", "t", "n", "pos", "bits")).alias("m")).select("code", "m.*")
+    near = _verified(own, cold_pairs.unionByName(join.pairs(earliest, hot)), threshold)
+    settled = near.select(F.col("at.doc_id").alias("d"), F.col("at.line_no").alias("l"), F.col("at.th").alias("t"))
+    open_ = same(hot, settled, "left_anti", ("d", "l", "t"))
+    classed = hot.withColumn("class", join.length_class(F.col("n")))
+    asked = open_.withColumn("class", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: join.length_class(F.col("n")) + k)))
+    key = F.struct("code", "class").alias("code")
+    rest = join.pairs(classed.withColumn("code", key), asked.withColumn("code", key))
+    near = near.unionByName(_verified(own, rest, threshold)).distinct()
+
+    counted = worded.groupBy("k1", "k2").agg(first.alias("at"), F.count("*").alias("times"))
+    firsts = counted.join(near.withColumn("near", F.lit(True)), "at", "left").filter("near or times > 1")
+    gone = worded.select("k1", "k2", "doc_id", "th", "line_no").join(firsts, ["k1", "k2"]).filter(F.col("near").isNotNull() | ~F.struct("doc_id", "line_no", "th").eqNullSafe(F.col("at")))
+    out = materialize(gone.select("doc_id", "th", "line_no").distinct(), "line_gone")
+    for t in (slim, dealt):
+        drop_table(t)
+    return out
+
+
+def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """at: those b of pairs (a, b) of lines (doc_id, line_no, th) whose words reach the threshold with their a's."""
+    pairs = materialize(pairs.distinct(), "line_pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().groupBy("at.doc_id", "at.th").agg(F.collect_set("at.line_no").alias("line_nos"))
+    texts = same(own, materialize(wanted, "line_wanted"))
+    # explode() of one array keeps the optimizer from splitting the text anew for each line
+    split = texts.select("doc_id", "th", "line_nos", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
+    picked = split.select("doc_id", "th", F.explode(F.transform("line_nos", lambda k: F.struct(k.alias("line_no"), F.get("lines", k).alias("line")))).alias("x"))
+    words = picked.select(F.struct("doc_id", "x.line_no", "th").alias("at"), words_of(F.col("x.line")).alias("w")).dropDuplicates(["at"])
+    words = materialize(words, "line_words")
+    both = pairs.join(words.select(F.col("at").alias("a"), F.col("w").alias("aw")), "a").join(words.select(F.col("at").alias("b"), F.col("w").alias("bw")), "b")
+    shared = F.size(F.array_intersect("aw", "bw"))
+    out = materialize(both.filter(shared >= (F.size("aw") + F.size("bw") - shared) * threshold - 1e-9).select(F.col("b").alias("at")).distinct(), "line_near")
+    for t in (pairs, words):
+        drop_table(t)
+    return out
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -111,8 +163,9 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Null texts stay null. Rows that repeat doc_id and text are one document here, so its lines do not remove
     themselves: each such row keeps the same lines. Empty table: empty result.
     """
-    gone = near_lines(docs, threshold).groupBy(F.col("doc_id").alias("__tw_id"), F.col("th").alias("__tw_th")).agg(F.collect_set("line_no").alias("__tw_gone"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__tw_id")) & (text_key() == F.col("__tw_th"))
+    th = key_of(docs)
+    gone = near_lines(docs, threshold, th).groupBy(F.col("doc_id").alias("__tw_id"), F.col("th").alias("__tw_th")).agg(F.collect_set("line_no").alias("__tw_gone"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__tw_id")) & (th == F.col("__tw_th"))
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__tw_gone", i)), "\n")
     text = F.when(F.col("__tw_gone").isNull(), F.col("text")).otherwise(left)
@@ -121,7 +174,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def line_counts(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0, ascending): a row per input row."""
-    gone = near_lines(docs, threshold).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    own = keyed(docs).select("doc_id", "th", F.size(F.split("text", "\n")).alias("n_lines"))
+    th = key_of(docs)
+    gone = near_lines(docs, threshold, th).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    own = keyed(docs, th=th).select("doc_id", "th", F.size(F.split("text", "\n")).alias("n_lines"))
     out = same(own, gone, "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

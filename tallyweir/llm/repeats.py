@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, same, text_key, text_of
+from .common import key_of, materialize, same, text_of
 
 OCCURRENCES = "doc_id long, th long, at int, n int, anchor long, context long"
 _OCC = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("context", pa.int64())])
@@ -109,10 +109,7 @@ def contexts(value: np.ndarray, place: np.ndarray, owner: np.ndarray, ok: np.nda
 
 def _byte_docs(docs: DataFrame) -> DataFrame:
     """doc_id, th, text as bytes. Where doc_ids are all there and differ, they name documents alone and th is 0."""
-    doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    shared = docs.select(doc_id).groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1 or doc_id is null")
-    th = F.lit(0).cast("long") if shared.isEmpty() else text_key()
-    return docs.select(doc_id, th.alias("th"), text_of().cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(docs).alias("th"), text_of().cast("binary").alias("text"))
 
 
 def _grouped(batches: Iterator, size: int) -> Iterator[tuple[list, list, list]]:
