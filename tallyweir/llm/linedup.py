@@ -10,7 +10,7 @@ filters; the rest is verified on the words themselves. Equal sets are joined onc
 The postings (a word of a prefix, the line, its length, place and map) are dealt by word once. Words of up to ``HOT``
 postings are joined there and then. Postings of the other words are set aside: each of their lines is first held against the
 earliest line of each word, which settles groups of many similar lines, and only lines still open meet all
-earlier lines, dealt by word and length class.
+earlier lines, dealt by word and length class. Pairs that met in too few words of their prefixes are dropped as well.
 """
 
 from __future__ import annotations
@@ -23,32 +23,39 @@ from pyspark.sql import functions as F
 from .common import SPACES, drop_table, key_of, keyed, materialize, same
 
 #: Hash buckets that words are counted in: one short array for all workers.
-RARITY_BUCKETS = 1 << 14
+RARITY_BUCKETS = 1 << 17
 #: Postings of a word up to which all its lines are compared at once.
-HOT = 32
+HOT = 128
+
+
+def split_words(line: Column) -> Column:
+    """Words and empty strings. Most lines hold no white space but single spaces; Java splits these without a pattern."""
+    return F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, SPACES)).otherwise(F.split(line, " "))
 
 
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, SPACES), ""))
+    return F.array_distinct(F.array_remove(split_words(line), ""))
 
 
-def rarity(docs: DataFrame) -> Column:
-    """A constant array: the rank of each word bucket by its occurrences in all texts."""
-    words = docs.select(F.explode(F.split("text", SPACES)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()  # RARITY_BUCKETS rows at most
-    n = {r["b"]: r["n"] for r in counts}
-    ranks = {b: k for k, b in enumerate(sorted(range(RARITY_BUCKETS), key=lambda b: (n.get(b, 0), b)))}
-    return F.split(F.lit(",".join(str(ranks[b]) for b in range(RARITY_BUCKETS))), ",").cast("array<int>")
+def rarity(lines: DataFrame) -> Column:
+    """A constant array: for each word bucket a number that grows with its occurrences in all lines, in steps of a tenth."""
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(RARITY_BUCKETS - 1))
+    words = lines.select(F.explode(split_words(F.col("line"))).alias("w"))
+    counts = words.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()  # RARITY_BUCKETS rows at most
+    steps = [0] * RARITY_BUCKETS
+    for r in counts:
+        steps[r["b"]] = int(7 * math.log2(r["n"]))
+    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<int>")
 
 
 def codes_of(line: Column, ranks: Column) -> Column:
     """The distinct words of a line as longs in order of rarity: 14 bits of rank, 48 bits of hash."""
-    hashes = F.transform(F.array_remove(F.split(line, SPACES), ""), lambda w: F.xxhash64(w))
+    hashes = F.transform(split_words(line), lambda w: F.when(w != "", F.xxhash64(w)))
 
     def code(h: Column) -> Column:
         return F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
-    return F.sort_array(F.array_distinct(F.transform(hashes, code)))
+    return F.sort_array(F.array_compact(F.array_distinct(F.transform(hashes, code))))
 
 
 def parity_map(codes: Column) -> Column:
@@ -62,17 +69,21 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def line_sets(own: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, th, line_no, k1 and k2 (digest of the word set), n (its size), bits, prefix: the hashes of its rarest words, as
-    many as a partner must share one of; null where only an equal set reaches the threshold."""
-    sets = lines_of(own).select("doc_id", "th", "line_no", codes_of(F.col("line"), rarity(own)).alias("codes"))
+def line_sets(lines: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, th, line_no, k1 and k2 (digest of the word set), n (its size), bits (parity map), prefix: the hashes of its rarest
+    words, as many as a partner must share one of; null where only an equal set reaches the threshold."""
+    sets = lines.select("doc_id", "th", "line_no", codes_of(F.col("line"), rarity(lines)).alias("codes"))
     n = F.size("codes")
     least = math.floor(1 / (1 - threshold) - 1e-9) if threshold < 1 else 2**31 - 1
-    rarest = F.slice("codes", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    rarest = F.slice("codes", F.lit(1), prefix_size(n, threshold))
     prefix = F.when(n >= least, F.transform(rarest, lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
     return sets.select("doc_id", "th", "line_no", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"), parity_map(F.col("codes")).alias("bits"), prefix.alias("prefix"))
 
 
+def prefix_size(n: Column, threshold: float) -> Column:
+    return n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+
+
 class _Join:
     """The filters of one threshold, for postings a.* and b.* of two lines."""
 
@@ -92,33 +103,47 @@ class _Join:
         na, nb, pa, pb = F.col("an"), F.col("bn"), F.col("apos"), F.col("bpos")
         both = na + nb
         close = F.least(na, nb) >= F.greatest(na, nb) * self.threshold - 1e-9
-        placed = F.least(na - pa, nb - pb) >= F.ceil(both * (self.threshold / (1 + self.threshold)) - 1e-9)
+        placed = F.least(na - pa, nb - pb) >= self.overlap(both)
         few = F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= both * ((1 - self.threshold) / (1 + self.threshold)) + 1e-9
         return close & placed & few & (self.at("a") < self.at("b"))
 
+    def overlap(self, both: Column) -> Column:
+        """Common words that two sets of so many words in all need."""
+        return F.ceil(both * (self.threshold / (1 + self.threshold)) - 1e-9)
+
     def length_class(self, n: Column) -> Column:
         """Lines whose classes differ by more than one are too unlike in length."""
         return F.floor(F.log(n.cast("double")) / -math.log(self.threshold) + 1e-6).cast("int") if self.threshold < 1 else n
 
-    def pairs(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        return self.side(a, "a").join(self.side(b, "b"), "code").filter(self.may_match()).select(self.at("a").alias("a"), self.at("b").alias("b"))
+    def pairs(self, a: DataFrame, b: DataFrame, hidden: int | None = None) -> DataFrame:
+        """a and b of lines that share a word of their prefixes.
+
+        hidden: how many common words of two prefixes may be missing from these postings, if known. Up to the end of the prefix that
+        ends first the common words are those found; behind it there are as many as that line has words left, at most.
+        """
+        met = self.side(a, "a").join(self.side(b, "b"), "code").filter(self.may_match()).select(self.at("a").alias("a"), self.at("b").alias("b"), "an", "bn")
+        found = met.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("found"))
+        if hidden is not None:
+            left = [F.col(n) - prefix_size(F.col(n), self.threshold) for n in ("an", "bn")]
+            found = found.filter(F.col("found") + hidden + F.greatest(*left) >= self.overlap(F.col("an") + F.col("bn")))
+        return found.select("a", "b")
 
 
 def near_lines(docs: DataFrame, threshold: float = 0.8, th: Column | None = None) -> DataFrame:
     """doc_id, th, line_no of every line to remove; th as key_of() gives it. Lines without words stay. See the module text."""
     own = keyed(docs, th=key_of(docs) if th is None else th)
     join = _Join(threshold)
-    slim = materialize(line_sets(own, threshold), "line_sets")
+    slim = materialize(line_sets(lines_of(own), threshold), "line_sets")
     worded = slim.filter("n > 0")
 
     first = F.min(F.struct("doc_id", "line_no", "th"))
-    classes = worded.groupBy("k1", "k2").agg(first.alias("at"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
+    classes = materialize(worded.groupBy("k1", "k2").agg(first.alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")]), "line_classes")
     posts = classes.filter("prefix is not null").select(F.col("at.doc_id").alias("d"), F.col("at.line_no").alias("l"), F.col("at.th").alias("t"), "n", "bits", F.posexplode("prefix").alias("pos", "code"))
-    counts = posts.groupBy("code").agg(F.count("*").alias("k"))
-    cold, hot = posts.join(counts.filter((F.col("k") > 1) & (F.col("k") <= HOT)).select("code"), "code"), posts.join(counts.filter(F.col("k") > HOT).select("code"), "code")
-    columns = ["code", "d", "l", "t", "n", "pos", "bits"]
-    dealt = materialize(join.pairs(cold, cold).distinct().unionByName(hot.select(*columns), allowMissingColumns=True), "line_posts")
-    cold_pairs, hot = dealt.filter("code is null").select("a", "b"), dealt.filter("code is not null").select(*columns)
+    often = materialize(posts.groupBy("code").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("code"), "line_often")
+    hot = materialize(posts.join(often, "code", "left_semi"), "line_hot")
+    hidden = hot.groupBy("d", "l", "t").count().agg(F.max("count")).first()[0] or 0
+    cold = posts.join(often, "code", "left_anti")
+    cold_pairs = materialize(join.pairs(cold, cold, hidden), "line_pairs")
 
     earliest = hot.groupBy("code").agg(F.min(F.struct("d", "l", "t", "n", "pos", "bits")).alias("m")).select("code", "m.*")
     near = _verified(own, cold_pairs.unionByName(join.pairs(earliest, hot)), threshold)
@@ -130,11 +155,10 @@ def near_lines(docs: DataFrame, threshold: float = 0.8, th: Column | None = None
     rest = join.pairs(classed.withColumn("code", key), asked.withColumn("code", key))
     near = near.unionByName(_verified(own, rest, threshold)).distinct()
 
-    counted = worded.groupBy("k1", "k2").agg(first.alias("at"), F.count("*").alias("times"))
-    firsts = counted.join(near.withColumn("near", F.lit(True)), "at", "left").filter("near or times > 1")
+    firsts = classes.select("k1", "k2", "at", "times").join(near.withColumn("near", F.lit(True)), "at", "left").filter("near or times > 1")
     gone = worded.select("k1", "k2", "doc_id", "th", "line_no").join(firsts, ["k1", "k2"]).filter(F.col("near").isNotNull() | ~F.struct("doc_id", "line_no", "th").eqNullSafe(F.col("at")))
     out = materialize(gone.select("doc_id", "th", "line_no").distinct(), "line_gone")
-    for t in (slim, dealt):
+    for t in (slim, classes, cold_pairs, hot):
         drop_table(t)
     return out
 
