@@ -2,15 +2,15 @@
 
 A line is the set of its words. Words are ordered by rarity (occurrences of their hash bucket over the whole
 corpus, then hash), so a line's prefix holds its rarest words. Two lines reach the Jaccard threshold only if their
-prefixes share a word, their lengths are close and the shared word stands early enough in both. A 64-bit parity map of
+prefixes share enough words, their lengths are close and the first shared word stands early enough in both. A 64-bit parity map of
 each line's words bounds from below by how many words two lines differ, and drops most of what else passes these
-filters; the rest is verified on the words themselves. Equal sets are joined once. A line goes if any earlier line
+filters; the rest is verified on all words. Equal sets are joined once. A line goes if any earlier line
 (lower doc_id, then line number) reaches the threshold with it, whether or not that one goes too.
 
 The postings (a word of a prefix, the line, its length, place and map) are dealt by word once. Words of up to ``HOT``
 postings are joined there and then. Postings of the other words are set aside: each of their lines is first held against the
 earliest line of each word, which settles groups of many similar lines, and only lines still open meet all
-earlier lines, dealt by word and length class. Pairs that met in too few words of their prefixes are dropped as well.
+earlier lines, dealt by word and length class.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def split_words(line: Column) -> Column:
 
 
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(split_words(line), ""))
+    return F.array_distinct(F.array_compact(F.transform(split_words(line), lambda w: F.when(w != "", F.xxhash64(w)))))
 
 
 def rarity(lines: DataFrame) -> Column:
@@ -99,13 +99,11 @@ class _Join:
         return F.struct(F.col(f"{p}d").alias("doc_id"), F.col(f"{p}l").alias("line_no"), F.col(f"{p}t").alias("th"))
 
     def may_match(self) -> Column:
-        """a is earlier, and length, positions and parity maps allow the threshold."""
-        na, nb, pa, pb = F.col("an"), F.col("bn"), F.col("apos"), F.col("bpos")
-        both = na + nb
+        """a is earlier, and lengths and parity maps allow the threshold."""
+        na, nb = F.col("an"), F.col("bn")
         close = F.least(na, nb) >= F.greatest(na, nb) * self.threshold - 1e-9
-        placed = F.least(na - pa, nb - pb) >= self.overlap(both)
-        few = F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= both * ((1 - self.threshold) / (1 + self.threshold)) + 1e-9
-        return close & placed & few & (self.at("a") < self.at("b"))
+        few = F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= (na + nb) * ((1 - self.threshold) / (1 + self.threshold)) + 1e-9
+        return close & few & (self.at("a") < self.at("b"))
 
     def overlap(self, both: Column) -> Column:
         """Common words that two sets of so many words in all need."""
@@ -115,18 +113,22 @@ class _Join:
         """Lines whose classes differ by more than one are too unlike in length."""
         return F.floor(F.log(n.cast("double")) / -math.log(self.threshold) + 1e-6).cast("int") if self.threshold < 1 else n
 
-    def pairs(self, a: DataFrame, b: DataFrame, hidden: int | None = None) -> DataFrame:
+    def pairs(self, a: DataFrame, b: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
         """a and b of lines that share a word of their prefixes.
 
-        hidden: how many common words of two prefixes may be missing from these postings, if known. Up to the end of the prefix that
-        ends first the common words are those found; behind it there are as many as that line has words left, at most.
+        hidden (b, hid): how many words of a line's prefix have no postings here, where there are such words; without it nothing is
+        known of the words that two lines share besides. Up to the end of the prefix that ends first the common words are
+        those found and hidden; behind it there are as many as that line has words left, at most.
         """
-        met = self.side(a, "a").join(self.side(b, "b"), "code").filter(self.may_match()).select(self.at("a").alias("a"), self.at("b").alias("b"), "an", "bn")
-        found = met.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("found"))
-        if hidden is not None:
-            left = [F.col(n) - prefix_size(F.col(n), self.threshold) for n in ("an", "bn")]
-            found = found.filter(F.col("found") + hidden + F.greatest(*left) >= self.overlap(F.col("an") + F.col("bn")))
-        return found.select("a", "b")
+        met = self.side(a, "a").join(self.side(b, "b"), "code").filter(self.may_match()).select(self.at("a").alias("a"), self.at("b").alias("b"), "an", "bn", "apos", "bpos")
+        pairs = met.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("found"), F.min("apos").alias("apos"), F.min("bpos").alias("bpos"))
+        if hidden is None:
+            return pairs.select("a", "b")
+        need = self.overlap(F.col("an") + F.col("bn"))
+        placed = F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos")) >= need
+        left = [F.col(n) - prefix_size(F.col(n), self.threshold) for n in ("an", "bn")]
+        enough = F.col("found") + F.coalesce("hid", F.lit(0)) + F.greatest(*left) >= need
+        return pairs.join(hidden, "b", "left").filter(enough & (placed | F.col("hid").isNotNull())).select("a", "b")
 
 
 def near_lines(docs: DataFrame, threshold: float = 0.8, th: Column | None = None) -> DataFrame:
@@ -141,7 +143,7 @@ def near_lines(docs: DataFrame, threshold: float = 0.8, th: Column | None = None
     posts = classes.filter("prefix is not null").select(F.col("at.doc_id").alias("d"), F.col("at.line_no").alias("l"), F.col("at.th").alias("t"), "n", "bits", F.posexplode("prefix").alias("pos", "code"))
     often = materialize(posts.groupBy("code").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("code"), "line_often")
     hot = materialize(posts.join(often, "code", "left_semi"), "line_hot")
-    hidden = hot.groupBy("d", "l", "t").count().agg(F.max("count")).first()[0] or 0
+    hidden = materialize(hot.groupBy(F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.col("t").alias("th")).alias("b")).agg(F.count("*").alias("hid")), "line_hidden")
     cold = posts.join(often, "code", "left_anti")
     cold_pairs = materialize(join.pairs(cold, cold, hidden), "line_pairs")
 
@@ -164,14 +166,15 @@ def near_lines(docs: DataFrame, threshold: float = 0.8, th: Column | None = None
 
 
 def _verified(own: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """at: those b of pairs (a, b) of lines (doc_id, line_no, th) whose words reach the threshold with their a's."""
+    """at: those b of pairs (a, b) of lines (doc_id, line_no, th) whose words, as 64-bit hashes, reach the threshold with their a's."""
     pairs = materialize(pairs.distinct(), "line_pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().groupBy("at.doc_id", "at.th").agg(F.collect_set("at.line_no").alias("line_nos"))
     texts = same(own, materialize(wanted, "line_wanted"))
     # explode() of one array keeps the optimizer from splitting the text anew for each line
     split = texts.select("doc_id", "th", "line_nos", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
     picked = split.select("doc_id", "th", F.explode(F.transform("line_nos", lambda k: F.struct(k.alias("line_no"), F.get("lines", k).alias("line")))).alias("x"))
-    words = picked.select(F.struct("doc_id", "x.line_no", "th").alias("at"), words_of(F.col("x.line")).alias("w")).dropDuplicates(["at"])
+    words = picked.select(F.struct("doc_id", "x.line_no", "th").alias("at"), words_of(F.col("x.line")).alias("w"))
+    words = words.dropDuplicates(["at"])  # rows may repeat a document
     words = materialize(words, "line_words")
     both = pairs.join(words.select(F.col("at").alias("a"), F.col("w").alias("aw")), "a").join(words.select(F.col("at").alias("b"), F.col("w").alias("bw")), "b")
     shared = F.size(F.array_intersect("aw", "bw"))
