@@ -25,7 +25,7 @@ from .common import SPACES, drop_table, key_of, keyed, materialize, same
 #: Hash buckets that words are counted in: one short array for all workers.
 RARITY_BUCKETS = 1 << 17
 #: Postings of a word up to which all its lines are compared at once.
-HOT = 128
+HOT = 512
 
 
 def split_words(line: Column) -> Column:
@@ -116,7 +116,7 @@ class _Join:
     def pairs(self, a: DataFrame, b: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
         """a and b of lines that share a word of their prefixes.
 
-        hidden (b, hid): how many words of a line's prefix have no postings here, where there are such words; without it nothing is
+        hidden (line, number): how many words of a line's prefix have no postings here, where there are such words; without it nothing is
         known of the words that two lines share besides. Up to the end of the prefix that ends first the common words are
         those found and hidden; behind it there are as many as that line has words left, at most.
         """
@@ -127,8 +127,9 @@ class _Join:
         need = self.overlap(F.col("an") + F.col("bn"))
         placed = F.least(F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos")) >= need
         left = [F.col(n) - prefix_size(F.col(n), self.threshold) for n in ("an", "bn")]
-        enough = F.col("found") + F.coalesce("hid", F.lit(0)) + F.greatest(*left) >= need
-        return pairs.join(hidden, "b", "left").filter(enough & (placed | F.col("hid").isNotNull())).select("a", "b")
+        hid = F.least(F.coalesce("ahid", F.lit(0)), F.coalesce("bhid", F.lit(0)))
+        known = pairs.join(hidden.toDF("a", "ahid"), "a", "left").join(hidden.toDF("b", "bhid"), "b", "left")
+        return known.filter((F.col("found") + hid + F.greatest(*left) >= need) & (placed | (hid > 0))).select("a", "b")
 
 
 def near_lines(docs: DataFrame, threshold: float = 0.8, th: Column | None = None) -> DataFrame:
@@ -143,7 +144,7 @@ def near_lines(docs: DataFrame, threshold: float = 0.8, th: Column | None = None
     posts = classes.filter("prefix is not null").select(F.col("at.doc_id").alias("d"), F.col("at.line_no").alias("l"), F.col("at.th").alias("t"), "n", "bits", F.posexplode("prefix").alias("pos", "code"))
     often = materialize(posts.groupBy("code").agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select("code"), "line_often")
     hot = materialize(posts.join(often, "code", "left_semi"), "line_hot")
-    hidden = materialize(hot.groupBy(F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.col("t").alias("th")).alias("b")).agg(F.count("*").alias("hid")), "line_hidden")
+    hidden = materialize(hot.groupBy(F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no"), F.col("t").alias("th")).alias("at")).agg(F.count("*").alias("k")), "line_hidden")
     cold = posts.join(often, "code", "left_anti")
     cold_pairs = materialize(join.pairs(cold, cold, hidden), "line_pairs")
 
