@@ -2,21 +2,21 @@
 
 A text is the set of its five-word shingles. In each run a keyed hash samples shingles of a set, on average
 1/threshold of them; each sampled shingle leads to a bucket, and texts that share it meet there. Buckets of up to
-``limit`` texts are compared exhaustively and exactly. The texts of a larger bucket sample again, under the path so
-far, and split on; at the last level a bucket that is still large is compared block by block. A similar pair
-meets in one run with a known probability, and runs are repeated until a pair at the threshold is met with the target
-recall; pairs that are more alike are met more surely.
+``LIMIT`` texts are compared exhaustively and exactly. The texts of a larger bucket sample again, ``AGAIN`` times over, and split
+on, unless they are so alike that most share every shingle: these, and what is still large at the last level, are compared
+block by block. A similar pair meets in one run with a known probability, and runs are repeated until a pair at the threshold
+is met with the target recall; pairs that are more alike are met more surely.
 
 Equal texts are one class and joined once. A pair is compared only in the first bucket (by key) it shares, so every
 link is counted once and no pair is written anywhere: a bucket reports, per text, how many links it found and
-one neighbour in its group. Groups are the connected components of the links.
+one neighbour in its group. Before that, lengths and parity maps (a bit per shingle hash, flipped by each shingle: two sets
+differ in at least as many shingles as their maps in bits) tell which texts of a bucket can have a partner at all; only
+these texts' shingles are sent. Groups are the connected components of the links.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +31,11 @@ SHINGLE = 5
 LEVELS = 3
 #: Texts that a bucket may hold to be compared at once.
 LIMIT = 512
+#: Times that the texts of a larger bucket sample on.
+AGAIN = 3
+#: A bucket is not split where its texts' next buckets hold, on average, this share of it.
+DENSE = 0.5
+MAP_BITS = 512
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -46,39 +51,37 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(out)
 
 
-def survival(threshold: float, levels: int = LEVELS) -> float:
-    """The chance that a pair at the threshold shares a path of that many levels in one run.
+def survival(again: int = AGAIN) -> float:
+    """The chance that a pair at the threshold meets in one run, however deep its buckets have to be split.
 
     It shares at least threshold * max(|x|, |y|) shingles, each sampled by both with probability
-    1 / (threshold * max(|x|, |y|)): one common child on average at every node.
+    1 / (threshold * max(|x|, |y|)): one common child on average for each time that a node samples.
     """
-    alive = 1.0
-    for _ in range(levels):
-        alive = 1 - math.exp(-alive)
-    return alive
+    below = 1.0
+    for _ in range(100):
+        below = 1 - math.exp(-again * below)
+    return 1 - math.exp(-below)
 
 
-def runs_for(threshold: float, recall: float) -> int:
-    """Runs until a pair is met with the recall, even where each level is needed."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold)))
+def runs_for(recall: float) -> int:
+    """Runs until a pair at the threshold is met with the recall."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival()))
 
 
-def paths(s: np.ndarray, runs: int, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level, keys of the nodes the set belongs to and their parents' keys."""
-    out, nodes = [], mix(np.arange(runs, dtype=np.uint64), 0, 77)
+def children(s: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that the set samples under each node, and which node each is under."""
     bar = np.uint64(min((1 << 64) - 1, int(2.0**64 / (threshold * max(1, len(s))))))
-    for level in range(LEVELS):
-        keys, parents = [], []
-        step = max(1, (1 << 20) // max(1, len(s)))
-        for i in range(0, len(nodes), step):
-            some = nodes[i : i + step]
-            at, which = np.nonzero(mix(s[None, :], some[:, None], 100 + level) <= bar) if len(s) else (np.zeros(0, int),) * 2
-            parents.append(some[at])
-            keys.append(mix(s[which], some[at], 200 + level))
-        parent, key = (np.concatenate(parents), np.concatenate(keys)) if parents else (np.zeros(0, np.uint64),) * 2
-        out.append((key.view(np.int64), parent.view(np.int64)))
-        nodes = key
-    return out
+    keys, under, step = [], [], max(1, (1 << 20) // max(1, len(s)))
+    for i in range(0, len(nodes), step):
+        some = nodes[i : i + step]
+        at, which = np.nonzero(mix(s[None, :], some[:, None], 100) <= bar) if len(s) else (np.zeros(0, int),) * 2
+        keys.append(mix(s[which], some[at], 200))
+        under.append(at + i)
+    return (np.concatenate(keys).view(np.int64), np.concatenate(under)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def parity_map(s: np.ndarray) -> bytes:
+    return np.packbits(np.bincount(s & np.uint64(MAP_BITS - 1), minlength=MAP_BITS).astype(np.uint8) & 1).tobytes()
 
 
 def _overlaps(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -127,16 +130,52 @@ def compare(sets: list[np.ndarray], earlier: list[np.ndarray], side: np.ndarray,
     return links, np.array([find(i) for i in range(len(sets))])
 
 
-def _by_bucket(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema, groups: int) -> DataFrame:
-    """f on the rows of each bucket. Most buckets hold two or three rows, so many are handed over together."""
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="__g").sort_values(["node", "b0", "b1"], kind="stable", ignore_index=True)
-        key = pdf[["node", "b0", "b1"]].to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        return pd.concat([f(pdf[i:j]) for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)], strict=True)], ignore_index=True)
-
-    return rows.withColumn("__g", F.pmod(F.xxhash64("node", "b0", "b1"), F.lit(groups)).cast("int")).groupBy("__g").applyInPandas(each, schema)
+def _cuts(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """First and one past the last row of each bucket of sorted rows."""
+    key = pdf[["node", "b0", "b1"]].to_numpy()
+    cuts = (np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(pdf)], strict=True))
+
+
+def with_partner(pdf: pd.DataFrame, threshold: float) -> np.ndarray:
+    """Flags of the rows, sorted by bucket, that have a possible partner whose first common bucket this is."""
+    side, size = pdf["side"].to_numpy(), pdf["n"].to_numpy()
+    earlier, maps = [set(e) for e in pdf["earlier"]], np.frombuffer(b"".join(pdf["map"]), np.uint64).reshape(len(pdf), -1)
+    apart = (1 - threshold) / (1 + threshold)
+    keep = np.zeros(len(pdf), bool)
+    for i, j in _cuts(pdf):
+        for k in range(i, j - 1):  # row k with the rows behind it
+            n = size[k + 1 : j]
+            ok = np.minimum(n, size[k]) >= np.maximum(n, size[k]) * threshold - 1e-9
+            if ok.any():
+                rest = np.flatnonzero(ok & ((side[k + 1 : j] != side[k]) | (side[k] == 2))) + k + 1
+                far = np.bitwise_count(maps[rest] ^ maps[k]).sum(axis=1)
+                rest = rest[far <= (size[rest] + size[k]) * apart + 1e-9]
+                found = [x for x in rest.tolist() if earlier[k].isdisjoint(earlier[x])]
+                if found:
+                    keep[k] = keep[found] = True
+    return keep
+
+
+def linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """c, links, peer of the rows, sorted by bucket, that have links there."""
+    sets, earlier, side, c = [np.frombuffer(x, np.uint64) for x in pdf["own"]], list(pdf["earlier"]), pdf["side"].to_numpy(), pdf["c"].to_numpy()
+    links, peer = np.zeros(len(pdf), np.int64), c.copy()
+    for i, j in _cuts(pdf):
+        if j - i == 2:  # most are
+            a, b = sets[i], sets[i + 1]
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            if shared and shared >= (len(a) + len(b) - shared) * threshold - 1e-9 and (side[i] != side[i + 1] or side[i] == 2) and set(earlier[i]).isdisjoint(earlier[i + 1]):
+                links[i : i + 2], peer[i + 1] = 1, c[i]
+        else:
+            links[i:j], root = compare(sets[i:j], [np.asarray(e, np.int64) for e in earlier[i:j]], side[i:j], threshold)
+            peer[i:j] = c[i:j][root]
+    return pd.DataFrame({"c": c, "links": links, "peer": peer})[links > 0]
+
+
+def _dealt(rows: DataFrame, groups: int) -> DataFrame:
+    """Most buckets hold two or three rows, so many are handed over together."""
+    return rows.withColumn("__g", F.pmod(F.xxhash64("node", "b0", "b1"), F.lit(groups)).cast("int")).groupBy("__g")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,77 +205,91 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     rows are rows of their text's class. An empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), text_of().cast("binary").alias("text"))
-    runs = runs_for(threshold, recall)
-    levels = pa.list_(pa.int64())
+    seeds = mix(np.arange(runs_for(recall), dtype=np.uint64), 0, 77)
+    longs, order = pa.list_(pa.int64()), ["node", "b0", "b1", "c"]
 
     def emit(batches):
         for b in batches:
-            rows, who = [[] for _ in range(2 * LEVELS)], []
-            for text in b.column("text").to_pylist():
-                got = paths(shingles(text), runs, threshold)
-                for k, (key, parent) in enumerate(got):
-                    rows[2 * k].append(key)
-                    rows[2 * k + 1].append(parent)
-                who.append(xxhash.xxh3_128_hexdigest(text))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(who, pa.string()), *[pa.array(r, levels) for r in rows]], names=["doc_id", "th", "c", *[f"{x}{k}" for k in range(LEVELS) for x in "kp"]])
-
-    parts = [f"{x}{k}" for k in range(LEVELS) for x in "kp"]
-    every = materialize(base.mapInArrow(emit, "doc_id long, th long, c string, " + ", ".join(f"{p} array<long>" for p in parts)), "path_docs")
-    classes = materialize(every.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("rep"), *[F.first(p).alias(p) for p in parts]), "path_classes")
-
-    active, parents = [], None
-    for level in range(LEVELS):
-        nodes = classes.select("c", F.explode(F.arrays_zip(f"k{level}", f"p{level}")).alias("x")).select("c", F.col(f"x.k{level}").alias("node"), F.col(f"x.p{level}").alias("parent"))
-        if parents is not None:
-            nodes = nodes.join(parents, "parent", "left_semi")
-        counts = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = materialize(nodes.select("c", "node").distinct().join(counts, "node"), "path_nodes")
-        active.append(sized.filter(F.col("size") <= limit) if level < LEVELS - 1 else sized)
-        parents = sized.filter(F.col("size") > limit).select(F.col("node").alias("parent")).distinct()
-        if level == LEVELS - 1 or parents.isEmpty():
+            known: dict[str, tuple] = {}  # copies often stand together
+            who = [xxhash.xxh3_128_hexdigest(t) for t in b.column("text").to_pylist()]
+            for c, text in zip(who, b.column("text").to_pylist(), strict=True):
+                if c not in known:
+                    s = shingles(text)
+                    known[c] = (children(s, seeds, threshold)[0], len(s), parity_map(s))
+            keys, n, maps = zip(*[known[c] for c in who], strict=True) if who else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(who, pa.string()), pa.array(keys, longs), pa.array(n, pa.int32()), pa.array(maps, pa.binary())], names=["doc_id", "th", "c", "keys", "n", "map"])
+
+    every = materialize(base.mapInArrow(emit, "doc_id long, th long, c string, keys array<long>, n int, map binary"), "path_docs")
+    classes = materialize(every.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("rep"), *[F.first(x).alias(x) for x in ("keys", "n", "map")]), "path_classes")
+    reps = classes.select("c", "rep.doc_id", "rep.th")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node")
+
+    def below(batches):
+        """For each text and bucket of it, what it samples on."""
+        again = np.arange(AGAIN, dtype=np.uint64)
+        for b in batches:
+            cols: list[list] = [[], [], [], []]
+            for c, text, nodes in zip(b.column("c").to_pylist(), b.column("text").to_pylist(), b.column("nodes").to_pylist(), strict=True):
+                parents = np.array([x["node"] for x in nodes], np.int64)
+                seeds = mix(parents.view(np.uint64)[:, None], again[None, :], 78).ravel()
+                keys, under = children(shingles(text), seeds, threshold)
+                sizes = np.array([x["size"] for x in nodes], np.int64)
+                for k, x in enumerate(([c] * len(keys), keys.tolist(), parents[under // AGAIN].tolist(), sizes[under // AGAIN].tolist())):
+                    cols[k] += x
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["c", "node", "parent", "parent_size"])
+
+    first = materialize(sized(classes.select("c", F.explode("keys").alias("node")).distinct()), "path_nodes")
+    terminal, large = [first.filter(F.col("size") <= limit)], first.filter(F.col("size") > limit)
+    for _ in range(LEVELS - 1):
+        if large.isEmpty():
             break
-    nodes = active[0]
-    for x in active[1:]:
+        want = large.join(reps, "c").groupBy("doc_id", "th", "c").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))
+        on = same(base, want).select("c", "text", "nodes").mapInArrow(below, "c string, node long, parent long, parent_size long").distinct()
+        on = materialize(on, "path_children")
+        counts = on.groupBy("node", "parent", "parent_size").agg(F.count("*").alias("size"))
+        # a text's next buckets hold size rows each, so the mean over texts weighs each bucket by its size
+        dense = materialize(counts.groupBy("parent").agg((F.sum(F.col("size") * F.col("size")) / F.sum("size") / F.first("parent_size")).alias("share")).filter(F.col("share") >= DENSE).select("parent"), "path_dense")
+        terminal.append(large.join(dense.select(F.col("parent").alias("node")), "node", "left_semi"))
+        split = materialize(sized(on.join(dense, "parent", "left_anti").select("c", "node")), "path_nodes")
+        terminal.append(split.filter(F.col("size") <= limit))
+        large = split.filter(F.col("size") > limit)
+    nodes = large
+    for x in terminal:
         nodes = nodes.unionByName(x)
-    lists = nodes.groupBy("c").agg(F.array_sort(F.collect_set(F.struct("node", "size"))).alias("nodes"))
+    lists = nodes.groupBy("c").agg(F.array_sort(F.collect_set(F.struct("node", "size"))).alias("nodes")).join(classes.select("c", "n", "map"), "c")
     # a text's bucket with the earlier ones; a large bucket's blocks are dealt to every pair of blocks
-    here = lists.select("c", "nodes", F.explode("nodes").alias("at")).select(
-        "c", F.col("at.node").alias("node"), F.col("at.size").alias("size"), F.transform(F.filter("nodes", lambda x: x["node"] < F.col("at.node")), lambda x: x["node"]).alias("earlier"))
+    here = lists.select("c", "n", "map", "nodes", F.explode("nodes").alias("at")).select(
+        "c", "n", "map", F.col("at.node").alias("node"), F.col("at.size").alias("size"), F.transform(F.filter("nodes", lambda x: x["node"] < F.col("at.node")), lambda x: x["node"]).alias("earlier"))
     blocks = F.ceil(F.col("size") / limit).cast("int")
     here = here.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     here = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    here = here.select("c", "node", "earlier", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), F.when(F.col("block") == F.col("other"), 2).otherwise(F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
+    here = here.select("c", "n", "map", "node", "earlier", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), F.when(F.col("block") == F.col("other"), 2).otherwise(F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
 
     def useful(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Rows with a partner whose first common bucket this is."""
-        if len(pdf) == 2:
-            a, b = pdf["earlier"]
-            return pdf if set(a).isdisjoint(b) and (pdf["side"].iloc[0] != pdf["side"].iloc[1] or pdf["side"].iloc[0] == 2) else pdf[:0]
-        earlier = [np.asarray(e, np.int64) for e in pdf["earlier"]]
-        side = pdf["side"].to_numpy()
-        ok = _first_here(earlier) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
-        np.fill_diagonal(ok, False)
-        return pdf[ok.any(axis=1)]
-
-    kept = _by_bucket(here, useful, here.schema, nodes.count() // 20_000 + 1)
-    rep = classes.select("c", "rep.doc_id", "rep.th")
-    wanted = materialize(kept.join(rep, "c"), "path_wanted")
+        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
+        return pdf[with_partner(pdf, threshold)][["c", "node", "b0", "b1", "side", "earlier"]]
+
+    kept = _dealt(here, nodes.count() // 20_000 + 1).applyInPandas(useful, "c string, node long, b0 int, b1 int, side int, earlier array<long>")
+    wanted = materialize(kept.join(reps, "c"), "path_wanted")
     want = wanted.groupBy("doc_id", "th", "c").agg(F.collect_list(F.struct("node", "b0", "b1", "side", "earlier")).alias("want"))
+    schema = pa.schema([("node", pa.int64()), ("b0", pa.int32()), ("b1", pa.int32()), ("side", pa.int32()), ("earlier", longs), ("c", pa.string()), ("own", pa.binary())])
 
     def sets(batches):
         for b in batches:
+            rows = []
             for c, text, want in zip(b.column("c").to_pylist(), b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
                 own = shingles(text).tobytes()
-                yield pa.RecordBatch.from_pylist([{"node": w["node"], "b0": w["b0"], "b1": w["b1"], "side": w["side"], "earlier": w["earlier"], "c": c, "own": own} for w in want],
-                                                 schema=pa.schema([("node", pa.int64()), ("b0", pa.int32()), ("b1", pa.int32()), ("side", pa.int32()), ("earlier", levels), ("c", pa.string()), ("own", pa.binary())]))
+                rows += [(w["node"], w["b0"], w["b1"], w["side"], w["earlier"], c, own) for w in want]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("c").sort_values("c").reset_index(drop=True)  # a repeated row brings its set twice
-        links, root = compare([np.frombuffer(x, np.uint64) for x in pdf["own"]], [np.asarray(e, np.int64) for e in pdf["earlier"]], pdf["side"].to_numpy(), threshold)
-        return pd.DataFrame({"c": pdf["c"], "links": links, "peer": pdf["c"].to_numpy()[root]})[links > 0]
+        return linked(pdf.drop_duplicates(order).sort_values(order, kind="stable", ignore_index=True), threshold)  # a repeated row brings its set twice
 
     dealt = same(base, want).select("c", "text", "want").mapInArrow(sets, "node long, b0 int, b1 int, side int, earlier array<long>, c string, own binary")
-    found = materialize(_by_bucket(dealt, verify, "c string, links long, peer string", wanted.count() // 1000 + 1), "path_links")
+    found = materialize(_dealt(dealt, wanted.count() // 1000 + 1).applyInPandas(verify, "c string, links long, peer string"), "path_links")
     links = found.groupBy("c").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("c").alias("a"), F.col("peer").alias("b")))
     out = every.select("doc_id", "th", "c").join(links, "c", "left").join(roots.withColumnRenamed("v", "c"), "c", "left")
