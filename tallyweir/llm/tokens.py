@@ -69,7 +69,7 @@ class Encoder:
     """
 
     TAIL = ".,;:!?%&*#$|)"
-    TOGETHER = 64
+    TOGETHER = 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -85,36 +85,36 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _learn(self, new: set[str]) -> None:
-        known = self.known
-        parts = {}
-        for x in new:
-            core = x.rstrip(self.TAIL)
-            parts[x] = (core, x[len(core) :]) if core and core[-1].isalpha() else (x, "")
-        cores = {c for c, _ in parts.values()}.difference(known)
-        plain = [c for c in cores if c]
-        for k in range(0, len(plain), self.TOGETHER):
-            some = plain[k : k + self.TOGETHER]
-            got = self.ids(" " + " ".join(some))
-            ends = np.cumsum([1 + len(c.encode()) for c in some])
-            cuts = np.searchsorted(np.cumsum(self.sizes[got]), ends) + 1
-            for c, i, j in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                known[c] = got[i:j].tobytes()
-        if "" in cores:
-            known[""] = self.ids(" ").tobytes()
-        tails = {t: self.ids(t).tobytes() for t in {t for _, t in parts.values()} if t}
-        for x, (core, tail) in parts.items():
-            if tail:
-                known[x] = known[core] + tails[tail]
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of a space and each word."""
-        new = set(words).difference(self.known)
+    def _learn(self, new: list[str]) -> None:
+        if "" in self.known or "" not in new:
+            plain = new
+        else:
+            self.known[""] = self.ids(" ").tobytes()
+            plain = [c for c in new if c]
+        together = [" " + " ".join(plain[k : k + self.TOGETHER]) for k in range(0, len(plain), self.TOGETHER)]
+        got = np.fromiter((i for x in self.tokenizer.encode_batch_fast(together, add_special_tokens=False) for i in x.ids), np.uint32)
+        ends = np.cumsum(pc.binary_length(pa.array(plain, pa.large_string())).to_numpy() + 1)
+        cuts = 4 * (np.searchsorted(np.cumsum(self.sizes[got]), ends) + 1)
+        flat = got.tobytes()
+        self.known.update((c, flat[i:j]) for c, i, j in zip(plain, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+
+    def _ids_of(self, cores: list[str]) -> list[bytes]:
+        """Ids of a space and each of these different words."""
+        new = [c for c in cores if c not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = set(words)
-        self._learn(new)
-        return [self.known[w] for w in words]
+            new = cores
+        if new:
+            self._learn(new)
+        return [self.known[c] for c in cores]
+
+    def _parts(self, words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+        """Words without the punctuation behind their last letter, and that punctuation."""
+        cores = pc.utf8_rtrim(words, self.TAIL)
+        cores = pc.if_else(pc.match_substring_regex(cores, r"\p{L}$"), cores, words)
+        whole = pc.equal(pc.binary_length(cores), pc.binary_length(words))
+        tails = pc.if_else(whole, "", pc.extract_regex(words, f"(?P<tail>[{re.escape(self.TAIL)}]*)$").field("tail"))
+        return cores.dictionary_encode(), tails.dictionary_encode()
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None if t and not self.whole.search(t) else self.ids(t) for t in texts]
@@ -124,14 +124,20 @@ class Encoder:
         pieces = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
         words, ends = pieces.values.dictionary_encode(), pieces.offsets.to_numpy()
         number = words.indices.to_numpy()
-        known = self._ids_of(words.dictionary.to_pylist())
+        core, tail = self._parts(words.dictionary)
+        # two units a piece: its word and the punctuation behind it
+        units = np.empty((len(number), 2), np.int64)
+        units[:, 0] = core.indices.to_numpy()[number]
+        units[:, 1] = tail.indices.to_numpy()[number] + len(core.dictionary)
+        known = self._ids_of(core.dictionary.to_pylist()) + [self.ids(t).tobytes() for t in tail.dictionary.to_pylist()]
         size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
         flat, start = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
-        n = size[number]
+        n = size[units]
         n[ends[:-1]] = 0  # the first piece of a text has no space before it
-        at = np.repeat(start[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        n, units = n.ravel(), units.ravel()
+        at = np.repeat(start[units] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         ids = flat[at]
-        cuts = np.r_[0, np.cumsum(n)][ends]
+        cuts = np.r_[0, np.cumsum(n)][2 * ends]
         for k, i in enumerate(plain):
             own, first = ids[cuts[k] : cuts[k + 1]], texts[i].split(" ", 1)[0]
             out[i] = np.concatenate([self.ids(first), own]) if first else own
@@ -155,7 +161,7 @@ def _unplanes(data: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
-def _in_groups(many, texts: list[str], size: int = 1 << 22) -> Iterator[np.ndarray]:
+def _in_groups(many, texts: list[str], size: int = 1 << 23) -> Iterator[np.ndarray]:
     """many() of texts, about size characters at a time."""
     group, held = [], 0
     for t in texts:
