@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_of, materialize, same, text_of
+from .common import drop_table, key_of, materialize, same, text_of
 
 OCCURRENCES = "doc_id long, th long, at int, n int, anchor long, context long"
 _OCC = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("context", pa.int64())])
@@ -143,6 +143,7 @@ def spans_of(base: DataFrame, method: Method) -> DataFrame:
     repeated = every.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
     own = materialize(every.join(repeated, "anchor"), "repeat_own")
     contexts = materialize(own.groupBy("anchor", "context").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc_id", "th", "at", "n")]), "repeat_contexts")
+    drop_table(every)
     several = contexts.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
     settled = contexts.join(several, "anchor", "left_anti").filter("times > 1").select("anchor", "context", F.array(F.lit(0)).alias("lo"), F.array(F.col("n") + (m.width - 1)).alias("hi"))
     multi = materialize(contexts.join(several, "anchor"), "repeat_multi")
@@ -160,7 +161,7 @@ def spans_of(base: DataFrame, method: Method) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "context", "times", "data"])
 
-        return same(base, want).select("text", "want").mapInArrow(cut, "anchor long, context long, times long, data binary")
+        return same(base.hint("merge"), want).select("text", "want").mapInArrow(cut, "anchor long, context long, times long, data binary")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["anchor", "context"]).sort_values(["anchor", "context"])  # rows that repeat a document bring a context twice
@@ -197,7 +198,7 @@ def _one_by_one(contexts: DataFrame, m: Method) -> DataFrame:
 def finished(docs: DataFrame, method: Method, row: Callable, schema: str) -> DataFrame:
     """row(text, merged spans) for each input row, after doc_id."""
     base = _byte_docs(docs)
-    joined = same(base, spans_of(base, method), "left").select("doc_id", "text", "spans")
+    joined = same(base.hint("merge"), spans_of(base, method), "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for b in batches:
