@@ -150,18 +150,17 @@ def spans_of(base: DataFrame, method: Method) -> DataFrame:
     facts = multi.agg(F.sum(F.when(F.col("k") <= m.hot, F.col("n") + m.width)).alias("units"), F.max("k").alias("k")).first()
     shards = int((facts["units"] or 0) // m.shard) + 1
 
-    def fetched(rows: DataFrame) -> DataFrame:
-        want = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "context", "times", "at", "n")).alias("want"))
+    want = multi.withColumn("hot", F.col("k") > m.hot).groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "context", "times", "at", "n", "hot")).alias("want"))
 
-        def cut(batches):
-            for b in batches:
-                out: list[tuple] = []
-                for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
-                    out += [(w["anchor"], w["context"], w["times"], d) for w, d in zip(want, m.cut(text, [(w["at"], w["n"]) for w in want]), strict=True)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "context", "times", "data"])
+    def cut(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
+                out += [(w["anchor"], w["context"], w["times"], w["hot"], d) for w, d in zip(want, m.cut(text, [(w["at"], w["n"]) for w in want]), strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["anchor", "context", "times", "hot", "data"])
 
-        return same(base.hint("merge"), want).select("text", "want").mapInArrow(cut, "anchor long, context long, times long, data binary")
+    fetched = materialize(same(base.hint("merge"), want).select("text", "want").mapInArrow(cut, "anchor long, context long, times long, hot boolean, data binary"), "repeat_data")
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["anchor", "context"]).sort_values(["anchor", "context"])  # rows that repeat a document bring a context twice
@@ -169,10 +168,10 @@ def spans_of(base: DataFrame, method: Method) -> DataFrame:
         return pd.DataFrame({"anchor": pdf["anchor"].to_numpy(), "context": pdf["context"].to_numpy(), "lo": lo, "hi": hi})
 
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    judged = fetched(multi.filter(F.col("k") <= m.hot)).withColumn("shard", shard).groupBy("shard").applyInPandas(judge, "anchor long, context long, lo array<int>, hi array<int>")
+    judged = fetched.filter("not hot").drop("hot").withColumn("shard", shard).groupBy("shard").applyInPandas(judge, "anchor long, context long, lo array<int>, hi array<int>")
     found = settled.unionByName(judged)
     if (facts["k"] or 0) > m.hot:
-        found = found.unionByName(_one_by_one(fetched(multi.filter(F.col("k") > m.hot)), m))
+        found = found.unionByName(_one_by_one(fetched.filter("hot").drop("hot"), m))
     found = found.filter(F.size("lo") > 0)
     placed = own.join(found, ["anchor", "context"])
     return placed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("spans"))
