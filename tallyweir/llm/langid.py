@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -147,8 +148,8 @@ def predict(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
             new = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], names=[f"__tw_{k}" for k in range(len(names))] + ["lang_pred", "score", "accepted"])
 
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema.fields[: len(names)])
-    out = source.mapInArrow(run, f"{kinds}lang_pred string, score double, accepted boolean")
+    made = T.StructType(source.schema.fields[: len(names)]).add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    out = source.mapInArrow(run, made)
     return out.select(*[F.col(f"__tw_{k}").alias(c) for k, c in enumerate(names)], "lang_pred", "score", "accepted")
 
 
