@@ -32,7 +32,7 @@ def inverse_volatility(cov: DataFrame, rows: DataFrame | None = None) -> DataFra
     own = Window.partitionBy(*SPLIT)
     inv = risk.volatility(cov).withColumn("inv", 1 / F.greatest("vol", F.lit(FLOOR)))
     floored = F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("vol") < FLOOR, F.col("asset"))).over(own)))
-    missing = F.max(F.col("vol").isNull().cast("int")).over(own)
+    missing = F.max((F.col("vol").isNull() | F.isnan("vol")).cast("int")).over(own)
     out = inv.withColumn("message", F.when(missing > 0, "MISSING_VOLATILITY").otherwise(floored)).withColumn("status", F.when(missing > 0, "NOT_EVALUABLE").otherwise("OK"))
     return _as_rule(out.withColumn("weight", F.when(F.col("status") == "OK", F.col("inv") / F.sum("inv").over(own))), "inverse_volatility", "CLOSED_FORM")
 
@@ -63,7 +63,13 @@ def cluster_variance(cov: DataFrame, clusters: DataFrame, keys: list[str]) -> Da
 
 
 def hierarchical_risk_parity(cov: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """Leaf order per split in a small grouped function, then relational bisection: a round per level, all splits at once."""
+    """Leaf order per split in a small grouped function, then relational bisection: a round per level, all splits at once.
+
+    Splits with a covariance that is no number are NOT_EVALUABLE.
+    """
+    odd = cov.filter(F.col("cov").isNull() | F.isnan("cov")).select(*SPLIT).distinct()
+    closed = cov.filter(F.col("a") == F.col("b")).join(odd, SPLIT, "left_semi").select(*SPLIT, F.col("a").alias("asset"), F.lit(None).cast("double").alias("weight"), F.lit("NOT_EVALUABLE").alias("status"), F.lit("NON_FINITE_COVARIANCE").alias("message"))
+    cov = cov.join(odd, SPLIT, "left_anti")
     dist = risk.correlation(cov)
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,7 +87,7 @@ def hierarchical_risk_parity(cov: DataFrame, rows: DataFrame | None = None) -> D
         alpha = F.when(F.col("vr").isNull(), 1.0).otherwise(1 - F.col("vl") / F.greatest(F.col("vl") + F.col("vr"), F.lit(EPS)))
         part = F.when(F.col("side") == 0, F.col("alpha")).otherwise(1 - F.col("alpha"))
         state = materialize(halves.join(v, [*SPLIT, "lo"]).withColumn("alpha", alpha).select(*SPLIT, "asset", "pos", (F.col("weight") * part).alias("weight"), F.when(F.col("side") == 0, F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(F.col("side") == 0, F.col("mid")).otherwise(F.col("hi")).alias("hi")), "hrp")
-    return _as_rule(state, "hierarchical_risk_parity", "SINGLE_LINKAGE")
+    return _as_rule(state, "hierarchical_risk_parity", "SINGLE_LINKAGE").unionByName(_as_rule(closed, "hierarchical_risk_parity", "SINGLE_LINKAGE"), allowMissingColumns=True)
 
 
 def _wide(rows: DataFrame) -> DataFrame:

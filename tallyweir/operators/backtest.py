@@ -12,12 +12,18 @@ from . import gates, risk, splits
 RULE = [*SPLIT, "challenger"]
 
 
+def _beside(target: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """target with the other weights of its panel as name: each rule gets the assets of both, 0 where one side lacks them."""
+    rules = target.select(*RULE).distinct().join(other.select("panel_id", "asset", F.col("weight").alias(name)), "panel_id")
+    return target.join(rules, [*RULE, "asset"], "full").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
 def cap_tracking_error(target: DataFrame, bench: DataFrame, cov: DataFrame, cap: float) -> DataFrame:
     """RULE, asset, raw, bench, weight, te_before, te_after, te_binding: the target drawn to the benchmark until its error is cap.
 
     The error is linear on that line, so the scale is cap / error.
     """
-    both = target.select(*RULE, "asset", F.col("weight").alias("raw")).join(bench.select("panel_id", "asset", F.col("weight").alias("bench")), ["panel_id", "asset"])
+    both = _beside(target.select(*RULE, "asset", F.col("weight").alias("raw")), bench, "bench").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
     te = risk.tracking_error(both.withColumn("d", F.col("raw") - F.col("bench")), cov, RULE)
     s = F.when(F.col("te") > cap, cap / F.col("te")).otherwise(1.0)
     return both.join(te, RULE).select(*RULE, "asset", "raw", "bench", (F.col("bench") + s * (F.col("raw") - F.col("bench"))).alias("weight"), F.col("te").alias("te_before"), F.least("te", F.lit(cap)).alias("te_after"), (F.col("te") > cap).alias("te_binding"))
@@ -26,7 +32,9 @@ def cap_tracking_error(target: DataFrame, bench: DataFrame, cov: DataFrame, cap:
 def cap_turnover(requested: DataFrame, previous: DataFrame, cap: float) -> DataFrame:
     """requested with previous, weight (moved from previous no further than cap), turnover_requested, turnover, turnover_binding."""
     own = Window.partitionBy(*RULE)
-    both = requested.join(previous.select("panel_id", "asset", F.col("weight").alias("previous")), ["panel_id", "asset"])
+    both = _beside(requested, previous, "previous")
+    both = both.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("raw", "bench", "weight") if c in both.columns})
+    both = both.withColumns({c: F.max(c).over(own) for c in ("te_before", "te_after", "te_binding") if c in both.columns})
     both = both.withColumn("turnover_requested", F.sum(F.abs(F.col("weight") - F.col("previous"))).over(own) / 2)
     s = F.when(F.col("turnover_requested") > cap, cap / F.col("turnover_requested")).otherwise(1.0)
     moved = both.withColumn("weight", F.col("previous") + s * (F.col("weight") - F.col("previous"))).withColumn("weight", F.col("weight") / F.sum("weight").over(own))
@@ -74,13 +82,13 @@ def evaluation(held: DataFrame, rows: DataFrame, p: ResearchPolicy) -> DataFrame
 
 
 def execution(panel: DataFrame, p: ResearchPolicy = ResearchPolicy()) -> DataFrame:
-    """SPLIT, decided_at (last train date), execute_at (next tradable date), first_test, aligned."""
+    """SPLIT, decided_at (last train date), execute_at (the next date of the panel's own calendar), first_test, aligned."""
     days = panel.select("panel_id", "obs_no", "dt").distinct()
     wf = splits.walk_forward(panel, p)
     decided = wf.withColumn("obs_no", F.col("start") - 1).join(days, ["panel_id", "obs_no"]).select(*SPLIT, "start", F.col("dt").alias("decided_at"))
     first = decided.withColumn("obs_no", F.col("start")).join(days, ["panel_id", "obs_no"]).select(*SPLIT, "decided_at", F.col("dt").alias("first_test"))
-    nxt = gates.next_tradable(decided.select(F.col("decided_at").alias("dt")).distinct(), days.select("dt").distinct())
-    return first.join(nxt.select(F.col("dt").alias("decided_at"), F.col("next_dt").alias("execute_at")), "decided_at", "left").withColumn("aligned", F.coalesce(F.col("execute_at") == F.col("first_test"), F.lit(False)))
+    nxt = days.select("panel_id", F.col("dt").alias("decided_at"), F.lead("dt").over(Window.partitionBy("panel_id").orderBy("dt")).alias("execute_at"))
+    return first.join(nxt, ["panel_id", "decided_at"], "left").withColumn("aligned", F.coalesce(F.col("execute_at") == F.col("first_test"), F.lit(False)))
 
 
 def challenge_matrix(evaluated: DataFrame, rules: list[str]) -> DataFrame:

@@ -13,20 +13,28 @@ class ResearchClosed(RuntimeError):
     """A broken invariant ends the run."""
 
 
-def panel_gate(panel: DataFrame, as_of: str, minimum: int = 252) -> DataFrame:
-    """panel_id, gate_status: the first failing check of each panel, or PASS."""
+def panel_gate(panel: DataFrame, as_of: str, minimum: int = 252, expected: list[str] | None = None) -> DataFrame:
+    """panel_id, gate_status: the first failing check of each panel, or PASS.
+
+    expected names panels that must be there: one without rows is too narrow, it does not vanish. A row without a date fails its panel.
+    """
     cells = panel.groupBy("panel_id", "dt", "asset").agg(F.count("*").alias("c"), F.max((F.col("ret").isNull() | F.isnan("ret") | F.abs("ret").isin(float("inf"))).cast("int")).alias("bad"), F.max(F.abs("ret")).alias("most"))
-    facts = cells.groupBy("panel_id").agg(F.count_distinct("asset").alias("assets"), F.count_distinct("dt").alias("dates"), F.max("dt").alias("last"), F.max("c").alias("copies"), F.count("*").alias("cells"), F.max("bad").alias("bad"), F.max("most").alias("most"))
-    status = (F.when((F.col("dates") == 0) | (F.col("assets") < 2), "RETURN_PANEL_EMPTY_OR_TOO_NARROW")
+    facts = cells.groupBy("panel_id").agg(F.count_distinct("asset").alias("assets"), F.count_distinct("dt").alias("dates"), F.max("dt").alias("last"), F.max("c").alias("copies"), F.count("*").alias("cells"), F.max("bad").alias("bad"), F.max("most").alias("most"), F.count_if(F.col("dt").isNull()).alias("undated"))
+    if expected is not None:
+        names = panel.sparkSession.createDataFrame([(x,) for x in expected], "panel_id string")
+        facts = names.join(facts, "panel_id", "full")
+    status = (F.when((F.coalesce("dates", F.lit(0)) == 0) | (F.col("assets") < 2), "RETURN_PANEL_EMPTY_OR_TOO_NARROW")
               .when(F.col("dates") < minimum, F.concat(F.lit("INSUFFICIENT_HISTORY:"), F.col("dates").cast("string"), F.lit(f"<{minimum}")))
-              .when(F.col("last").isNull(), "INDEX_NOT_DATETIME").when(F.col("copies") > 1, "DUPLICATE_ASSET_COLUMNS")
+              .when(F.col("last").isNull() | (F.col("undated") > 0), "INDEX_NOT_DATETIME").when(F.col("copies") > 1, "DUPLICATE_ASSET_COLUMNS")
               .when(F.col("last") > F.lit(as_of).cast("date"), "AS_OF_VIOLATION").when((F.col("bad") > 0) | (F.col("cells") < F.col("dates") * F.col("assets")), "NON_FINITE_RETURN")
               .when(F.col("most") >= 1, "IMPLAUSIBLE_DAILY_RETURN").otherwise("PASS"))
     return facts.select("panel_id", status.alias("gate_status"))
 
 
 def require(gate: DataFrame) -> None:
-    """Raises unless every panel passes; at most one row comes to the driver."""
+    """Raises unless there is a panel and every panel passes; at most one row comes to the driver."""
+    if gate.isEmpty():
+        raise ResearchClosed("RETURN_PANEL_EMPTY_OR_TOO_NARROW")
     bad = gate.filter("gate_status <> 'PASS'").limit(1).collect()
     if bad:
         raise ResearchClosed(f"{bad[0]['panel_id']}: {bad[0]['gate_status']}")

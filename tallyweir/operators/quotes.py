@@ -20,7 +20,10 @@ def _finite(x: Column) -> Column:
 
 
 def typed(raw: DataFrame, as_of: str) -> DataFrame:
-    """Raw strings to values, with time_error: of the first time that fails, or of the visibility rules. Field by field in order."""
+    """Raw strings to values, with time_error: of the first time that fails, or of the visibility rules. Field by field in order.
+
+    maturity is counted from as_of and serves bounds, volatilities and days to expiry; parity_maturity from the quote's own time.
+    """
     out = raw.withColumn("as_of", F.lit(as_of).cast("timestamp"))
     first = None
     for c in TIME_FIELDS:
@@ -35,9 +38,9 @@ def typed(raw: DataFrame, as_of: str) -> DataFrame:
     for c in ("option_type", "exercise_style", "currency", "pricing_model"):
         out = out.withColumn(c, F.upper(F.trim(F.coalesce(F.col(c), F.lit("")))))
     minutes = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / 6e7
-    secs = (F.unix_micros("expiry") - F.unix_micros("quote_time")) / 1e6
+    years = lambda since: F.greatest((F.unix_micros("expiry") - F.unix_micros(since)) / 1e6 / (365 * 86400), F.lit(1 / 3650))
     out = out.withColumn("quote_age", minutes(F.col("as_of"), F.col("quote_time"))).withColumn("source_age", minutes(F.col("as_of"), F.col("available_at")))
-    out = out.withColumn("maturity", F.greatest(secs / (365 * 86400), F.lit(1 / 3650))).withColumn("dte", F.ceil(365 * F.col("maturity")).cast("int"))
+    out = out.withColumn("maturity", years("as_of")).withColumn("parity_maturity", years("quote_time")).withColumn("dte", F.ceil(365 * F.col("maturity")).cast("int"))
     out = out.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
     return out.withColumn("spread_to_mid", F.when(_finite(F.col("mid")) & (F.col("mid") > 0), (F.col("ask") - F.col("bid")) / F.col("mid")))
 
@@ -80,12 +83,17 @@ def checked(quotes: DataFrame, p: QualityPolicy = QualityPolicy()) -> DataFrame:
     return out.withColumn("model", model)
 
 
+def relative_residual(theoretical: Column, mid: Column) -> Column:
+    """How far the model's price is from the mid, as a share of the mid; null at a mid of 0."""
+    return F.when(mid != 0, (theoretical - mid) / mid)
+
+
 def validated(raw: DataFrame, as_of: str, p: QualityPolicy = QualityPolicy()) -> DataFrame:
     """All checks: values, iv, theoretical, residual, quality_status, reasons and three constant flags."""
     q = add_implied_vols(checked(typed(raw, as_of), p), F.col("model") == "BLACK_SCHOLES")
     priced = F.col("model") == "BLACK_SCHOLES"
     theo = black_scholes(F.col("option_type") == "CALL", *[F.col(c) for c in ("underlying_price", "strike", "maturity", "risk_free_rate", "dividend_yield")], F.col("iv.mid"))
-    q = q.withColumn("theoretical", F.when(priced, theo)).withColumn("model_residual", F.col("mid") - F.col("theoretical"))
+    q = q.withColumn("theoretical", F.when(priced, theo)).withColumn("model_residual", relative_residual(F.col("theoretical"), F.col("mid")))
     nonpos = priced & (F.least("bid", "mid", "ask") <= 0)
     missing = priced & ~nonpos & (F.col("iv.bid").isNull() | F.col("iv.mid").isNull() | F.col("iv.ask").isNull())
     band = priced & F.col("iv.bid").isNotNull() & F.col("iv.mid").isNotNull() & F.col("iv.ask").isNotNull() & ~((F.col("iv.bid") <= F.col("iv.mid")) & (F.col("iv.mid") <= F.col("iv.ask")))
@@ -102,13 +110,13 @@ def parity(quotes: DataFrame) -> DataFrame:
     """Call-put pairs by (underlying, expiry, strike), null keys included, the first of each side by row_id: residual and status."""
     def side(kind: str, p: str) -> DataFrame:
         own = quotes.filter(F.col("option_type") == kind).groupBy("underlying", "expiry", "strike")
-        cols = ("row_id", "mid", "quality_status", "exercise_style", "maturity", "underlying_price", "risk_free_rate", "dividend_yield")
+        cols = ("row_id", "mid", "quality_status", "exercise_style", "parity_maturity", "underlying_price", "risk_free_rate", "dividend_yield")
         return own.agg(F.min_by(F.struct(*cols), "row_id").alias(p))
 
     c, p = side("CALL", "c"), side("PUT", "p").withColumnsRenamed({k: f"p_{k}" for k in ("underlying", "expiry", "strike")})
     both = c.join(p, c["underlying"].eqNullSafe(p["p_underlying"]) & c["expiry"].eqNullSafe(p["p_expiry"]) & c["strike"].eqNullSafe(p["p_strike"]))
     usable = (F.col("c.exercise_style") == "EUROPEAN") & F.col("c.quality_status").isin("PASS", "THIN") & F.col("p.quality_status").isin("PASS", "THIN")
-    t = F.col("c.maturity")
+    t = F.col("c.parity_maturity")
     value = F.col("c.mid") - F.col("p.mid") - (F.col("c.underlying_price") * F.exp(-F.col("c.dividend_yield") * t) - F.col("strike") * F.exp(-F.col("c.risk_free_rate") * t))
     return both.select("underlying", "expiry", "strike", F.col("c.row_id").alias("call_row"), F.col("p.row_id").alias("put_row"), F.when(usable, value).alias("residual"),
                        F.when(usable, "OK").otherwise("NOT_EVALUABLE").alias("status"), F.when(~usable & (F.col("c.exercise_style") == "AMERICAN"), "AMERICAN_PARITY_NOT_EXACT").otherwise("").alias("reason"))
@@ -134,7 +142,7 @@ def covered_calls(quotes: DataFrame, anchors: DataFrame, fees: list[float | None
     out = pick.select("underlying", "anchor_no", "anchor_price", "reference_units", "m", fee)
     mult = F.col("m.contract_multiplier")
     status = F.when(F.col("m.strike").isNull(), "NO_VALID_CALL_QUOTE").when(F.coalesce(mult, F.lit(0.0)) <= 0, "INVALID_MULTIPLIER").when(F.col("fee").isNull(), "FEE_UNKNOWN").otherwise("OK")
-    contracts = F.when(mult > 0, F.floor(F.col("reference_units") / mult)).cast("long")
+    contracts = F.when(mult > 0, F.floor(F.greatest(F.col("reference_units"), F.lit(0)) / mult)).cast("long")
     premium = F.col("m.mid") * mult * F.col("contracts") - F.col("fee") * F.col("contracts")
     out = out.withColumn("status", status).withColumn("contracts", contracts).withColumn("premium", F.when(F.col("status") == "OK", premium))
     return out.select("underlying", "anchor_no", "anchor_price", "reference_units", "fee", F.col("m.row_id").alias("call_row"), F.col("m.strike").alias("strike"), "contracts", "premium",

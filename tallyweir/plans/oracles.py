@@ -86,7 +86,7 @@ def _bs(vol: str) -> str:
 _PRICE = f"case when option_type='CALL' then s*{_cdf('d1')}-k*exp(-0.025*t)*{_cdf('d2')} else k*exp(-0.025*t)*{_cdf('(-d2)')}-s*{_cdf('(-d1)')} end"
 _QUOTES = f"""
 with chain as ({CHAIN.format(part="part")}),
-q as (select *, underlying_price s, strike k, (bid+ask)/2 mid, (ask-bid)/((bid+ask)/2) spread, quote_minutes_ago age, greatest((days_to_expiry*86400e0+quote_minutes_ago*60)/(365*86400), 1e0/3650) t from chain),
+q as (select *, underlying_price s, strike k, (bid+ask)/2 mid, (ask-bid)/((bid+ask)/2) spread, quote_minutes_ago age, greatest(days_to_expiry/365e0, 1e0/3650) t, greatest((days_to_expiry*86400e0+quote_minutes_ago*60)/(365*86400), 1e0/3650) tq from chain),
 b as (select *, case when exercise_style='EUROPEAN' and option_type='CALL' then greatest(0e0, s-k*exp(-0.025*t)) when exercise_style='EUROPEAN' then greatest(0e0, k*exp(-0.025*t)-s) when option_type='CALL' then greatest(0e0, s-k) else greatest(0e0, k-s) end lo,
  case when exercise_style='EUROPEAN' and option_type='CALL' then s when exercise_style='EUROPEAN' then k*exp(-0.025*t) when option_type='CALL' then s else k end hi from q),
 e as (select *, concat_ws(';', case when age<1 then 'FUTURE_EVIDENCE' end, case when currency<>'HKD' then 'CURRENCY_NOT_HKD' end, case when bid<0 or ask<=0 then 'INVALID_BID_ASK' end, case when bid>ask then 'CROSSED_MARKET' end) early,
@@ -192,7 +192,7 @@ ORACLES: dict[str, str] = {
     "parity": _QUOTES + """, f as (select *, row_number() over (partition by underlying, days_to_expiry+quote_minutes_ago*0, strike, option_type order by row_id) rn from v),
  pr as (select c.*, p.row_id put_row, p.mid pm, p.quality_status ps from f c join f p on c.underlying=p.underlying and c.days_to_expiry=p.days_to_expiry and c.strike=p.strike and c.option_type='CALL' and p.option_type='PUT' and c.rn=1 and p.rn=1),
  u as (select *, exercise_style='EUROPEAN' and quality_status in ('PASS','THIN') and ps in ('PASS','THIN') usable from pr)
- select underlying, strike, row_id call_row, put_row, case when usable then round(mid-pm-(s-k*exp(-0.025*t)), 6) end residual, case when usable then 'OK' else 'NOT_EVALUABLE' end status, case when not usable and exercise_style='AMERICAN' then 'AMERICAN_PARITY_NOT_EXACT' else '' end reason from u""",
+ select underlying, strike, row_id call_row, put_row, case when usable then round(mid-pm-(s-k*exp(-0.025*tq)), 6) end residual, case when usable then 'OK' else 'NOT_EVALUABLE' end status, case when not usable and exercise_style='AMERICAN' then 'AMERICAN_PARITY_NOT_EXACT' else '' end reason from u""",
     "covered_call_cf": _QUOTES + """, cl as (select * from v where option_type='CALL' and quality_status in ('PASS','THIN')),
  pk as (select a.*, c.row_id call_row, c.strike, c.mid, row_number() over (partition by a.state_id, a.anchor_no order by abs(c.strike-a.anchor_price) nulls last, c.spread, ceil(365*c.t), c.row_id) rn from anchors a left join cl c on c.underlying=a.state_id),
  x as (select pk.*, fee, case when call_row is null then 'NO_VALID_CALL_QUOTE' when fee is null then 'FEE_UNKNOWN' else 'OK' end status, case when call_row is not null then cast(reference_units//100 as bigint) end contracts from pk, (values (5e0), (cast(null as double))) f(fee) where rn=1)

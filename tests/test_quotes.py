@@ -36,6 +36,18 @@ def test_quote(spark, change, status, reasons):
     assert (got.evidence_only, got.actionable, got.auto_order) == (True, False, False)
 
 
+def test_maturity_counts_from_as_of(spark):
+    old = iso(AS_OF - timedelta(days=10))
+    got = check(spark, quote_time=old, observed_at=old, available_at=old)
+    assert got.dte == 90 and abs(got.maturity - 90 / 365) < 1e-12 and abs(got.parity_maturity - 100 / 365) < 1e-12
+
+
+def test_residual_is_relative_to_mid(spark):
+    df = spark.createDataFrame([(10.3, 10.0), (9.7, 10.0), (1.0, 0.0)], "t double, m double")
+    got = [r[0] for r in df.select(quotes.relative_residual(F.col("t"), F.col("m"))).collect()]
+    assert abs(got[0] - 0.03) < 1e-12 and abs(got[1] + 0.03) < 1e-12 and got[2] is None
+
+
 def test_implied_volatility_reprices_and_both_paths_agree(spark):
     df = spark.createDataFrame([(k % 2 == 0, 100.0, 80.0 + k, 0.1 + k / 40, 0.02, 0.01, 0.05 + k * 0.03) for k in range(40)], "c boolean, s double, k double, t double, r double, q double, v double")
     price = pricing.black_scholes(*[F.col(x) for x in "cskt"], F.col("r"), F.col("q"), F.col("v"))
@@ -63,8 +75,8 @@ def test_covered_calls_are_never_actionable(spark):
 
 def test_parity_of_repriced_quotes_is_zero(spark):
     rows = [("X", AS_OF, 100.0, k, i, "PASS", "EUROPEAN", 0.5, 100.0, 0.02, 0.01) for i, k in enumerate(("CALL", "PUT", "CALL"))]
-    df = spark.createDataFrame(rows, "underlying string, expiry timestamp, strike double, option_type string, row_id long, quality_status string, exercise_style string, maturity double, underlying_price double, risk_free_rate double, dividend_yield double")
-    df = df.withColumn("mid", pricing.black_scholes(F.col("option_type") == "CALL", F.col("underlying_price"), F.col("strike"), F.col("maturity"), F.col("risk_free_rate"), F.col("dividend_yield"), F.lit(0.3)))
+    df = spark.createDataFrame(rows, "underlying string, expiry timestamp, strike double, option_type string, row_id long, quality_status string, exercise_style string, parity_maturity double, underlying_price double, risk_free_rate double, dividend_yield double")
+    df = df.withColumn("mid", pricing.black_scholes(F.col("option_type") == "CALL", F.col("underlying_price"), F.col("strike"), F.col("parity_maturity"), F.col("risk_free_rate"), F.col("dividend_yield"), F.lit(0.3)))
     got = quotes.parity(df).collect()
     assert len(got) == 1 and got[0].call_row == 0 and abs(got[0].residual) < 1e-10
     assert quotes.parity(df.limit(0)).count() == 0

@@ -44,6 +44,39 @@ def test_gate_closes(panel):
         gates.require(gates.panel_gate(panel, "2024-06-01"))
 
 
+def test_gate_closes_on_missing_panels_and_dates(spark, panel):
+    empty = panel.limit(0)
+    with pytest.raises(gates.ResearchClosed):
+        gates.require(gates.panel_gate(empty, "2030-01-01"))
+    got = {r.panel_id: r.gate_status for r in gates.panel_gate(empty, "2030-01-01", expected=["P", "Q"]).collect()}
+    assert got == {k: "RETURN_PANEL_EMPTY_OR_TOO_NARROW" for k in "PQ"}
+    holed = panel.withColumn("dt", F.when(F.col("obs_no") != 7, F.col("dt")))
+    assert {r.gate_status for r in gates.panel_gate(holed, "2030-01-01").collect()} == {"INDEX_NOT_DATETIME"}
+
+
+def test_execution_follows_the_panels_own_calendar(panel):
+    """A second panel on the days between: each panel's next date is its own."""
+    other = panel.withColumn("panel_id", F.lit("other")).withColumn("dt", F.date_add("dt", 1))
+    got = backtest.execution(panel.withColumn("dt", F.date_add(F.lit("2020-01-01").cast("date"), (2 * F.col("obs_no")).cast("int"))).unionByName(
+        other.withColumn("dt", F.date_add(F.lit("2020-01-02").cast("date"), (2 * F.col("obs_no")).cast("int"))))).collect()
+    assert len({r.panel_id for r in got}) == 2 and all(r.aligned for r in got)
+
+
+def test_nan_volatility_is_not_evaluable(panel):
+    spoilt = panel.withColumn("ret", F.when((F.col("asset") == "CASH") & (F.col("obs_no") == 3), float("nan")).otherwise(F.col("ret")))
+    cov = risk.train_covariance(spoilt)
+    for rule in ("inverse_volatility", "hierarchical_risk_parity"):
+        got = allocate.build(rule, cov, None).collect()
+        assert got and {r.status for r in got} == {"NOT_EVALUABLE"} and all(r.weight is None for r in got)
+
+
+def test_caps_keep_assets_of_one_side(spark):
+    previous = spark.createDataFrame([("P", "A", 0.5), ("P", "D", 0.5)], "panel_id string, asset string, weight double")
+    got = {r.asset: r for r in backtest.cap_turnover(weights(spark, "x", A=0.5, B=0.3, C=0.2), previous, 0.25).collect()}
+    assert set(got) == set("ABCD") and abs(got["A"].turnover_requested - 0.5) < 1e-12
+    assert [round(got[k].weight, 9) for k in "ABCD"] == [0.5, 0.15, 0.1, 0.25]
+
+
 def test_splits_are_disjoint_and_embargoed(panel):
     wf = splits.walk_forward_rows(panel, "train").withColumn("role", F.lit("train")).unionByName(splits.walk_forward_rows(panel, "test").withColumn("role", F.lit("test")))
     assert [(r.n_shared, r.train_first) for r in splits.disjoint(wf).collect()] == [(0, True), (0, True)]
