@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, same, text_key, text_of
+from .common import materialize, same, sieved, text_key, text_of
 from .recompression import mix
 
 SHINGLE = 5
@@ -245,8 +245,8 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     for _ in range(LEVELS - 1):
         if large.isEmpty():
             break
-        want = large.join(reps, "c").groupBy("doc_id", "th", "c").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))
-        on = same(base.hint("merge"), want).select("c", "text", "nodes").mapInArrow(below, "c string, node long, parent long, parent_size long").distinct()
+        want = materialize(large.join(reps, "c").groupBy("doc_id", "th", "c").agg(F.collect_list(F.struct("node", "size")).alias("nodes")), "path_asked")
+        on = same(sieved(base, want).hint("merge"), want).select("c", "text", "nodes").mapInArrow(below, "c string, node long, parent long, parent_size long").distinct()
         on = materialize(on, "path_children")
         counts = on.groupBy("node", "parent", "parent_size").agg(F.count("*").alias("size"))
         # a text's next buckets hold size rows each, so the mean over texts weighs each bucket by its size
@@ -288,7 +288,7 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         return linked(pdf.drop_duplicates(order).sort_values(order, kind="stable", ignore_index=True), threshold)  # a repeated row brings its set twice
 
-    dealt = same(base.hint("merge"), want).select("c", "text", "want").mapInArrow(sets, "node long, b0 int, b1 int, side int, earlier array<long>, c string, own binary")
+    dealt = same(sieved(base, wanted).hint("merge"), want).select("c", "text", "want").mapInArrow(sets, "node long, b0 int, b1 int, side int, earlier array<long>, c string, own binary")
     found = materialize(_dealt(dealt, wanted.count() // 1000 + 1).applyInPandas(verify, "c string, links long, peer string"), "path_links")
     links = found.groupBy("c").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("c").alias("a"), F.col("peer").alias("b")))
