@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import SPLIT, ResearchPolicy
-from . import gates, risk, splits
+from . import evidence, risk, splits
 
 RULE = [*SPLIT, "challenger"]
 
@@ -91,42 +91,62 @@ def execution(panel: DataFrame, p: ResearchPolicy = ResearchPolicy()) -> DataFra
     return first.join(nxt, ["panel_id", "decided_at"], "left").withColumn("aligned", F.coalesce(F.col("execute_at") == F.col("first_test"), F.lit(False)))
 
 
-def challenge_matrix(evaluated: DataFrame, rules: list[str]) -> DataFrame:
-    """A row per rule: medians over its splits; a rule without one is NOT_EVALUABLE."""
-    facts = evaluated.groupBy("challenger").agg(F.count("*").alias("n_splits"), *[F.median(c).alias(f"median_{c}") for c in ("cagr", "cvar", "cdar", "turnover", "te_after")], F.min("max_drawdown").alias("worst_drawdown"), F.max("turnover").alias("max_turnover"), F.every(F.col("differential_status") == "PASS").alias("all_pass"))
-    names = evaluated.sparkSession.createDataFrame([(r,) for r in rules], "challenger string")
-    out = names.join(facts, "challenger", "left").withColumn("n_splits", F.coalesce("n_splits", F.lit(0).cast("long")))
+def of_panels(panels: DataFrame, rules: list[str]) -> DataFrame:
+    """panel_id, challenger: every rule of every panel of panels (panel_id), which may name a panel many times."""
+    return panels.select("panel_id").distinct().select("panel_id", F.explode(F.array(*[F.lit(r) for r in rules])).alias("challenger"))
+
+
+def report(evaluated: DataFrame, execution_: DataFrame, rows: DataFrame, allocations: DataFrame) -> DataFrame:
+    """RULE, status, signal_time, execution_time, test_end and the evaluation: a row for rules that were not OK too, with nulls."""
+    times = execution_.select(*SPLIT, F.col("decided_at").alias("signal_time"), F.col("execute_at").alias("execution_time"))
+    ends = rows.groupBy(*SPLIT).agg(F.max("dt").alias("test_end"))
+    return allocations.select(*RULE, "status").distinct().join(times, SPLIT, "left").join(ends, SPLIT, "left").join(evaluated, RULE, "left")
+
+
+def challenge_matrix(evaluated: DataFrame, rules: list[str], panels: DataFrame) -> DataFrame:
+    """A row per panel and rule: medians over its splits; a rule without one is NOT_EVALUABLE."""
+    facts = evaluated.groupBy("panel_id", "challenger").agg(F.count("*").alias("n_splits"), *[F.median(c).alias(f"median_{c}") for c in ("cagr", "cvar", "cdar", "turnover", "te_after")], F.min("max_drawdown").alias("worst_drawdown"), F.max("turnover").alias("max_turnover"), F.every(F.col("differential_status") == "PASS").alias("all_pass"))
+    out = of_panels(panels, rules).join(facts, ["panel_id", "challenger"], "left").withColumn("n_splits", F.coalesce("n_splits", F.lit(0).cast("long")))
     return out.withColumn("status", F.when(F.col("n_splits") > 0, "OK").otherwise("NOT_EVALUABLE"))
 
 
 def stability(allocations: DataFrame, p: ResearchPolicy = ResearchPolicy()) -> DataFrame:
-    """challenger, median_l1, max_l1, share_stable, region: distances between consecutive OK splits."""
+    """panel_id, challenger, median_l1, max_l1, share_stable, region: distances between consecutive OK splits."""
     ok = allocations.filter("status = 'OK'").withColumn("k", F.dense_rank().over(Window.partitionBy("panel_id", "challenger").orderBy("split_no")))
     before = F.lag("weight").over(Window.partitionBy("panel_id", "challenger", "asset").orderBy("k"))
     steps = ok.withColumn("d", F.abs(F.col("weight") - before)).groupBy("challenger", "panel_id", "k").agg(F.sum("d").alias("l1"))
-    facts = steps.groupBy("challenger").agg(F.median("l1").alias("median_l1"), F.max("l1").alias("max_l1"), F.avg(F.when(F.col("l1").isNotNull(), (F.col("l1") <= p.stable_l1).cast("double"))).alias("share_stable"))
+    facts = steps.groupBy("panel_id", "challenger").agg(F.median("l1").alias("median_l1"), F.max("l1").alias("max_l1"), F.avg(F.when(F.col("l1").isNotNull(), (F.col("l1") <= p.stable_l1).cast("double"))).alias("share_stable"))
     none = F.col("median_l1").isNull()
-    out = facts.select("challenger", F.when(none, 0.0).otherwise(F.col("median_l1")).alias("median_l1"), F.when(none, 0.0).otherwise(F.col("max_l1")).alias("max_l1"), F.when(none, 1.0).otherwise(F.col("share_stable")).alias("share_stable"))
+    out = facts.select("panel_id", "challenger", F.when(none, 0.0).otherwise(F.col("median_l1")).alias("median_l1"), F.when(none, 0.0).otherwise(F.col("max_l1")).alias("max_l1"), F.when(none, 1.0).otherwise(F.col("share_stable")).alias("share_stable"))
     return out.withColumn("region", F.when(F.col("share_stable") >= p.stable_share, "STABLE_REGION").otherwise("UNSTABLE_REGION"))
 
 
-def filter_trace(allocations: DataFrame) -> DataFrame:
-    """A row per (split, rule): reason, threshold, observed, evidence_gap."""
-    facts = allocations.select("split_id", "challenger", "status", "message").distinct()
+def with_stability(matrix: DataFrame, stability_: DataFrame) -> DataFrame:
+    """The matrix with each rule's stability; a rule without history is NOT_EVALUABLE there, its distances stay null."""
+    out = matrix.join(stability_, ["panel_id", "challenger"], "left")
+    return out.withColumn("region", F.coalesce("region", F.lit("NOT_EVALUABLE")))
+
+
+def filter_trace(allocations: DataFrame, panel: DataFrame) -> DataFrame:
+    """A row per (panel, split, rule): stage, rule_id, reason, metric, threshold, observed, evidence_gap, source_ref (content hash of the panel), method, diagnostics."""
+    facts = allocations.select("panel_id", "split_id", "challenger", "status", "message", "method").distinct()
+    source = evidence.panel_fingerprint(panel).select("panel_id", F.col("content_hash").alias("source_ref"))
     ok = F.col("status") == "OK"
-    return facts.select("split_id", "challenger", F.when(ok, "PASS").otherwise(F.col("status")).alias("reason"), F.lit("OK").alias("threshold"), F.col("status").alias("observed"), F.when(ok, "").otherwise(F.col("message")).alias("evidence_gap"))
+    fixed = {"stage": F.lit("CHALLENGER_BUILD"), "rule_id": F.concat(F.lit("BUILD_"), F.upper("challenger")), "metric": F.lit("solver_status"), "diagnostics": F.create_map(F.lit("message"), F.col("message"))}
+    return facts.withColumns(fixed).join(source, "panel_id", "left").select("panel_id", "split_id", "challenger", "stage", "rule_id", "metric", "source_ref", "method", "diagnostics", F.when(ok, "PASS").otherwise(F.col("status")).alias("reason"), F.lit("OK").alias("threshold"), F.col("status").alias("observed"), F.when(ok, "").otherwise(F.col("message")).alias("evidence_gap"))
 
 
-def rejected(trace: DataFrame, rules: list[str]) -> DataFrame:
-    """Trace rows that did not pass, and a NO_AUTO_PROMOTION row per rule."""
-    locks = trace.sparkSession.createDataFrame([(r, "NO_AUTO_PROMOTION") for r in rules], "challenger string, reason string")
-    return trace.filter("reason <> 'PASS'").select("split_id", "challenger", "reason").unionByName(locks, allowMissingColumns=True)
+def rejected(trace: DataFrame, rules: list[str], panels: DataFrame) -> DataFrame:
+    """Trace rows that did not pass, and a NO_AUTO_PROMOTION row per panel and rule."""
+    locks = of_panels(panels, rules).withColumn("reason", F.lit("NO_AUTO_PROMOTION"))
+    return trace.filter("reason <> 'PASS'").select("panel_id", "split_id", "challenger", "reason").unionByName(locks, allowMissingColumns=True)
 
 
 def replay(evaluated: DataFrame, execution_: DataFrame, panel: DataFrame) -> DataFrame:
-    """Per OK (split, rule): the universe hash, times and net return."""
+    """Per OK (panel, split, rule): the hashes of the panel's content and universe, times and net return."""
+    frozen = evidence.panel_fingerprint(panel).select("panel_id", F.col("content_hash").alias("snapshot_hash"))
     universe = panel.groupBy("panel_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_set("asset"))), 256).alias("universe_hash"))
-    return evaluated.join(execution_.select(*SPLIT, "decided_at", "execute_at"), SPLIT).join(F.broadcast(universe), "panel_id").select("split_id", "challenger", "universe_hash", "decided_at", "execute_at", F.col("total_return").alias("net_return"))
+    return evaluated.join(execution_.select(*SPLIT, "decided_at", "execute_at"), SPLIT).join(universe, "panel_id").join(frozen, "panel_id").select("panel_id", "split_id", "challenger", "snapshot_hash", "universe_hash", "decided_at", "execute_at", F.col("total_return").alias("net_return"))
 
 
 # Named components of the attribution; all but the cost are 0.
@@ -150,9 +170,9 @@ def attribution(held: DataFrame, rows: DataFrame, p: ResearchPolicy) -> DataFram
 
 
 def latest_targets(held: DataFrame) -> DataFrame:
-    """challenger, asset, weight of each rule's last OK split."""
+    """panel_id, split_id, challenger, asset, weight of each rule's last OK split."""
     last = Window.partitionBy("panel_id", "challenger")
-    return held.withColumn("last", F.max("split_no").over(last)).filter(F.col("split_no") == F.col("last")).select("split_id", "challenger", "asset", "weight")
+    return held.withColumn("last", F.max("split_no").over(last)).filter(F.col("split_no") == F.col("last")).select("panel_id", "split_id", "challenger", "asset", "weight")
 
 
 def snapshot(panel: DataFrame, targets: DataFrame, bench: DataFrame, previous: DataFrame) -> DataFrame:
@@ -161,6 +181,6 @@ def snapshot(panel: DataFrame, targets: DataFrame, bench: DataFrame, previous: D
         return df.groupBy("panel_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", "weight")))).alias(name))
 
     facts = panel.groupBy("panel_id").agg(F.count("*").alias("n_rows"), F.max("dt").alias("as_of"), F.sha2(F.to_json(F.sort_array(F.collect_set("asset"))), 256).alias("universe_hash"))
-    goal = targets.groupBy(F.lit("x").alias("k")).agg(F.array_sort(F.collect_list(F.struct("challenger", "asset", "weight"))).alias("targets")).drop("k")
-    out = facts.join(weights(bench, "benchmark"), "panel_id").join(weights(previous, "previous"), "panel_id").join(F.broadcast(goal), F.lit(True), "left")
+    goal = targets.groupBy("panel_id").agg(F.array_sort(F.collect_list(F.struct("challenger", "asset", "weight"))).alias("targets"))
+    out = facts.join(weights(bench, "benchmark"), "panel_id").join(weights(previous, "previous"), "panel_id").join(goal, "panel_id", "left")
     return out.withColumns({k: F.lit(v) for k, v in (("broker_connected", False), ("order_created", False), ("promoted", False))})

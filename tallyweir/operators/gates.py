@@ -60,9 +60,13 @@ def normalize_long_only(weights: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def align_weights(weights: DataFrame, universe: DataFrame) -> DataFrame:
-    """panel_id, asset, weight, status over the universe: missing is 0, assets outside vanish, the last of duplicates counts (row_id)."""
-    last = weights.groupBy("asset").agg(F.max_by("weight", "row_id").alias("weight"))
-    full = universe.select("panel_id", "asset").distinct().join(last, "asset", "left").select("panel_id", "asset", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    """panel_id, asset, weight, status over the universe: missing is 0, assets outside vanish, the last of duplicates counts (row_id).
+
+    Weights with a panel_id are that panel's, weights without one go to every panel.
+    """
+    keys = [c for c in ("panel_id", "asset") if c in weights.columns]
+    last = weights.groupBy(*keys).agg(F.max_by("weight", "row_id").alias("weight"))
+    full = universe.select("panel_id", "asset").distinct().join(last, keys, "left").select("panel_id", "asset", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     return normalize_long_only(full, ["panel_id"])
 
 

@@ -146,6 +146,10 @@ ORACLES: dict[str, str] = {
     "tracking_error": _H + "select wf.split_id, challenger, round(te, 8) te from te join wf on te.split_no=wf.split_no",
     "turnover": _P + ", t as (select * from alloc where asset<>'RO'), k as (select distinct split_no, split_id, challenger from t), p as (select k.*, asset, prev from k, cur where asset<>'AF') select coalesce(t.split_id, p.split_id) split_id, coalesce(t.challenger, p.challenger) challenger, round(sum(abs(coalesce(weight, 0)-coalesce(prev, 0)))/2, 8) turnover from t full join p on t.split_no=p.split_no and t.challenger=p.challenger and t.asset=p.asset group by 1, 2",
     "challenge_matrix": _H + "select r.challenger, count(e.split_no) n_splits, " + ", ".join(f"round(median(e.{c}), 6) median_{c}" for c in ("cagr", "cvar", "cdar", "turnover", "te_after")) + ", round(min(max_drawdown), 6) worst_drawdown, round(max(turnover), 6) max_turnover, bool_and(differential_status='PASS') all_pass, case when count(e.split_no)>0 then 'OK' else 'NOT_EVALUABLE' end status from (values ('equal_weight'), ('inverse_volatility'), ('min_cdar')) r(challenger) left join eval e on e.challenger=r.challenger group by 1",
+    "challenge_stability": _H + """, d as (select challenger, split_no, sum(abs(weight-before)) l1 from (select *, lag(weight) over (partition by challenger, asset order by split_no) before from alloc) group by 1, 2),
+ st as (select challenger, median(l1) m, max(l1) x, avg(case when l1<=0.2 then 1e0 when l1 is not null then 0 end) s from d group by 1),
+ mx as (select r.challenger, count(e.split_no) n_splits, median(e.cagr) cagr from (values ('equal_weight'), ('inverse_volatility'), ('min_cdar')) r(challenger) left join eval e on e.challenger=r.challenger group by 1)
+ select 'SHIPFLAG' panel_id, mx.challenger, n_splits, round(cagr, 6) median_cagr, case when n_splits>0 then 'OK' else 'NOT_EVALUABLE' end status, round(m, 6) median_l1, round(x, 6) max_l1, round(s, 6) share_stable, case when s is null then 'NOT_EVALUABLE' when s>=0.7 then 'STABLE_REGION' else 'UNSTABLE_REGION' end region from mx left join st on mx.challenger=st.challenger""",
     "stability": _P + ", d as (select challenger, split_no, sum(abs(weight-before)) l1 from (select *, lag(weight) over (partition by challenger, asset order by split_no) before from alloc) group by 1, 2) select challenger, round(median(l1), 8) median_l1, round(max(l1), 8) max_l1, round(avg(case when l1<=0.2 then 1e0 when l1 is not null then 0 end), 8) share_stable, case when avg(case when l1<=0.2 then 1e0 when l1 is not null then 0 end)>=0.7 then 'STABLE_REGION' else 'UNSTABLE_REGION' end region from d group by 1",
     "lw_shrinkage": _P + """, s as (select a.split_no, a.split_id, a.asset a, b.asset b, covar_pop(a.ret, b.ret) s from train a join train b on a.split_no=b.split_no and a.obs_no=b.obs_no group by all),
  g as (select split_no, split_id, sum(s*s) ss, sum(case when a=b then s end) tr, count(distinct a) p from s group by all), c as (select *, ret-avg(ret) over (partition by split_no, asset) x from train),
@@ -169,6 +173,7 @@ ORACLES: dict[str, str] = {
     "portfolio_return": _H + "select split_id, challenger, dt, round(ret, 8) ret from port",
     "differential": _H + "select split_id, challenger, count(*) as days, 'PASS' status from port group by all",
     "walk_forward": _H + f"select split_id, challenger, {_r(_METRICS, 6)}, round(te_before, 6) te_before, round(te_after, 6) te_after, te_binding, turnover_binding, differential_status from eval",
+    "walk_forward_report": _H + "select 'SHIPFLAG' panel_id, e.split_id, challenger, 'OK' status, a.dt signal_time, (select min(dt) from days where dt>a.dt) execution_time, (select max(t.dt) from test t where t.split_no=e.split_no) test_end, round(total_return, 6) total_return, round(turnover, 6) turnover, differential_status from eval e join wf on wf.split_no=e.split_no join days a on a.obs_no=wf.start_at-1",
     "cpcv": _cpcv() + f"select split_id, challenger, {_r(_METRICS, 6)}, round(te_before, 6) te_before from eval",
     "filter_trace": _P + " select distinct split_id, challenger, 'PASS' reason, 'OK' threshold, 'OK' observed, '' evidence_gap from alloc",
     "rejected_candidates": "select cast(null as varchar) split_id, challenger, 'NO_AUTO_PROMOTION' reason from (values ('equal_weight'), ('inverse_volatility'), ('min_cdar')) r(challenger)",

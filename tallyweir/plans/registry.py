@@ -42,6 +42,7 @@ class Research:
 
     def __init__(self, spark: SparkSession, sf_dir: str, rules: list[str] = SIMPLE):
         self.panel = materialize(fixtures.panel(spark, sf_dir), "panel")
+        gates.require(gates.panel_gate(self.panel, AS_OF, P.min_train, ["SHIPFLAG"]))
         self.bench, self.current = fixtures.benchmark(self.panel), fixtures.current(self.panel)
         self.cov = materialize(risk.train_covariance(self.panel, P), "cov")
         self.rules = rules
@@ -65,7 +66,7 @@ class Research:
     def evaluated(self) -> DataFrame:
         held, test = self.held(), self.test()
         diff = backtest.differential(backtest.portfolio_returns(held, test), backtest.portfolio_returns_folded(held, test), P.tolerance)
-        return backtest.evaluation(held, test, P).join(diff.select(*backtest.RULE, F.col("status").alias("differential_status")), backtest.RULE)
+        return backtest.evaluation(held, test, P).join(diff.select(*backtest.RULE, F.col("status").alias("differential_status"), F.col("worst").alias("differential_max_abs")), backtest.RULE)
 
 
 # --- sources, gates, splits -----------------------------------------------------------------------------------------
@@ -221,12 +222,19 @@ def turnover(spark, d):
 @query(6)
 def challenge_matrix(spark, d):
     r = Research(spark, d)
-    return backtest.challenge_matrix(r.evaluated(), [*SIMPLE, "min_cdar"])
+    return backtest.challenge_matrix(r.evaluated(), [*SIMPLE, "min_cdar"], r.panel).drop("panel_id")
+
+
+@query(6)
+def challenge_stability(spark, d):
+    r = Research(spark, d)
+    matrix = backtest.challenge_matrix(r.evaluated(), [*SIMPLE, "min_cdar"], r.panel)
+    return backtest.with_stability(matrix, backtest.stability(r.allocations(), P)).select("panel_id", "challenger", "n_splits", "median_cagr", "status", "median_l1", "max_l1", "share_stable", "region")
 
 
 @query()
 def stability(spark, d):
-    return backtest.stability(Research(spark, d).allocations(), P)
+    return backtest.stability(Research(spark, d).allocations(), P).drop("panel_id")
 
 
 @query(10)
@@ -344,6 +352,12 @@ def walk_forward(spark, d):
     return Research(spark, d).evaluated().select("split_id", "challenger", *METRICS, "te_before", "te_after", "te_binding", "turnover_binding", "differential_status")
 
 
+@query(6)
+def walk_forward_report(spark, d):
+    r = Research(spark, d)
+    return backtest.report(r.evaluated(), backtest.execution(r.panel, P), r.test(), r.allocations()).select("panel_id", "split_id", "challenger", "status", "signal_time", "execution_time", "test_end", "total_return", "turnover", "differential_status")
+
+
 @query(6)
 def cpcv(spark, d):
     r = Research(spark, d)
@@ -359,18 +373,20 @@ def cpcv(spark, d):
 
 @query()
 def filter_trace(spark, d):
-    return backtest.filter_trace(Research(spark, d).allocations())
+    r = Research(spark, d)
+    return backtest.filter_trace(r.allocations(), r.panel).select("split_id", "challenger", "reason", "threshold", "observed", "evidence_gap")
 
 
 @query()
 def rejected_candidates(spark, d):
-    return backtest.rejected(backtest.filter_trace(Research(spark, d).allocations()), [*SIMPLE, "min_cdar"])
+    r = Research(spark, d)
+    return backtest.rejected(backtest.filter_trace(r.allocations(), r.panel), [*SIMPLE, "min_cdar"], r.panel).drop("panel_id")
 
 
 @query(6)
 def shadow_replay(spark, d):
     r = Research(spark, d)
-    return backtest.replay(r.evaluated(), backtest.execution(r.panel, P), r.panel)
+    return backtest.replay(r.evaluated(), backtest.execution(r.panel, P), r.panel).drop("panel_id", "snapshot_hash")
 
 
 @query(10)
@@ -381,7 +397,7 @@ def attribution(spark, d):
 
 @query()
 def latest_targets(spark, d):
-    return backtest.latest_targets(Research(spark, d).held())
+    return backtest.latest_targets(Research(spark, d).held()).drop("panel_id")
 
 
 @query()

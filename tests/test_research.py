@@ -62,6 +62,39 @@ def test_execution_follows_the_panels_own_calendar(panel):
     assert len({r.panel_id for r in got}) == 2 and all(r.aligned for r in got)
 
 
+def test_panels_stay_apart(spark, panel):
+    """Two panels of other assets, one without a usable rule: each has its own rows in every table of evidence."""
+    other = panel.filter("asset <> 'C'").withColumn("panel_id", F.lit("Q")).withColumn("ret", F.when((F.col("asset") == "A") & (F.col("obs_no") == 3), float("nan")).otherwise(F.col("ret")))
+    both = panel.unionByName(other).cache()
+    cov = risk.train_covariance(both)
+    allocations = allocate.build("inverse_volatility", cov, None).cache()
+    equal = both.join(both.select("panel_id", "asset").distinct().groupBy("panel_id").count(), "panel_id").select("panel_id", "asset", (1 / F.col("count")).alias("weight")).distinct()
+    held = backtest.constrained(allocations, equal, equal, cov, ResearchPolicy()).cache()
+    targets = backtest.latest_targets(held)
+    assert {r.panel_id for r in targets.collect()} == {"P"} and targets.count() == 4
+    shots = {r.panel_id: r for r in backtest.snapshot(both, targets, equal, equal).collect()}
+    assert len(shots["P"].targets) == 4 and shots["Q"].targets is None and len(shots["Q"].benchmark) == 3
+    trace = {(r.panel_id, r.split_id): r for r in backtest.filter_trace(allocations, both).collect()}
+    assert {k: r.reason for k, r in trace.items()} == {(p, f"WF00{i}"): ("PASS" if p == "P" else "NOT_EVALUABLE") for p in "PQ" for i in (0, 1)}
+    assert trace["Q", "WF000"].evidence_gap == "MISSING_VOLATILITY" and trace["P", "WF000"].source_ref != trace["Q", "WF000"].source_ref
+    gone = backtest.rejected(backtest.filter_trace(allocations, both), ["inverse_volatility"], both).collect()
+    assert sorted((r.panel_id, r.reason) for r in gone) == [("P", "NO_AUTO_PROMOTION"), ("Q", "NOT_EVALUABLE"), ("Q", "NOT_EVALUABLE"), ("Q", "NO_AUTO_PROMOTION")]
+    rows, when = splits.walk_forward_rows(both, "test"), backtest.execution(both)
+    evaluated = backtest.evaluation(held, rows, ResearchPolicy()).withColumn("differential_status", F.lit("PASS")).cache()
+    told = {(r.panel_id, r.split_id): r for r in backtest.report(evaluated, when, rows, allocations).collect()}
+    assert len(told) == 4 and told["Q", "WF000"].total_return is None and told["P", "WF000"].execution_time == DAYS[252] and told["P", "WF000"].test_end == DAYS[314]
+    matrix = backtest.with_stability(backtest.challenge_matrix(evaluated, ["inverse_volatility"], both), backtest.stability(allocations))
+    assert {r.panel_id: (r.n_splits, r.status, r.region) for r in matrix.collect()} == {"P": (2, "OK", "STABLE_REGION"), "Q": (0, "NOT_EVALUABLE", "NOT_EVALUABLE")}
+    assert {r.panel_id for r in backtest.replay(evaluated, when, both).collect()} == {"P"}
+
+
+def test_aligned_weights_are_the_panels_own(spark, panel):
+    both = panel.unionByName(panel.withColumn("panel_id", F.lit("Q")))
+    own = spark.createDataFrame([("P", "A", 1.0, 1), ("Q", "B", 0.5, 1), ("Q", "C", 0.5, 1)], "panel_id string, asset string, weight double, row_id int")
+    got = {(r.panel_id, r.asset): r.weight for r in gates.align_weights(own, both).collect()}
+    assert {k for k, w in got.items() if w > 0} == {("P", "A"), ("Q", "B"), ("Q", "C")} and len(got) == 8
+
+
 def test_nan_volatility_is_not_evaluable(panel):
     spoilt = panel.withColumn("ret", F.when((F.col("asset") == "CASH") & (F.col("obs_no") == 3), float("nan")).otherwise(F.col("ret")))
     cov = risk.train_covariance(spoilt)
