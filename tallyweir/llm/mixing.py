@@ -25,6 +25,10 @@ from .common import WORD, materialize, text_key
 
 #: One row per source comes to the driver; more sources than this are refused.
 MAX_SOURCES = 100_000
+#: Words of a shard, about 14 MB of text.
+SHARD_WORDS = 1 << 21
+#: Shards times sources: the table of bounds that all workers get has so many longs at most. Where it would have more, shards are larger.
+MAX_BOUNDS = 1 << 23
 
 
 def targets(sizes: dict, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> dict:
@@ -46,6 +50,22 @@ def targets(sizes: dict, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
     return out
 
 
+def drawn_counts(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
+    """A multivariate hypergeometric draw of take out of counts, of any size (numpy's own ends at 1e9).
+
+    Each item goes by a coin of its own, which gives binomials; then as many items as are too many or too few, chosen evenly,
+    go back or follow. A set of random size that is even among those of its size stays so: the draw is exact.
+    """
+    total = int(counts.sum())
+    left = rng.binomial(counts, take / total) if total else counts.copy()
+    over = int(left.sum()) - take
+    pool = left if over > 0 else counts - left
+    ends = np.cumsum(pool)
+    picked = rng.choice(int(ends[-1]), abs(over), replace=False, shuffle=False) if over else np.zeros(0, np.int64)
+    moved = np.bincount(np.searchsorted(ends, picked, side="right"), minlength=len(counts))
+    return left - moved if over > 0 else left + moved
+
+
 def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     """shards x sources: exact counts whose columns sum to quotas, drawn by recursive bisection."""
     out = np.zeros((shards, len(quotas)), dtype=np.int64)
@@ -56,13 +76,7 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
             return
         mid, total = (lo + hi) // 2, int(counts.sum())
         take = total * (mid - lo) // (hi - lo)
-        rng = np.random.default_rng((seed, lo, hi))
-        if total < 1_000_000_000:
-            left = rng.multivariate_hypergeometric(counts, take, method="marginals")
-        else:  # numpy draws below 1e9 only; there the draw is as good as its mean
-            left = np.minimum(counts, counts * take // total)
-            order = np.argsort(-(counts * (take / total) - left), kind="stable")
-            left[order[: take - int(left.sum())]] += 1
+        left = drawn_counts(np.random.default_rng((seed, lo, hi)), counts, take)
         split(left, lo, mid)
         split(counts - left, mid, hi)
 
@@ -79,12 +93,13 @@ class Mix:
     draws: DataFrame
 
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int | None = 256, shards: int = 64, seed: int = 7, row_id: str | None = None) -> Mix:
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int | None = 256, shards: int | None = None, seed: int = 7, row_id: str | None = None) -> Mix:
     """Draws blocks of documents until each source meets its target.
 
     Null text: size 0, never drawn. Null source: a source of its own, last. Null doc_id and repeated rows:
     each row is a document of its own. Empty table: empty frames. block_words=None keeps documents whole.
     No block is drawn more than ceil(cap) times; taken words differ from the target by at most half a block.
+    shards: by default so many that one holds about SHARD_WORDS words (see MAX_BOUNDS).
     row_id: a stored, unique long column of docs that becomes rid, to join the draws back on.
     """
     spark = docs.sparkSession
@@ -121,6 +136,8 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
                         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
                         .select("rid", "doc_id", "th", "source", "block", "copy", "words", (F.col("rank") + F.col("copy") * F.col("all_n")).alias("draw")), "mix_draws")
 
+    if shards is None:
+        shards = max(1, min(math.ceil(sum(goal.values()) / SHARD_WORDS), MAX_BOUNDS // max(1, len(sizes))))
     quotas = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.count("*").alias("n")).collect()}
     names = sorted(quotas, key=lambda s: (s is None, s or ""))
     ends = np.cumsum(splitting_tree([quotas[s] for s in names], shards, seed), axis=0) if names else np.zeros((shards, 0), np.int64)
@@ -140,10 +157,10 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
 
 
 def taken(mix: Mix) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words drawn, repeats counted)."""
-    words = mix.draws.groupBy("rid").agg(F.sum("words").alias("taken"))
+    """Per document: doc_id, size, source_size, target, taken (words drawn, repeats counted), n_shards and first_shard (those that hold its draws; none: 0 and null)."""
+    words = mix.draws.groupBy("rid").agg(F.sum("words").alias("taken"), F.count_distinct("shard").alias("n_shards"), F.min("shard").alias("first_shard"))
     return (mix.documents.join(words, "rid", "left")
-            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"), "first_shard"))
 
 
 def mixed_documents(docs: DataFrame, mix: Mix, row_id: str) -> DataFrame:
