@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below spark.checkpoint.dir (a temporary folder where that is unset) and reads it back."""
+    """Writes df below spark.checkpoint.dir and reads it back. Where that is unset, a local master gets a temporary folder and any other is refused."""
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyweir-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/{name}-{uuid.uuid4().hex}"
