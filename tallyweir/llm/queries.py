@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosenpath, decontam, langid, linedup, mixing, pii, recompression, simhash, suffix, tokens
+from . import chosenpath, decontam, filteraudit, langid, linedup, merkle, mixing, pii, recompression, sharding, simhash, suffix, tokens
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 #: The key of the registered query; a deployment passes its own secret to pseudonymize().
 KEY = "demonstration key"
@@ -61,6 +62,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.documents_by_shard(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -72,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_surrogates": op8_surrogates,
     "op9_recompression": op9_recompression,
     "op10_line_dedup": op10_line_dedup,
+    "op11_sharding": op11_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_filter_audit": op13_filter_audit,
 }
-
-ORACLES: dict[str, str] = {}
