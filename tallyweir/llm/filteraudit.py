@@ -296,7 +296,7 @@ def interactions(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of op13: what each filter removes from docs at each step of all orders, per lang.
 
-    Null texts count as empty ones, null langs belong to the part ''. A null doc_id is neither smaller nor larger than another: its row is no duplicate and makes
-    none; rows that agree in doc_id and text are none of each other either. An empty table gives an empty frame. Columns besides doc_id, lang and text are not read.
+    Null texts count as empty ones, null langs belong to the part ''. A null doc_id is neither smaller nor larger than another: its row is no duplicate, makes
+    none and has no labels; rows that agree in doc_id and text are none of each other either. An empty table gives an empty frame. Columns besides doc_id, lang and text are not read.
     """
     return interactions(mask_counts(materialize(masks(docs.select("doc_id", F.col("lang").alias("part"), "text")), "audit_masks"), labels))

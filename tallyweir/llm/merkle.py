@@ -127,7 +127,7 @@ def _jumped(nodes: DataFrame, tall: int, wide: int) -> DataFrame:
 
     Only nodes with others so far below them can be pointed to, so the joined side shrinks with the square and the last rounds broadcast it if its stored size allows.
     """
-    for r in range(math.ceil(math.log2(max(1, tall + wide)))):
+    for r in range(math.ceil(math.log2(tall + wide + 1))):  # far enough to meet the top itself, which may be the subroot
         far = nodes.filter((F.col("tree") == TOP) | (F.col("level") + F.lit(wide) > 2**r))
         target = far.select(*[F.col(c).alias(f"up_{c}") for c in NODE], F.col("up_tree").alias("t"), F.col("up_level").alias("l"), F.col("up_idx").alias("i"), F.col("way").alias("more"), F.col("subroot").alias("s"))
         hop = nodes.join(target, [f"up_{c}" for c in NODE], "left")

@@ -82,7 +82,7 @@ def test_shards_of_odd_rows(odd, shards):
     first = lambda rs: min((r["doc_id"] for r in rs if r["doc_id"] is not None), default=10**9)
     order = sorted(groups, key=lambda t: (-size(t) * len(groups[t]), first(groups[t])))
     own = dict(zip(order, heap_schedule([size(t) * len(groups[t]) for t in order], shards)[0], strict=True))
-    want = sorted((r["doc_id"] or -1, size(r["text"] or ""), zlib.crc32((r["text"] or "").encode()), own[r["text"] or ""]) for r in rows)
+    want = sorted((-1 if r["doc_id"] is None else r["doc_id"], size(r["text"] or ""), zlib.crc32((r["text"] or "").encode()), own[r["text"] or ""]) for r in rows)
     assert sorted((-1 if g.doc_id is None else g.doc_id, g["size"], g.text_crc32, g.shard) for g in got) == want
     for s in {g.shard for g in got}:
         mine = sorted((g.slot, 10**9 if g.doc_id is None else g.doc_id) for g in got if g.shard == s)
@@ -201,7 +201,7 @@ def plain_audit(docs, labels):
     for d in docs:
         if d["doc_id"] is not None:
             least[d["text"] or ""] = min(least.get(d["text"] or "", d["doc_id"]), d["doc_id"])
-    for i, quality, toxic in labels:
+    for i, quality, toxic in (x for x in labels if x[0] is not None):
         good, bad = marks.get(i, (0, 0))
         marks[i] = (good or int(quality == 1), bad or int(toxic == 1))
     for d in docs:
