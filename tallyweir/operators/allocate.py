@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..schemas import EPS, SPLIT, TAIL, TRADING_DAYS, VOL_FLOOR
 from ..sources.scratch import materialize
-from . import risk
+from . import risk, simplex
 
 FLOOR = VOL_FLOOR / TRADING_DAYS**0.5
 
@@ -115,90 +115,30 @@ def _dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def score_cvar_budget(cands: DataFrame, wide: DataFrame) -> DataFrame:
-    """Mean squared relative distance of the tail contributions from equal ones, plus a thousandth of the CVaR."""
-    keys = _own(cands, "h", "i", "j")
-    loss = cands.join(wide, SPLIT).withColumn("loss", -_dot("w", "r"))
-    q = loss.groupBy(*keys).agg(F.percentile("loss", F.lit(TAIL)).alias("q"))
-    tail = loss.join(q, keys).filter(F.col("loss") >= F.col("q") - 1e-15).select(*keys, "w", F.posexplode("r").alias("k", "x"), "loss")
-    each = tail.groupBy(*keys, "k").agg(F.avg("loss").alias("cvar"), F.avg(-F.get("w", F.col("k")) * F.col("x")).alias("c"))
-    gap = F.pow(F.try_divide(F.col("c") - F.col("cvar") / F.col("n"), F.col("cvar")), 2)
-    return each.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).groupBy(*keys).agg((F.avg(gap) + 1e-3 * F.first("cvar")).alias("score"))
-
-
 def score_cdar(cands: DataFrame, wide: DataFrame) -> DataFrame:
     keys = _own(cands, "h", "i", "j")
     path = risk.drawdown_path(cands.join(wide, SPLIT).select(*keys, "obs_no", _dot("w", "r").alias("ret")), keys)
     return risk.tail_mean(path, keys, -F.col("drawdown"), "score").drop("q")
 
 
-def score_mean_risk(cands: DataFrame, stats: DataFrame) -> DataFrame:
-    """8 w'Sw - m'w from stats (SPLIT, m in asset order, s: rows of the shrunk covariance)."""
-    keys = _own(cands, "h", "i", "j")
-    j = cands.join(stats, SPLIT)
-    quad = F.aggregate(F.zip_with("w", "s", lambda x, row: x * F.aggregate(F.zip_with(F.col("w"), row, lambda y, c: y * c), F.lit(0.0), lambda a, b: a + b)), F.lit(0.0), lambda a, b: a + b)
-    return j.select(*keys, (8 * quad - _dot("w", "m")).alias("score"))
-
-
-def search(start: DataFrame, score: Callable[[DataFrame], DataFrame], first: float = 0.25, last: float = 1e-4, rounds: int = 600) -> DataFrame:
-    """Pair-transfer search on the simplex, all splits and starts in one job a round: SPLIT, start where given, w, status, score.
-
-    The best transfer of h is taken; h is halved where none is better, and a split is done when h is below last. A split that
-    is not done after the rounds is SOLVER_FAILED.
-    """
-    own = _own(start)
-    state = materialize(start.select(*own, "w", F.lit(first).alias("h"), F.lit(None).cast("double").alias("score")), "search")
-    for _ in range(rounds):
-        if state.filter(F.col("h") >= last).isEmpty():
-            break
-        cands = candidates(state.filter(F.col("h") >= last).select(*own, "h", "w"))
-        scored = cands.join(score(cands), [*own, "h", "i", "j"])
-        best = scored.groupBy(*own).agg(F.min(F.struct("score", "i", "j", "w")).alias("best"), F.max(F.when(F.col("i") == 0, F.col("score"))).alias("now"))
-        better = F.col("best.score") < F.col("now") - 1e-15
-        moved = state.join(best, own, "left").select(*own, F.when(better, F.col("best.w")).otherwise(F.col("w")).alias("w"), F.when((F.col("h") < last) | better, F.col("h")).otherwise(F.col("h") / 2).alias("h"),
-                                                     F.when(better, F.col("best.score")).otherwise(F.coalesce("now", "score")).alias("score"))
-        state = materialize(moved, "search")
-    return state.select(*own, "w", F.when(F.col("h") < last, "OK").otherwise("SOLVER_FAILED").alias("status"), "score")
-
-
-def _searched(cov: DataFrame, rows: DataFrame, score: Callable[[DataFrame], DataFrame], challenger: str, **how) -> DataFrame:
-    """The best end of the searches from equal, inverse-volatility and HRP weights; the last two only where they have weights."""
-    assets = materialize(rows.groupBy(*SPLIT).agg(F.array_sort(F.collect_set("asset")).alias("assets")), "assets")
-    starts = assets.select(*SPLIT, F.lit(0).alias("start"), F.transform("assets", lambda a: 1.0 / F.size("assets")).alias("w"))
-    for k, rule in enumerate((inverse_volatility, hierarchical_risk_parity), 1):
-        ready = rule(cov).filter("status = 'OK'").groupBy(*SPLIT).agg(F.array_sort(F.collect_list(F.struct("asset", "weight"))).alias("x")).join(assets, SPLIT)
-        ready = ready.filter((F.col("x.asset") == F.col("assets")) & F.forall("x.weight", lambda w: w.isNotNull() & ~F.isnan(w)))
-        starts = starts.unionByName(ready.select(*SPLIT, F.lit(k).alias("start"), F.col("x.weight").alias("w")))
-    ends = search(starts, score, **how)
-    best = ends.groupBy(*SPLIT).agg(F.min(F.struct((F.col("status") != "OK").alias("failed"), "score", "start", "w", "status")).alias("e")).select(*SPLIT, "e.w", "e.status")
-    out = best.join(assets, SPLIT).select(*SPLIT, "status", F.explode(F.arrays_zip("assets", "w")).alias("x"))
-    return _as_rule(out.select(*SPLIT, F.col("x.assets").alias("asset"), F.when(F.col("status") == "OK", F.col("x.w")).alias("weight"), "status"), challenger, "PAIR_TRANSFER_SEARCH")
+def _searched(cov: DataFrame, rows: DataFrame, score, challenger: str, **how) -> DataFrame:
+    """The end of a search that starts from equal or inverse-volatility weights; message holds what it reached."""
+    ready = inverse_volatility(cov).filter("status = 'OK'").groupBy(*SPLIT).agg(F.transform(F.array_sort(F.collect_list(F.struct("asset", "weight"))), lambda x: x["weight"]).alias("w"))
+    ends = simplex.searched(rows, ready, score, **how)
+    message = F.when(F.col("status") == "OK", F.concat(F.lit("objective="), F.format_string("%.12g", "score"), F.lit(";rounds="), F.col("rounds").cast("string"))).otherwise(F.lower("status"))
+    return _as_rule(ends.withColumn("message", message), challenger, "PAIR_TRANSFER_SEARCH")
 
 
 def risk_budget_cvar(cov: DataFrame, rows: DataFrame, **how) -> DataFrame:
-    wide = materialize(_wide(rows), "scenarios")
-    return _searched(cov, rows, lambda c: score_cvar_budget(c, wide), "risk_budget_cvar", **how)
+    return _searched(cov, rows, lambda r: simplex.cvar_budget, "risk_budget_cvar", **({"every_start": True} | how))
 
 
 def min_cdar(cov: DataFrame, rows: DataFrame, **how) -> DataFrame:
-    wide = materialize(_wide(rows), "scenarios")
-    return _searched(cov, rows, lambda c: score_cdar(c, wide), "min_cdar", **how)
-
-
-def mean_risk_inputs(rows: DataFrame) -> DataFrame:
-    """SPLIT, m, s: shrunk means in asset order and the rows of the Ledoit-Wolf covariance."""
-    lw = risk.shrinkage(rows)
-    pop = risk.covariance(rows).withColumn("c", F.col("cov") * (F.col("n") - 1) / F.col("n")).join(lw.select(*SPLIT, "mu", "shrinkage"), SPLIT)
-    pop = pop.withColumn("c", (1 - F.col("shrinkage")) * F.col("c") + F.when(F.col("a") == F.col("b"), F.col("shrinkage") * F.col("mu")).otherwise(0.0))
-    line = pop.groupBy(*SPLIT, "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("row"))
-    s = line.groupBy(*SPLIT).agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "row"))), lambda x: x["row"]).alias("s"))
-    m = risk.shrunk_mean(rows).groupBy(*SPLIT).agg(F.transform(F.array_sort(F.collect_list(F.struct("asset", "m"))), lambda x: x["m"]).alias("m"))
-    return m.join(s, SPLIT)
+    return _searched(cov, rows, lambda r: simplex.cdar, "min_cdar", **how)
 
 
 def shrunk_mean_risk(cov: DataFrame, rows: DataFrame, **how) -> DataFrame:
-    stats = materialize(mean_risk_inputs(rows), "mean_risk")
-    return _searched(cov, rows, lambda c: score_mean_risk(c, stats), "shrunk_mean_risk", **how)
+    return _searched(cov, rows, lambda r: simplex.mean_risk(*simplex.shrunk_inputs(r)), "shrunk_mean_risk", **how)
 
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {

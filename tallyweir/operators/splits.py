@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schemas import SPLIT, ResearchPolicy
 
@@ -39,34 +40,64 @@ def walk_forward_rows(panel: DataFrame, role: str, p: ResearchPolicy = ResearchP
     else:
         lo, hi = F.floor((o - p.min_train) / p.step) + 1, F.col("k") - 1
     lo, hi = F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, F.col("k") - 1).cast("int")
-    rows = panel.join(F.broadcast(observations(panel).select("panel_id", _count(p).alias("k"))), "panel_id").withColumn("lo", lo).withColumn("hi", hi).filter("lo <= hi")
+    rows = panel.join(observations(panel).select("panel_id", _count(p).alias("k")), "panel_id").withColumn("lo", lo).withColumn("hi", hi).filter("lo <= hi")
     return rows.withColumn("split_no", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi", "k").withColumn("split_id", _id(F.col("split_no"), "WF"))
 
 
-def purged(panel: DataFrame, p: ResearchPolicy = ResearchPolicy(), max_paths: int = 24) -> DataFrame:
+def max_paths(p: ResearchPolicy, rules: int) -> int:
+    """How many combinations the budget allows: whole rounds of the rules, but one at least."""
+    return max(1, p.parameter_budget // max(rules, 1) * rules)
+
+
+def _folds(p: ResearchPolicy) -> list[tuple[Column, Column]]:
+    """First and last observation of each fold, as equal as can be, the first ones longer. n_obs is a column."""
+    base, extra = F.floor(F.col("n_obs") / p.folds), F.col("n_obs") % p.folds
+    low = lambda b: base * b + F.least(F.lit(b), extra)
+    return [(low(b), low(b + 1) - 1) for b in range(p.folds)]
+
+
+def segments(panel: DataFrame, p: ResearchPolicy = ResearchPolicy()) -> DataFrame:
+    """panel with segment: fold, and a bit for every fold of which the observation is part or within the embargo. Observations of a segment train and test together."""
+    o = F.col("obs_no")
+    folds = _folds(p)
+    own = sum((F.when((o >= lo) & (o <= hi), b).otherwise(0) for b, (lo, hi) in enumerate(folds)), F.lit(0))
+    near = sum((F.when((lo <= hi) & (o >= lo - p.embargo) & (o <= hi + p.embargo), 1 << b).otherwise(0) for b, (lo, hi) in enumerate(folds)), F.lit(0))
+    rows = panel.join(observations(panel), "panel_id")
+    return rows.withColumn("segment", (own * 2**p.folds + near).cast("long")).select(*panel.columns, "segment")
+
+
+def splits_of_segments(panel: DataFrame, p: ResearchPolicy = ResearchPolicy(), rules: int = 6) -> DataFrame:
+    """SPLIT, segment, role, n_train, skipped: the segments each combination trains and tests on, a few per panel and split.
+
+    A split whose train window stays below min_train is left out; skipped_splits() counts those.
+    """
+    kept = _combined(panel, p, rules)
+    return kept.filter(F.col("n_train") >= p.min_train).drop("n_train")
+
+
+def skipped_splits(panel: DataFrame, p: ResearchPolicy = ResearchPolicy(), rules: int = 6) -> DataFrame:
+    """panel_id, n_splits, n_skipped: combinations within the budget, and those whose train window is too short."""
+    per = _combined(panel, p, rules).groupBy(*SPLIT).agg(F.max("n_train").alias("n_train"))
+    return per.groupBy("panel_id").agg(F.count("*").alias("n_splits"), F.count_if(F.col("n_train") < p.min_train).alias("n_skipped"))
+
+
+def _combined(panel: DataFrame, p: ResearchPolicy, rules: int) -> DataFrame:
+    sizes = segments(panel.select("panel_id", "obs_no").distinct(), p).groupBy("panel_id", "segment").agg(F.count("*").alias("n"))
+    combos = list(combinations(range(p.folds), p.test_folds))[: max_paths(p, rules)]
+    own, near = F.floor(F.col("segment") / 2**p.folds), F.col("segment") % 2**p.folds
+    cases = [F.struct(F.lit(k).alias("split_no"), F.when(own.isin(*combo), "test").when(near.bitwiseAND(sum(1 << b for b in combo)) == 0, "train").alias("role")) for k, combo in enumerate(combos)]
+    rows = sizes.withColumn("s", F.explode(F.array(*cases))).filter("s.role is not null").select("panel_id", "s.split_no", _id(F.col("s.split_no"), "CPCV").alias("split_id"), "segment", "s.role", "n")
+    n_train = F.coalesce(F.sum(F.when(F.col("role") == "train", F.col("n"))).over(Window.partitionBy(*SPLIT)), F.lit(0))
+    return rows.withColumn("n_train", n_train).drop("n")
+
+
+def purged(panel: DataFrame, p: ResearchPolicy = ResearchPolicy(), rules: int = 6) -> DataFrame:
     """Combinatorial purged splits: the panel's rows once per split they train or test in, with role.
 
-    Blocks are as equal as can be, the first ones longer. Train rows within embargo of a test block are left out, and so are
-    splits whose train window stays below min_train.
+    Train rows within embargo of a test fold are left out, and so are splits whose train window stays below min_train.
     """
-    combos = list(combinations(range(p.folds), p.test_folds))[:max_paths]
-    n, o = F.col("n_obs"), F.col("obs_no")
-    base, extra = F.floor(n / p.folds), n % p.folds
-
-    def low(b: int) -> Column:
-        return base * b + F.least(F.lit(b), extra)
-
-    tests = [(low(b), low(b + 1) - 1) for b in range(p.folds)]
-    cases = []
-    for k, combo in enumerate(combos):
-        inside = [(o >= tests[b][0]) & (o <= tests[b][1]) for b in combo]
-        near = [(o >= tests[b][0] - p.embargo) & (o <= tests[b][1] + p.embargo) & (tests[b][0] <= tests[b][1]) for b in combo]
-        any_of = lambda xs: xs[0] if len(xs) == 1 else any_of(xs[:1]) | any_of(xs[1:])
-        cases.append(F.struct(F.lit(k).alias("split_no"), F.when(any_of(inside), "test").when(~any_of(near), "train").alias("role")))
-    rows = panel.join(F.broadcast(observations(panel)), "panel_id").withColumn("s", F.explode(F.array(*cases))).filter("s.role is not null")
-    rows = rows.select(*panel.columns, "s.split_no", _id(F.col("s.split_no"), "CPCV").alias("split_id"), "s.role")
-    enough = rows.filter("role = 'train'").groupBy(*SPLIT).agg(F.count_distinct("obs_no").alias("n")).filter(F.col("n") >= p.min_train).select(*SPLIT)
-    return rows.join(F.broadcast(enough), SPLIT, "left_semi")
+    used = splits_of_segments(panel, p, rules)
+    return segments(panel, p).join(used, ["panel_id", "segment"]).select(*panel.columns, "split_no", "split_id", "role")
 
 
 def membership(rows: DataFrame) -> DataFrame:

@@ -294,7 +294,7 @@ for _name in ("risk_budget_cvar", "min_cdar", "shrunk_mean_risk"):
 
 @query()
 def candidate_scores(spark, d):
-    """One round of the search: every transfer of a quarter from equal weights, scored by CDaR on the test windows."""
+    """Every transfer of an eighth from equal weights, scored by CDaR on the test windows."""
     rows = Research(spark, d).test()
     wide = allocate._wide(rows)
     start = rows.select(*SPLIT).distinct().withColumn("w", F.array(*[F.lit(1 / 6)] * 6)).withColumn("h", F.lit(0.125))

@@ -22,6 +22,7 @@ class ResearchPolicy:
     folds: int = 6
     test_folds: int = 2
     embargo: int = 5
+    parameter_budget: int = 24
     te_cap: float = 0.04
     turnover_cap: float = 0.10
     cost_bps: float = 10.0

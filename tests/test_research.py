@@ -151,30 +151,6 @@ def test_hrp_sums_to_one_and_orders_leaves(panel):
     assert allocate.leaf_order([(a, b, d) for a, b, d in [("a", "b", 0.5), ("a", "c", 0.1), ("b", "c", 0.5)]] + [(x, x, 0.0) for x in "abc"]) in (["b", "a", "c"], ["a", "c", "b"])
 
 
-def test_search_beats_equal_weights(panel):
-    rows = splits.walk_forward_rows(panel.filter("asset <> 'CASH'"), "test")
-    wide = allocate._wide(rows).cache()
-    start = rows.select(*SPLIT).distinct().withColumn("w", F.array(*[F.lit(1 / 3)] * 3))
-    end = allocate.search(start, lambda c: allocate.score_cdar(c, wide), last=0.05)
-    score = lambda s: {r.split_no: r.score for r in allocate.score_cdar(s.withColumn("h", F.lit(0.0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).select(*SPLIT, "h", "i", "j", "w"), wide).collect()}
-    first, last = score(start), score(end)
-    assert all(last[k] <= first[k] + 1e-12 for k in first) and {r.status for r in end.collect()} == {"OK"}
-    assert all(abs(sum(r.w) - 1) < 1e-9 and min(r.w) > -1e-12 for r in end.collect())
-
-
-def test_search_reaches_corners(spark):
-    """Squared distance from a corner in one split and from known weights in the other."""
-    inner = [0.0, 0.4, 0.3, 0.2, 0.1, 0.0]
-    start = spark.createDataFrame([("P", k, f"WF00{k}", [1 / 6] * 6) for k in (0, 1)], "panel_id string, split_no int, split_id string, w array<double>")
-    goal = F.when(F.col("split_no") == 0, F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 0.0, 0.0)])).otherwise(F.array(*[F.lit(x) for x in inner]))
-    got = allocate.search(start, lambda c: c.select(*SPLIT, "h", "i", "j", F.aggregate(F.zip_with("w", goal, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, b: a + b).alias("score"))).collect()
-    assert {r.status for r in got} == {"OK"}
-    for r in got:
-        want = [1, 0, 0, 0, 0, 0] if r.split_no == 0 else inner
-        assert max(abs(a - b) for a, b in zip(r.w, want, strict=True)) < 1e-3 and min(r.w) >= 0 and abs(sum(r.w) - 1) < 1e-9
-    assert sorted(r.w.count(0.0) for r in got)[-1] == 5
-
-
 def test_contributions_sum_to_cvar(panel):
     rows = splits.walk_forward_rows(panel, "train")
     w = allocate.build("equal_weight", risk.train_covariance(panel), None).select(*SPLIT, "asset", "weight")
