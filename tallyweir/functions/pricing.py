@@ -74,7 +74,7 @@ def implied_vols(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFr
     for call, s, k, t, r, q, bid, mid, ask in batches:
         args = [x.to_numpy(dtype=float, na_value=np.nan) for x in (s, k, t, r, q)]
         with np.errstate(all="ignore"):
-            out = {n: _solve(call.fillna(False).to_numpy(dtype=bool), *args, x.to_numpy(dtype=float, na_value=np.nan)) for n, x in (("bid", bid), ("mid", mid), ("ask", ask))}
+            out = {n: _solve(call.to_numpy(dtype=float, na_value=0.0) > 0, *args, x.to_numpy(dtype=float, na_value=np.nan)) for n, x in (("bid", bid), ("mid", mid), ("ask", ask))}
         yield pd.DataFrame({n: pd.Series(v).where(np.isfinite(v), None) for n, v in out.items()})
 
 

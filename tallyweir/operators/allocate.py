@@ -54,6 +54,43 @@ def leaf_order(pairs: list[tuple[str, str, float]]) -> list[str]:
     return next(iter(leaves.values())) if leaves else []
 
 
+def spanning_forest(pairs: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+    """The pairs that single linkage merges by, in the order of (distance, a, b), and each asset with itself."""
+    above: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    kept = [(a, b, d) for a, b, d in pairs if a == b]
+    for d, a, b in sorted((d, a, b) for a, b, d in pairs if a < b):
+        x, y = top(a), top(b)
+        if x != y:
+            above[x] = y
+            kept.append((a, b, d))
+    return kept
+
+
+def merging_pairs(dist: DataFrame, side: int = 256) -> DataFrame:
+    """The pairs of dist (SPLIT, a, b, dist) among which those are by which single linkage merges: all of a split's, or few of many.
+
+    Assets are hashed to parts of about side; the pairs of two parts give the forest that spans them, and every merge of the whole is one of such a
+    forest. So what meets in a split's one task grows with the assets, not with their square.
+    """
+    sizes = dist.filter("a = b").groupBy(*SPLIT).agg(F.ceil(F.count("*") / side).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
+    dealt = dist.filter("a <= b").join(sizes, SPLIT).select(*SPLIT, "a", "b", "dist", part("a").alias("i"), part("b").alias("j"))
+    types = {f.name: f.dataType.simpleString() for f in dist.schema.fields}
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = spanning_forest(list(zip(pdf["a"], pdf["b"], pdf["dist"], strict=True)))
+        out = pd.DataFrame(kept, columns=["a", "b", "dist"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in SPLIT})[[*SPLIT, "a", "b", "dist"]]
+
+    return dealt.groupBy(*SPLIT, F.least("i", "j"), F.greatest("i", "j")).applyInPandas(forest, ", ".join(f"{k} {types[k]}" for k in SPLIT) + ", a string, b string, dist double")
+
+
 def cluster_variance(cov: DataFrame, clusters: DataFrame, keys: list[str]) -> DataFrame:
     """keys, variance of the inverse-variance portfolio of each cluster (keys incl. SPLIT, asset)."""
     diag = cov.filter("a = b").select(*SPLIT, F.col("a").alias("asset"), (1 / F.greatest("cov", F.lit(EPS))).alias("iv"))
@@ -63,7 +100,7 @@ def cluster_variance(cov: DataFrame, clusters: DataFrame, keys: list[str]) -> Da
 
 
 def hierarchical_risk_parity(cov: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """Leaf order per split in a small grouped function, then relational bisection: a round per level, all splits at once.
+    """Leaf order per split from the pairs that merge, in a small grouped function, then relational bisection: a round per level, all splits at once.
 
     Splits with a covariance that is no number are NOT_EVALUABLE.
     """
@@ -78,7 +115,7 @@ def hierarchical_risk_parity(cov: DataFrame, rows: DataFrame | None = None) -> D
         return pd.DataFrame({"panel_id": k["panel_id"], "split_no": k["split_no"], "split_id": k["split_id"], "asset": leaves, "pos": range(len(leaves))})
 
     types = {f.name: f.dataType.simpleString() for f in dist.schema.fields}
-    placed = dist.groupBy(*SPLIT).applyInPandas(order, ", ".join(f"{k} {types[k]}" for k in SPLIT) + ", asset string, pos int")
+    placed = merging_pairs(dist).groupBy(*SPLIT).applyInPandas(order, ", ".join(f"{k} {types[k]}" for k in SPLIT) + ", asset string, pos int")
     state = materialize(placed.withColumn("weight", F.lit(1.0)).withColumn("lo", F.lit(0)).withColumn("hi", F.count("*").over(Window.partitionBy(*SPLIT)).cast("int")), "hrp")
     while not state.filter("hi - lo > 1").isEmpty():
         mid = F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2).cast("int")

@@ -49,8 +49,19 @@ def constrained(allocations: DataFrame, bench: DataFrame, previous: DataFrame, c
 
 def constraint_diagnostics(held: DataFrame) -> DataFrame:
     """RULE with L1 distances of raw and final weights to the benchmark, binding constraints and a cost proxy."""
+    caps = [F.max(c).alias(c) for c in ("te_before", "te_after", "te_binding", "turnover_requested", "turnover", "turnover_binding") if c in held.columns]
     names = F.concat_ws(";", F.array_compact(F.array(F.when(F.max("te_binding"), F.lit("TRACKING_ERROR")), F.when(F.max("turnover_binding"), F.lit("TURNOVER")))))
-    return held.groupBy(*RULE).agg(F.sum(F.abs(F.col("raw") - F.col("bench"))).alias("raw_l1"), F.sum(F.abs(F.col("weight") - F.col("bench"))).alias("constrained_l1"), F.coalesce(F.nullif(names, F.lit("")), F.lit("NONE")).alias("binding_constraints"), F.sum(F.abs(F.col("raw") - F.col("weight"))).alias("cost_proxy"))
+    return held.groupBy(*RULE).agg(F.sum(F.abs(F.col("raw") - F.col("bench"))).alias("raw_l1"), F.sum(F.abs(F.col("weight") - F.col("bench"))).alias("constrained_l1"), F.coalesce(F.nullif(names, F.lit("")), F.lit("NONE")).alias("binding_constraints"), F.sum(F.abs(F.col("raw") - F.col("weight"))).alias("cost_proxy"), *caps)
+
+
+def conserved(held: DataFrame, bench: DataFrame, cov: DataFrame, p: ResearchPolicy) -> DataFrame:
+    """RULE, status: both caps measured again on the weights themselves, the tracking error on those before the turnover cap."""
+    scale = F.when(F.col("te_before") > p.te_cap, p.te_cap / F.col("te_before")).otherwise(1.0)
+    d = held.select(*RULE, "asset", (scale * (F.col("raw") - F.col("bench"))).alias("d"))
+    te = risk.tracking_error(d, cov, RULE)
+    moved = held.groupBy(*RULE).agg((F.sum(F.abs(F.col("weight") - F.col("previous"))) / 2).alias("moved"), F.sum("weight").alias("total"))
+    status = F.when(~(F.col("te") <= p.te_cap + 1e-8), "TRACKING_ERROR_CAP_NOT_CONSERVED").when(~(F.col("moved") <= p.turnover_cap + 1e-9), "TURNOVER_CAP_NOT_CONSERVED").when(~(F.abs(F.col("total") - 1) <= 1e-10), "WEIGHT_NORMALIZATION_FAILED").otherwise("OK")
+    return moved.join(te, RULE).select(*RULE, status.alias("status"))
 
 
 def portfolio_returns(held: DataFrame, rows: DataFrame) -> DataFrame:
@@ -74,10 +85,10 @@ def differential(one: DataFrame, two: DataFrame, tolerance: float) -> DataFrame:
     return j.groupBy(*RULE).agg(F.count("*").alias("days"), F.max(gap).alias("worst")).withColumn("status", F.when(F.col("worst") <= tolerance, "PASS").otherwise("FAIL"))
 
 
-def evaluation(held: DataFrame, rows: DataFrame, p: ResearchPolicy) -> DataFrame:
+def evaluation(held: DataFrame, rows: DataFrame, p: ResearchPolicy, returns: DataFrame | None = None) -> DataFrame:
     """RULE with the performance of the test rows (compounded in date order), tracking error and turnover."""
     facts = held.groupBy(*RULE).agg(F.first("turnover").alias("turnover"), F.first("te_before").alias("te_before"), F.first("te_after").alias("te_after"), F.first("te_binding").alias("te_binding"), F.first("turnover_binding").alias("turnover_binding"))
-    returns = portfolio_returns(held, rows).join(facts.select(*RULE, "turnover"), RULE)
+    returns = (portfolio_returns(held, rows) if returns is None else returns).join(facts.select(*RULE, "turnover"), RULE)
     return risk.performance(returns, RULE, p.cost_bps).join(facts.drop("turnover"), RULE)
 
 
@@ -110,9 +121,9 @@ def challenge_matrix(evaluated: DataFrame, rules: list[str], panels: DataFrame)
     return out.withColumn("status", F.when(F.col("n_splits") > 0, "OK").otherwise("NOT_EVALUABLE"))
 
 
-def stability(allocations: DataFrame, p: ResearchPolicy = ResearchPolicy()) -> DataFrame:
-    """panel_id, challenger, median_l1, max_l1, share_stable, region: distances between consecutive OK splits."""
-    ok = allocations.filter("status = 'OK'").withColumn("k", F.dense_rank().over(Window.partitionBy("panel_id", "challenger").orderBy("split_no")))
+def stability(held: DataFrame, p: ResearchPolicy = ResearchPolicy()) -> DataFrame:
+    """panel_id, challenger, median_l1, max_l1, share_stable, region: distances between the weights held in consecutive splits."""
+    ok = held.withColumn("k", F.dense_rank().over(Window.partitionBy("panel_id", "challenger").orderBy("split_no")))
     before = F.lag("weight").over(Window.partitionBy("panel_id", "challenger", "asset").orderBy("k"))
     steps = ok.withColumn("d", F.abs(F.col("weight") - before)).groupBy("challenger", "panel_id", "k").agg(F.sum("d").alias("l1"))
     facts = steps.groupBy("panel_id", "challenger").agg(F.median("l1").alias("median_l1"), F.max("l1").alias("max_l1"), F.avg(F.when(F.col("l1").isNotNull(), (F.col("l1") <= p.stable_l1).cast("double"))).alias("share_stable"))
@@ -127,13 +138,18 @@ def with_stability(matrix: DataFrame, stability_: DataFrame) -> DataFrame:
     return out.withColumn("region", F.coalesce("region", F.lit("NOT_EVALUABLE")))
 
 
-def filter_trace(allocations: DataFrame, panel: DataFrame) -> DataFrame:
-    """A row per (panel, split, rule): stage, rule_id, reason, metric, threshold, observed, evidence_gap, source_ref (content hash of the panel), method, diagnostics."""
+def filter_trace(allocations: DataFrame, panel: DataFrame, gate: DataFrame | None = None) -> DataFrame:
+    """A row per (panel, split, rule), and one per panel that its gate (panel_id, gate_status) turned away: stage, rule_id, reason, metric, threshold, observed, evidence_gap, source_ref (content hash of the panel), method, diagnostics."""
     facts = allocations.select("panel_id", "split_id", "challenger", "status", "message", "method").distinct()
     source = evidence.panel_fingerprint(panel).select("panel_id", F.col("content_hash").alias("source_ref"))
     ok = F.col("status") == "OK"
     fixed = {"stage": F.lit("CHALLENGER_BUILD"), "rule_id": F.concat(F.lit("BUILD_"), F.upper("challenger")), "metric": F.lit("solver_status"), "diagnostics": F.create_map(F.lit("message"), F.col("message"))}
-    return facts.withColumns(fixed).join(source, "panel_id", "left").select("panel_id", "split_id", "challenger", "stage", "rule_id", "metric", "source_ref", "method", "diagnostics", F.when(ok, "PASS").otherwise(F.col("status")).alias("reason"), F.lit("OK").alias("threshold"), F.col("status").alias("observed"), F.when(ok, "").otherwise(F.col("message")).alias("evidence_gap"))
+    out = facts.withColumns(fixed).join(source, "panel_id", "left").select("panel_id", "split_id", "challenger", "stage", "rule_id", "metric", "source_ref", "method", "diagnostics", F.when(ok, "PASS").otherwise(F.col("status")).alias("reason"), F.lit("OK").alias("threshold"), F.col("status").alias("observed"), F.when(ok, "").otherwise(F.col("message")).alias("evidence_gap"))
+    if gate is None:
+        return out
+    turned = gate.filter("gate_status <> 'PASS'").join(source, "panel_id", "left")
+    names = {"stage": "PANEL_GATE", "rule_id": "PANEL_GATE", "metric": "gate_status", "threshold": "PASS", "evidence_gap": "panel is not researched"}
+    return out.unionByName(turned.select("panel_id", "source_ref", F.col("gate_status").alias("reason"), F.col("gate_status").alias("observed"), *[F.lit(v).alias(k) for k, v in names.items()]), allowMissingColumns=True)
 
 
 def rejected(trace: DataFrame, rules: list[str], panels: DataFrame) -> DataFrame:
@@ -142,11 +158,14 @@ def rejected(trace: DataFrame, rules: list[str], panels: DataFrame) -> DataFrame
     return trace.filter("reason <> 'PASS'").select("panel_id", "split_id", "challenger", "reason").unionByName(locks, allowMissingColumns=True)
 
 
-def replay(evaluated: DataFrame, execution_: DataFrame, panel: DataFrame) -> DataFrame:
-    """Per OK (panel, split, rule): the hashes of the panel's content and universe, times and net return."""
+def replay(evaluated: DataFrame, execution_: DataFrame, panel: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Per OK (panel, split, rule): state, the hashes of the panel's content and universe, times, the end of the holding (with the test rows), net return and the lock."""
     frozen = evidence.panel_fingerprint(panel).select("panel_id", F.col("content_hash").alias("snapshot_hash"))
     universe = panel.groupBy("panel_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_set("asset"))), 256).alias("universe_hash"))
-    return evaluated.join(execution_.select(*SPLIT, "decided_at", "execute_at"), SPLIT).join(universe, "panel_id").join(frozen, "panel_id").select("panel_id", "split_id", "challenger", "snapshot_hash", "universe_hash", "decided_at", "execute_at", F.col("total_return").alias("net_return"))
+    out = evaluated.join(execution_.select(*SPLIT, "decided_at", "execute_at"), SPLIT).join(universe, "panel_id").join(frozen, "panel_id")
+    if rows is not None:
+        out = out.join(rows.groupBy(*SPLIT).agg(F.max("dt").alias("held_until")), SPLIT)
+    return out.select("panel_id", "split_id", "challenger", F.lit("CLOSED_REPLAY").alias("state"), "snapshot_hash", "universe_hash", "decided_at", "execute_at", *(["held_until"] if rows is not None else []), F.col("total_return").alias("net_return"), F.lit(True).alias("no_auto_promotion"))
 
 
 # Named components of the attribution; all but the cost are 0.
@@ -175,12 +194,16 @@ def latest_targets(held: DataFrame) -> DataFrame:
     return held.withColumn("last", F.max("split_no").over(last)).filter(F.col("split_no") == F.col("last")).select("panel_id", "split_id", "challenger", "asset", "weight")
 
 
-def snapshot(panel: DataFrame, targets: DataFrame, bench: DataFrame, previous: DataFrame) -> DataFrame:
-    """One row per panel: universe, previous, benchmark and target weights, hashes and locks."""
+def snapshot(panel: DataFrame, targets: DataFrame, bench: DataFrame, previous: DataFrame, execution_: DataFrame | None = None, p: ResearchPolicy = ResearchPolicy()) -> DataFrame:
+    """One row per panel: universe, previous, benchmark and target weights, hashes (of the policy too), the last split's signal and next tradable date, and locks."""
     def weights(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("panel_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", "weight")))).alias(name))
 
     facts = panel.groupBy("panel_id").agg(F.count("*").alias("n_rows"), F.max("dt").alias("as_of"), F.sha2(F.to_json(F.sort_array(F.collect_set("asset"))), 256).alias("universe_hash"))
     goal = targets.groupBy("panel_id").agg(F.array_sort(F.collect_list(F.struct("challenger", "asset", "weight"))).alias("targets"))
     out = facts.join(weights(bench, "benchmark"), "panel_id").join(weights(previous, "previous"), "panel_id").join(goal, "panel_id", "left")
-    return out.withColumns({k: F.lit(v) for k, v in (("broker_connected", False), ("order_created", False), ("promoted", False))})
+    if execution_ is not None:
+        last = execution_.groupBy("panel_id").agg(F.max_by(F.struct("decided_at", "execute_at"), "split_no").alias("x"))
+        out = out.join(last, "panel_id", "left").withColumns({"signal_date": F.col("x.decided_at"), "next_tradable": F.col("x.execute_at")}).drop("x")
+    fixed = (("status", "ACTIVE_SHADOW_LOCKED"), ("policy_hash", evidence.policy_hash(p)), ("broker_connected", False), ("order_created", False), ("promoted", False))
+    return out.withColumns({k: F.lit(v) for k, v in fixed})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.pricing import add_implied_vols, black_scholes
 from ..schemas import NUMERIC_FIELDS, TIME_FIELDS, QualityPolicy
@@ -92,14 +93,18 @@ def validated(raw: DataFrame, as_of: str, p: QualityPolicy = QualityPolicy()) ->
     """All checks: values, iv, theoretical, residual, quality_status, reasons and three constant flags."""
     q = add_implied_vols(checked(typed(raw, as_of), p), F.col("model") == "BLACK_SCHOLES")
     priced = F.col("model") == "BLACK_SCHOLES"
+    # the first price without a volatility ends the row: later ones stay null
+    iv = {"bid": F.col("iv.bid"), "mid": F.when(F.col("iv.bid").isNotNull(), F.col("iv.mid")), "ask": F.when(F.col("iv.bid").isNotNull() & F.col("iv.mid").isNotNull(), F.col("iv.ask"))}
+    q = q.withColumn("iv", F.struct(*[v.alias(k) for k, v in iv.items()]))
     theo = black_scholes(F.col("option_type") == "CALL", *[F.col(c) for c in ("underlying_price", "strike", "maturity", "risk_free_rate", "dividend_yield")], F.col("iv.mid"))
-    q = q.withColumn("theoretical", F.when(priced, theo)).withColumn("model_residual", relative_residual(F.col("theoretical"), F.col("mid")))
+    q = q.withColumn("theoretical", F.when(priced & F.col("iv.ask").isNotNull(), theo)).withColumn("model_residual", relative_residual(F.col("theoretical"), F.col("mid")))
     nonpos = priced & (F.least("bid", "mid", "ask") <= 0)
-    missing = priced & ~nonpos & (F.col("iv.bid").isNull() | F.col("iv.mid").isNull() | F.col("iv.ask").isNull())
-    band = priced & F.col("iv.bid").isNotNull() & F.col("iv.mid").isNotNull() & F.col("iv.ask").isNotNull() & ~((F.col("iv.bid") <= F.col("iv.mid")) & (F.col("iv.mid") <= F.col("iv.ask")))
+    inputs = priced & ~nonpos & (F.least("underlying_price", "strike") <= 0)
+    missing = priced & ~nonpos & ~inputs & F.col("iv.ask").isNull()
+    band = priced & F.col("iv.ask").isNotNull() & ~((F.col("iv.bid") <= F.col("iv.mid")) & (F.col("iv.mid") <= F.col("iv.ask")))
     unpriced = F.col("model").isin("QUANTLIB_DEPENDENCY_MISSING", "UNSUPPORTED_EXPLICIT_PRICING_MODEL")
     errors = F.array_compact(F.concat("errors", F.array(_reason(band, "IV_BAND_NON_MONOTONIC"))))
-    warnings = F.array_compact(F.concat("warnings", F.array(F.when(unpriced, F.col("model")), _reason(nonpos, "OPTION_PRICE_NON_POSITIVE"), _reason(missing, "IMPLIED_VOL_NO_ROOT"), _reason(F.abs("model_residual") > p.residual, "MODEL_RESIDUAL_HIGH"))))
+    warnings = F.array_compact(F.concat("warnings", F.array(F.when(unpriced, F.col("model")), _reason(nonpos, "OPTION_PRICE_NON_POSITIVE"), _reason(inputs, "BLACK_SCHOLES_INPUT_NON_POSITIVE"), _reason(missing, "IMPLIED_VOL_NO_ROOT"), _reason(F.abs("model_residual") > p.residual, "MODEL_RESIDUAL_HIGH"))))
     q = q.withColumn("errors", errors).withColumn("warnings", warnings)
     status = F.when(F.size("errors") > 0, "REJECT").when(unpriced, "NOT_EVALUABLE").when(F.size("warnings") > 0, "THIN").otherwise("PASS")
     q = q.withColumn("quality_status", status).withColumn("reasons", F.concat_ws(";", F.concat("errors", "warnings")))
@@ -131,22 +136,27 @@ def chain_quality(quotes: DataFrame) -> DataFrame:
 def covered_calls(quotes: DataFrame, anchors: DataFrame, fees: list[float | None]) -> DataFrame:
     """Per anchor (underlying, anchor_no, anchor_price, reference_units) and fee: the nearest eligible call and what it would bring.
 
-    Nearest strike, then spread, then days, then row. Never actionable. No call, or no fee, is a status, not a number.
+    Nearest strike, then spread, then days, then row. Calls are reduced to the best of each strike; anchors and strikes of an underlying then stand in one
+    order, where only the last strike up to an anchor and the first one from it on can be nearest. Never actionable. No call,
+    no fee or a multiplier that is not positive is NOT_EVALUABLE with its reason, not a number.
     """
-    calls = quotes.filter((F.col("option_type") == "CALL") & F.col("quality_status").isin("PASS", "THIN"))
-    # one row per strike is enough: the best of a strike wins whatever the anchor
-    best = calls.groupBy("underlying", "strike").agg(F.min(F.struct(F.coalesce("spread_to_mid", F.lit(float("inf"))).alias("spread"), "dte", "row_id", "mid", "contract_multiplier")).alias("q"))
-    near = anchors.join(best, "underlying", "left")
-    pick = near.groupBy("underlying", "anchor_no", "anchor_price", "reference_units").agg(F.min(F.struct(F.when(F.col("strike").isNotNull(), F.abs(F.col("strike") - F.col("anchor_price"))).otherwise(F.lit(float("inf"))).alias("gap"), F.col("q.spread"), F.col("q.dte"), F.col("q.row_id"), "strike", F.col("q.mid"), F.col("q.contract_multiplier"))).alias("m"))
-    fee = F.explode(F.array(*[F.lit(f).cast("double") for f in fees])).alias("fee")
-    out = pick.select("underlying", "anchor_no", "anchor_price", "reference_units", "m", fee)
-    mult = F.col("m.contract_multiplier")
-    status = F.when(F.col("m.strike").isNull(), "NO_VALID_CALL_QUOTE").when(F.coalesce(mult, F.lit(0.0)) <= 0, "INVALID_MULTIPLIER").when(F.col("fee").isNull(), "FEE_UNKNOWN").otherwise("OK")
-    contracts = F.when(mult > 0, F.floor(F.greatest(F.col("reference_units"), F.lit(0)) / mult)).cast("long")
-    premium = F.col("m.mid") * mult * F.col("contracts") - F.col("fee") * F.col("contracts")
-    out = out.withColumn("status", status).withColumn("contracts", contracts).withColumn("premium", F.when(F.col("status") == "OK", premium))
-    return out.select("underlying", "anchor_no", "anchor_price", "reference_units", "fee", F.col("m.row_id").alias("call_row"), F.col("m.strike").alias("strike"), "contracts", "premium",
-                      F.when((F.col("status") == "OK") & (F.col("reference_units") > 0), F.col("m.strike") + F.col("premium") / F.col("reference_units")).alias("effective_exit"), "status", F.lit(False).alias("actionable"))
+    calls = quotes.filter((F.col("option_type") == "CALL") & F.col("quality_status").isin("PASS", "THIN") & F.col("strike").isNotNull())
+    carried = ["row_id", "mid", "contract_multiplier", *[c for c in ("expiry", "bid", "ask", "quality_status") if c in quotes.columns]]
+    best = calls.groupBy("underlying", "strike").agg(F.min_by(F.struct("strike", F.coalesce("spread_to_mid", F.lit(float("inf"))).alias("spread"), "dte", *carried), F.struct(F.coalesce("spread_to_mid", F.lit(float("inf"))), "dte", "row_id")).alias("q"))
+    line = anchors.select("underlying", F.col("anchor_price").cast("double").alias("at"), F.struct("anchor_no", "anchor_price", "reference_units").alias("anchor")).unionByName(best.select("underlying", F.col("strike").alias("at"), "q"), allowMissingColumns=True)
+    own = Window.partitionBy("underlying").orderBy("at")
+    sides = line.withColumn("below", F.last("q", ignorenulls=True).over(own.rangeBetween(Window.unboundedPreceding, 0))).withColumn("above", F.first("q", ignorenulls=True).over(own.rangeBetween(0, Window.unboundedFollowing))).filter("anchor is not null")
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.strike") - F.col("at")).alias("gap"), F.col(f"{c}.spread"), F.col(f"{c}.dte"), F.col(f"{c}.row_id")))
+    nearer = F.when(F.col("below").isNull() | (rank("above") < rank("below")), F.col("above")).otherwise(F.col("below"))
+    out = sides.select("underlying", "anchor.*", nearer.alias("m"), F.explode(F.array(*[F.lit(f).cast("double") for f in fees])).alias("fee"))
+    mult, units = F.col("m.contract_multiplier"), F.col("reference_units")
+    reason = F.when(F.col("m").isNull(), "NO_VALID_CALL_QUOTE").when(F.coalesce(mult, F.lit(0.0)) <= 0, "INVALID_MULTIPLIER").when(F.col("fee").isNull(), "FEE_UNKNOWN").otherwise("")
+    contracts = F.when(mult > 0, F.floor(F.greatest(units, F.lit(0)) / mult)).cast("long")
+    out = out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason") == "", "COUNTERFACTUAL_ONLY").otherwise("NOT_EVALUABLE")).withColumn("contracts", contracts)
+    out = out.withColumn("premium", F.when(F.col("reason") == "", F.col("m.mid") * mult * F.col("contracts") - F.col("fee") * F.col("contracts")))
+    flags = {"actionable": F.lit(False), "auto_triggered": F.lit(False)}
+    return out.withColumns(flags).select("underlying", "anchor_no", "anchor_price", "reference_units", "fee", F.col("m.row_id").alias("call_row"), *[F.col(f"m.{c}").alias(c) for c in carried[3:]], F.col("m.strike").alias("strike"), F.col("m.mid").alias("mid"), mult.alias("contract_multiplier"), "contracts", "premium",
+                                        F.when((F.col("reason") == "") & (units != 0), F.col("m.strike") + F.col("premium") / units).alias("effective_exit"), "status", "reason", *flags)
 
 
 def sale_rule(states: DataFrame, quality: DataFrame) -> DataFrame:
@@ -156,7 +166,7 @@ def sale_rule(states: DataFrame, quality: DataFrame) -> DataFrame:
     lots = lambda x: F.floor(x / F.col("lot_size")) * F.col("lot_size")
     s = s.withColumn("input_error", bad).withColumn("floor_active", (F.col("price") < F.col("protection_floor")) & (F.col("hard_risk_count") < 2))
     base = lots(F.col("base_sale_units"))
-    units = F.when(F.col("input_error").isNotNull(), None).when(F.col("floor_active"), 0).when(F.col("price") >= F.col("protection_floor"), lots(base * F.col("risk_overlay_multiplier"))).otherwise(base).cast("long")
+    units = F.when(F.col("input_error").isNotNull(), None).when(F.col("floor_active"), 0).when(F.col("price") >= F.col("protection_floor"), F.greatest(F.lit(0), lots(base * F.col("risk_overlay_multiplier")))).otherwise(F.greatest(F.lit(0), base)).cast("long")
     s = s.withColumn("sale_units", units).withColumn("covered_call_status", F.when(F.col("quality") == "PASS", "HUMAN_REVIEW_ONLY").otherwise("DISABLED"))
     checks = F.create_map(F.lit("FLOOR_HELD"), ~F.col("floor_active") | (F.col("sale_units") == 0), F.lit("UNITS_NON_NEGATIVE"), F.col("sale_units") >= 0, F.lit("WHOLE_LOTS"), F.col("sale_units") % F.col("lot_size") == 0,
                           F.lit("CALLS_NOT_AUTOMATIC"), F.col("covered_call_status").isin("DISABLED", "HUMAN_REVIEW_ONLY"), F.lit("NO_ORDER"), F.lit(True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.pricing import LOWER, UPPER
 from ..operators.backtest import COMPONENTS
 from ..operators.scan import BLOCKED_EXTENSIONS, BLOCKED_FRAGMENTS, RULES
-from ..sources.fixtures import CHAIN, PANEL
+from ..sources.fixtures import CHAIN, PANEL, PANELS
 
 _PANEL = f"""
 with panel as ({PANEL.format(lineitem="lineitem")}),
@@ -121,6 +121,48 @@ _gate = lambda run, src, as_of, n: f"""select 'SHIPFLAG' panel_id, case when cou
  when count(*)>count(distinct (dt, asset)) then 'DUPLICATE_ASSET_COLUMNS' when max(dt)>{as_of} then 'AS_OF_VIOLATION' when count(*)<count(distinct dt)*count(distinct asset) then 'NON_FINITE_RETURN' when max(abs(ret))>=1 then 'IMPLAUSIBLE_DAILY_RETURN' else 'PASS' end gate_status, '{run}' run from ({src})"""
 _open = "date '2001-12-31'"
 
+_PANELS = f"""
+with panel as ({PANELS.format(lineitem="lineitem")}),
+gate as (select panel_id, case when count(distinct dt)<315 then 'INSUFFICIENT_HISTORY:'||count(distinct dt)||'<315' when count(*)<count(distinct dt)*count(distinct asset) then 'NON_FINITE_RETURN' when max(abs(ret))>=1 then 'IMPLAUSIBLE_DAILY_RETURN' else 'PASS' end gate_status from panel group by 1),
+sound as (select p.* from panel p join gate g on g.panel_id=p.panel_id where gate_status='PASS'),
+days as (select distinct panel_id, obs_no, dt from sound),
+n as (select panel_id, max(obs_no)+1 n from days group by 1),
+assets as (select panel_id, asset, 1e0/count(*) over (partition by panel_id) bench, (count(*) over (partition by panel_id)+1-row_number() over (partition by panel_id order by asset))/(count(*) over (partition by panel_id)*(count(*) over (partition by panel_id)+1)/2e0) prev from (select distinct panel_id, asset from sound))
+"""
+_PANELS_WF = """
+, splits as (select panel_id, k split_no, printf('WF%03d', k) split_id, 252+63*k start_at from n, (select unnest(range(0, 200)) k) where 252+63*k+63<=n),
+train as (select s.panel_id, s.split_no, s.split_id, p.obs_no, p.dt, p.asset, p.ret from splits s join sound p on p.panel_id=s.panel_id and p.obs_no<s.start_at),
+test as (select s.panel_id, s.split_no, s.split_id, p.obs_no, p.dt, p.asset, p.ret from splits s join sound p on p.panel_id=s.panel_id and p.obs_no>=s.start_at and p.obs_no<s.start_at+63)
+"""
+_PANELS_CP = """
+, blk as (select panel_id, b, b*(n//6)+least(b, n%6) lo, (b+1)*(n//6)+least(b+1, n%6)-1 hi from n, (select unnest(range(0,6)) b)),
+combo as (select x.panel_id, row_number() over (partition by x.panel_id order by x.b, y.b)-1 split_no, x.lo lo1, x.hi hi1, y.lo lo2, y.hi hi2 from blk x join blk y on x.panel_id=y.panel_id and x.b<y.b),
+cpr as (select p.panel_id, c.split_no, printf('CPCV%03d', c.split_no) split_id, p.obs_no, p.dt, p.asset, p.ret, case when p.obs_no between lo1 and hi1 or p.obs_no between lo2 and hi2 then 'test' when not (p.obs_no between lo1-5 and hi1+5 or p.obs_no between lo2-5 and hi2+5) then 'train' end as role from combo c join sound p on p.panel_id=c.panel_id),
+enough as (select panel_id, split_no from cpr where role='train' group by 1, 2 having count(distinct obs_no)>=252),
+train as (select c.* from cpr c join enough e on e.panel_id=c.panel_id and e.split_no=c.split_no where role='train'), test as (select c.* from cpr c join enough e on e.panel_id=c.panel_id and e.split_no=c.split_no where role='test')
+"""
+_PANELS_HELD = """
+, vol as (select panel_id, split_no, split_id, asset, stddev_samp(ret) vol from train group by all),
+cov as (select a.panel_id, a.split_no, a.asset a, b.asset b, covar_samp(a.ret, b.ret) cov from train a join train b on a.panel_id=b.panel_id and a.split_no=b.split_no and a.obs_no=b.obs_no group by all),
+alloc as (select panel_id, split_no, split_id, 'equal_weight' challenger, asset, 1e0/count(*) over (partition by panel_id, split_no) weight from vol
+ union all select panel_id, split_no, split_id, 'inverse_volatility', asset, (1/greatest(vol, 0.005/sqrt(252)))/sum(1/greatest(vol, 0.005/sqrt(252))) over (partition by panel_id, split_no) from vol),
+d1 as (select a.*, bench, prev, weight-bench d from alloc a join assets s on s.panel_id=a.panel_id and s.asset=a.asset),
+te as (select x.panel_id, x.split_no, x.challenger, sqrt(greatest(sum(x.d*y.d*c.cov), 0)*252) te from d1 x join d1 y on x.panel_id=y.panel_id and x.split_no=y.split_no and x.challenger=y.challenger join cov c on c.panel_id=x.panel_id and c.split_no=x.split_no and c.a=x.asset and c.b=y.asset group by all),
+k1 as (select a.*, te, bench+case when te>0.04 then 0.04/te else 1 end*d w1 from d1 a join te on a.panel_id=te.panel_id and a.split_no=te.split_no and a.challenger=te.challenger),
+k2 as (select *, sum(abs(w1-prev)) over (partition by panel_id, split_no, challenger)/2 treq from k1),
+k3 as (select *, prev+case when treq>0.1 then 0.1/treq else 1 end*(w1-prev) w2 from k2),
+k4 as (select *, w2/sum(w2) over (partition by panel_id, split_no, challenger) w from k3),
+held as (select *, sum(abs(w-prev)) over (partition by panel_id, split_no, challenger)/2 turnover from k4),
+port as (select h.panel_id, h.split_no, h.split_id, h.challenger, t.obs_no, max(h.turnover) turnover, max(h.te) te, sum(h.w*t.ret) ret from test t join held h on t.panel_id=h.panel_id and t.split_no=h.split_no and t.asset=h.asset group by all),
+net as (select *, ret-case when row_number() over (partition by panel_id, split_no, challenger order by obs_no)=1 then turnover*10/1e4 else 0 end net from port),
+lw as (select *, sum(ln(1+net)) over (partition by panel_id, split_no, challenger order by obs_no) lw from net),
+path as (select *, exp(lw-max(lw) over (partition by panel_id, split_no, challenger order by obs_no))-1 dd from lw),
+q as (select panel_id, split_no, challenger, quantile_cont(-dd, 0.95) qd from path group by all),
+eval as (select p.panel_id, p.split_no, p.split_id, p.challenger, exp(sum(ln(1+net)))-1 total_return, pow(exp(sum(ln(1+net))), 1/greatest(count(*)/252e0, 1/252e0))-1 cagr, min(dd) max_drawdown, avg(case when -dd>=qd-1e-15 then -dd end) cdar, max(turnover) turnover, max(te) te from path p join q on p.panel_id=q.panel_id and p.split_no=q.split_no and p.challenger=q.challenger group by all)
+"""
+_PW, _PC = _PANELS + _PANELS_WF + _PANELS_HELD, _PANELS + _PANELS_CP + _PANELS_HELD
+_TWO = "(values ('equal_weight'), ('inverse_volatility')) r(challenger)"
+
 ORACLES: dict[str, str] = {
     "panel_load": _P + " select panel_id, obs_no, dt, asset, round(ret, 8) ret from panel",
     "weights_align": _P + ", w as (select asset, case when asset='AF' then 2*prev when asset='NO' then 0 else prev end w from cur) select 'SHIPFLAG' panel_id, asset, round(w/sum(w) over (), 8) weight, 'OK' status from w",
@@ -146,11 +188,11 @@ ORACLES: dict[str, str] = {
     "tracking_error": _H + "select wf.split_id, challenger, round(te, 8) te from te join wf on te.split_no=wf.split_no",
     "turnover": _P + ", t as (select * from alloc where asset<>'RO'), k as (select distinct split_no, split_id, challenger from t), p as (select k.*, asset, prev from k, cur where asset<>'AF') select coalesce(t.split_id, p.split_id) split_id, coalesce(t.challenger, p.challenger) challenger, round(sum(abs(coalesce(weight, 0)-coalesce(prev, 0)))/2, 8) turnover from t full join p on t.split_no=p.split_no and t.challenger=p.challenger and t.asset=p.asset group by 1, 2",
     "challenge_matrix": _H + "select r.challenger, count(e.split_no) n_splits, " + ", ".join(f"round(median(e.{c}), 6) median_{c}" for c in ("cagr", "cvar", "cdar", "turnover", "te_after")) + ", round(min(max_drawdown), 6) worst_drawdown, round(max(turnover), 6) max_turnover, bool_and(differential_status='PASS') all_pass, case when count(e.split_no)>0 then 'OK' else 'NOT_EVALUABLE' end status from (values ('equal_weight'), ('inverse_volatility'), ('min_cdar')) r(challenger) left join eval e on e.challenger=r.challenger group by 1",
-    "challenge_stability": _H + """, d as (select challenger, split_no, sum(abs(weight-before)) l1 from (select *, lag(weight) over (partition by challenger, asset order by split_no) before from alloc) group by 1, 2),
+    "challenge_stability": _H + """, d as (select challenger, split_no, sum(abs(w-before)) l1 from (select *, lag(w) over (partition by challenger, asset order by split_no) before from held) group by 1, 2),
  st as (select challenger, median(l1) m, max(l1) x, avg(case when l1<=0.2 then 1e0 when l1 is not null then 0 end) s from d group by 1),
  mx as (select r.challenger, count(e.split_no) n_splits, median(e.cagr) cagr from (values ('equal_weight'), ('inverse_volatility'), ('min_cdar')) r(challenger) left join eval e on e.challenger=r.challenger group by 1)
  select 'SHIPFLAG' panel_id, mx.challenger, n_splits, round(cagr, 6) median_cagr, case when n_splits>0 then 'OK' else 'NOT_EVALUABLE' end status, round(m, 6) median_l1, round(x, 6) max_l1, round(s, 6) share_stable, case when s is null then 'NOT_EVALUABLE' when s>=0.7 then 'STABLE_REGION' else 'UNSTABLE_REGION' end region from mx left join st on mx.challenger=st.challenger""",
-    "stability": _P + ", d as (select challenger, split_no, sum(abs(weight-before)) l1 from (select *, lag(weight) over (partition by challenger, asset order by split_no) before from alloc) group by 1, 2) select challenger, round(median(l1), 8) median_l1, round(max(l1), 8) max_l1, round(avg(case when l1<=0.2 then 1e0 when l1 is not null then 0 end), 8) share_stable, case when avg(case when l1<=0.2 then 1e0 when l1 is not null then 0 end)>=0.7 then 'STABLE_REGION' else 'UNSTABLE_REGION' end region from d group by 1",
+    "stability": _H + ", d as (select challenger, split_no, sum(abs(w-before)) l1 from (select *, lag(w) over (partition by challenger, asset order by split_no) before from held) group by 1, 2) select challenger, round(median(l1), 8) median_l1, round(max(l1), 8) max_l1, round(avg(case when l1<=0.2 then 1e0 when l1 is not null then 0 end), 8) share_stable, case when avg(case when l1<=0.2 then 1e0 when l1 is not null then 0 end)>=0.7 then 'STABLE_REGION' else 'UNSTABLE_REGION' end region from d group by 1",
     "lw_shrinkage": _P + """, s as (select a.split_no, a.split_id, a.asset a, b.asset b, covar_pop(a.ret, b.ret) s from train a join train b on a.split_no=b.split_no and a.obs_no=b.obs_no group by all),
  g as (select split_no, split_id, sum(s*s) ss, sum(case when a=b then s end) tr, count(distinct a) p from s group by all), c as (select *, ret-avg(ret) over (partition by split_no, asset) x from train),
  n as (select split_no, avg(q*q) q2, count(*) n from (select split_no, obs_no, sum(x*x) q from c group by all) group by 1),
@@ -169,7 +211,7 @@ ORACLES: dict[str, str] = {
     "drift_weights": _P + ", x as (select c.asset, prev*(1+ret) g from cur c join panel p on p.asset=c.asset where obs_no=(select max(obs_no) from panel)) select 'SHIPFLAG' panel_id, asset, round(g/sum(g) over (), 8) weight, 'OK' status from x",
     "cap_te": _H + "select split_id, challenger, asset, round(w1, 8) weight, round(te, 8) te_before, round(least(te, 0.04), 8) te_after, te>0.04 te_binding from k1",
     "cap_turnover": _H + "select split_id, challenger, asset, round(w, 8) weight, round(treq, 8) turnover_requested, round(turnover, 8) turnover, treq>0.1 turnover_binding from held",
-    "constraint_diag": _H + "select split_id, challenger, round(sum(abs(weight-1e0/6)), 8) raw_l1, round(sum(abs(w-1e0/6)), 8) constrained_l1, coalesce(nullif(concat_ws(';', case when max(te)>0.04 then 'TRACKING_ERROR' end, case when max(treq)>0.1 then 'TURNOVER' end), ''), 'NONE') binding_constraints, round(sum(abs(weight-w)), 8) cost_proxy from held group by all",
+    "constraint_diag": _H + "select split_id, challenger, round(sum(abs(weight-1e0/6)), 8) raw_l1, round(sum(abs(w-1e0/6)), 8) constrained_l1, coalesce(nullif(concat_ws(';', case when max(te)>0.04 then 'TRACKING_ERROR' end, case when max(treq)>0.1 then 'TURNOVER' end), ''), 'NONE') binding_constraints, round(sum(abs(weight-w)), 8) cost_proxy, round(max(te), 8) te_before, round(max(treq), 8) turnover_requested, round(max(turnover), 8) turnover from held group by all",
     "portfolio_return": _H + "select split_id, challenger, dt, round(ret, 8) ret from port",
     "differential": _H + "select split_id, challenger, count(*) as days, 'PASS' status from port group by all",
     "walk_forward": _H + f"select split_id, challenger, {_r(_METRICS, 6)}, round(te_before, 6) te_before, round(te_after, 6) te_after, te_binding, turnover_binding, differential_status from eval",
@@ -177,7 +219,7 @@ ORACLES: dict[str, str] = {
     "cpcv": _cpcv() + f"select split_id, challenger, {_r(_METRICS, 6)}, round(te_before, 6) te_before from eval",
     "filter_trace": _P + " select distinct split_id, challenger, 'PASS' reason, 'OK' threshold, 'OK' observed, '' evidence_gap from alloc",
     "rejected_candidates": "select cast(null as varchar) split_id, challenger, 'NO_AUTO_PROMOTION' reason from (values ('equal_weight'), ('inverse_volatility'), ('min_cdar')) r(challenger)",
-    "shadow_replay": _H + """select e.split_id, challenger, (select sha256('["'||string_agg(asset, '","' order by asset)||'"]') from cur) universe_hash, a.dt decided_at, b.dt execute_at, round(total_return, 6) net_return from eval e join wf on wf.split_no=e.split_no join days a on a.obs_no=start_at-1 join days b on b.obs_no=start_at""",
+    "shadow_replay": _H + """select e.split_id, challenger, (select sha256('["'||string_agg(asset, '","' order by asset)||'"]') from cur) universe_hash, 'CLOSED_REPLAY' state, a.dt decided_at, b.dt execute_at, (select max(dt) from test t where t.split_no=e.split_no) held_until, round(total_return, 6) net_return, true no_auto_promotion from eval e join wf on wf.split_no=e.split_no join days a on a.obs_no=start_at-1 join days b on b.obs_no=start_at""",
     "attribution": _H + "select h.split_id, h.challenger, t.dt, 'ASSET:'||t.asset component, round(w*t.ret, 10) as value, 'UNREALIZED_SHADOW_PNL' classification, round(net.net, 10) net, 'PASS' identity_status from test t join held h on t.split_no=h.split_no and t.asset=h.asset join net on net.split_no=h.split_no and net.challenger=h.challenger and net.dt=t.dt union all select split_id, challenger, dt, c.component, round(case when c.component='TRANSACTION_COST_ESTIMATE' then net.net-net.ret else 0 end, 10), c.component, round(net.net, 10), 'PASS' from net, (values " + ", ".join(f"('{c}')" for c in COMPONENTS) + ") c(component)",
     "latest_targets": _H + "select split_id, challenger, asset, round(w, 8) weight from held where split_no=(select max(split_no) from held)",
     "quote_time": _QUOTES + "select row_id, case when age<1 then 'FUTURE_EVIDENCE' else '' end reasons from q",
@@ -199,12 +241,27 @@ ORACLES: dict[str, str] = {
  u as (select *, exercise_style='EUROPEAN' and quality_status in ('PASS','THIN') and ps in ('PASS','THIN') usable from pr)
  select underlying, strike, row_id call_row, put_row, case when usable then round(mid-pm-(s-k*exp(-0.025*tq)), 6) end residual, case when usable then 'OK' else 'NOT_EVALUABLE' end status, case when not usable and exercise_style='AMERICAN' then 'AMERICAN_PARITY_NOT_EXACT' else '' end reason from u""",
     "covered_call_cf": _QUOTES + """, cl as (select * from v where option_type='CALL' and quality_status in ('PASS','THIN')),
- pk as (select a.*, c.row_id call_row, c.strike, c.mid, row_number() over (partition by a.state_id, a.anchor_no order by abs(c.strike-a.anchor_price) nulls last, c.spread, ceil(365*c.t), c.row_id) rn from anchors a left join cl c on c.underlying=a.state_id),
- x as (select pk.*, fee, case when call_row is null then 'NO_VALID_CALL_QUOTE' when fee is null then 'FEE_UNKNOWN' else 'OK' end status, case when call_row is not null then cast(reference_units//100 as bigint) end contracts from pk, (values (5e0), (cast(null as double))) f(fee) where rn=1)
- select state_id underlying, anchor_no, anchor_price, reference_units, fee, call_row, strike, contracts, case when status='OK' then round(mid*100*contracts-fee*contracts, 6) end premium, case when status='OK' and reference_units>0 then round(strike+(mid*100*contracts-fee*contracts)/reference_units, 6) end effective_exit, status, false actionable from x""",
+ pk as (select a.*, c.row_id call_row, c.strike, c.mid, c.bid, c.ask, c.quality_status, row_number() over (partition by a.state_id, a.anchor_no order by abs(c.strike-a.anchor_price) nulls last, c.spread, ceil(365*c.t), c.row_id) rn from anchors a left join cl c on c.underlying=a.state_id),
+ x as (select pk.*, fee, case when call_row is null then 'NO_VALID_CALL_QUOTE' when fee is null then 'FEE_UNKNOWN' else '' end reason, case when call_row is not null then cast(reference_units//100 as bigint) end contracts from pk, (values (5e0), (cast(null as double))) f(fee) where rn=1)
+ select state_id underlying, anchor_no, anchor_price, reference_units, fee, call_row, round(bid, 6) bid, round(ask, 6) ask, quality_status, strike, round(mid, 6) mid, case when call_row is not null then 100e0 end contract_multiplier, contracts, case when reason='' then round(mid*100*contracts-fee*contracts, 6) end premium, case when reason='' and reference_units<>0 then round(strike+(mid*100*contracts-fee*contracts)/reference_units, 6) end effective_exit,
+ case when reason='' then 'COUNTERFACTUAL_ONLY' else 'NOT_EVALUABLE' end status, reason, false actionable, false auto_triggered from x""",
     "sale_rule": _QUOTES + """, z as (select s.*, quality, price<protection_floor and hard_risk_count<2 floor_active from states s left join cq on cq.underlying=s.state_id)
  select state_id, price, protection_floor, floor_active, cast(case when floor_active then 0 when price>=protection_floor then floor(floor(base_sale_units/100)*100*risk_overlay_multiplier/100)*100 else floor(base_sale_units/100)*100 end as bigint) sale_units, case when quality='PASS' then 'HUMAN_REVIEW_ONLY' else 'DISABLED' end covered_call_status, 'PASS' invariants from z""",
     "scan_text": _scan() + " select * from hits",
     "scan_summary": _scan() + " select source, rule, count(*) n_texts from (select distinct * from hits) group by all",
     "scan_paths": f"with x as (select page_id id, lower(coalesce(url, '')) low from pages), y as (select *, regexp_extract(low, '\\.[^./]+$') in ({_extensions}) blocked from x) select id, blocked, case when blocked then '' else concat_ws(';', {_fragments}) end fragments from y",
+    "iv_repriced": _QUOTES + f"select row_id, {_r('bid mid ask', 6)} from v where model='BLACK_SCHOLES' and not no_root".replace("round(bid, 6) bid", "round(bid, 6) at_bid").replace("round(mid, 6) mid", "round(mid, 6) at_mid").replace("round(ask, 6) ask", "round(ask, 6) at_ask"),
+    "price_quantile": "select l_returnflag, count(l_extendedprice) n, round(quantile_cont(l_extendedprice, 0.95), 6) q from lineitem group by 1",
+    "panels_gate": _PANELS + "select panel_id, gate_status from gate",
+    "panels_matrix": _PW + f""", d as (select panel_id, challenger, split_no, sum(abs(w-before)) l1 from (select *, lag(w) over (partition by panel_id, challenger, asset order by split_no) before from held) group by all),
+ st as (select panel_id, challenger, coalesce(median(l1), 0) median_l1, coalesce(avg(case when l1<=0.2 then 1e0 when l1 is not null then 0 end), 1) share_stable from d group by all),
+ e as (select panel_id, challenger, count(*) n_splits, median(cagr) median_cagr, min(max_drawdown) worst_drawdown, max(turnover) max_turnover from eval group by all)
+ select g.panel_id, r.challenger, coalesce(n_splits, 0) n_splits, case when n_splits>0 then 'OK' else 'NOT_EVALUABLE' end status, {_r('median_cagr worst_drawdown max_turnover', 6)}, case when n_splits>0 then true end all_pass, {_r('median_l1 share_stable', 6)}, case when share_stable is null then 'NOT_EVALUABLE' when share_stable>=0.7 then 'STABLE_REGION' else 'UNSTABLE_REGION' end region
+ from gate g join {_TWO} on true left join e on e.panel_id=g.panel_id and e.challenger=r.challenger left join st on st.panel_id=g.panel_id and st.challenger=r.challenger""",
+    "panels_report": _PW + f"select e.panel_id, e.split_id, e.challenger, 'OK' status, a.dt signal_time, b.dt execution_time, (select max(dt) from test t where t.panel_id=e.panel_id and t.split_no=e.split_no) test_end, {_r('total_return cdar turnover', 6)} from eval e join splits s on s.panel_id=e.panel_id and s.split_no=e.split_no join days a on a.panel_id=e.panel_id and a.obs_no=start_at-1 join days b on b.panel_id=e.panel_id and b.obs_no=start_at",
+    "panels_trace": _PW + "select distinct panel_id, split_id, challenger, 'CHALLENGER_BUILD' stage, 'PASS' reason, 'OK' observed from alloc union all select panel_id, null, null, 'PANEL_GATE', gate_status, gate_status from gate where gate_status<>'PASS'",
+    "panels_rejected": _PANELS + f"select panel_id, cast(null as varchar) split_id, cast(null as varchar) challenger, gate_status reason from gate where gate_status<>'PASS' union all select panel_id, null, challenger, 'NO_AUTO_PROMOTION' from gate join {_TWO} on true",
+    "panels_targets": _PW + "select panel_id, split_id, challenger, asset, round(w, 8) weight from held qualify split_no=max(split_no) over (partition by panel_id, challenger)",
+    "panels_cpcv": _PC + f"select panel_id, split_id, challenger, 'OK' status, {_r('total_return turnover', 6)}, round(te, 6) te_before from eval",
+    "panels_next_tradable": _PANELS + ", o as (select distinct panel_id, cast(dt as timestamp)+interval 570 minute op from panel), a as (select distinct 'S'||(o_custkey%7) panel_id, cast(o_orderdate as timestamp)+to_hours(cast(o_orderkey%24 as int)) dt from orders), x as (select a.panel_id, a.dt, o.op from a asof left join o on a.panel_id=o.panel_id and a.dt<o.op) select panel_id, dt, op next_dt, case when op is null then 'NO_NEXT_TRADABLE_TIME' else 'OK' end status from x",
 }

@@ -12,8 +12,9 @@ from ..functions import pricing
 from ..operators import allocate, backtest, evidence, gates, quotes, risk, scan, splits
 from ..schemas import SPLIT, ResearchPolicy
 from ..sources import files, fixtures
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, scratch_folder
 from .oracles import ORACLES  # noqa: F401
+from .research import RULES, Research
 
 P = ResearchPolicy()
 AS_OF = "2001-12-31"
@@ -37,36 +38,16 @@ def query(digits: int = 8) -> Callable[[Query], Query]:
     return add
 
 
-class Research:
-    """The frames most queries begin with."""
+def _run(spark: SparkSession, sf_dir: str, rules: list[str] = SIMPLE) -> Research:
+    """The flow over the one panel by ship flag."""
+    panel = fixtures.panel(spark, sf_dir)
+    return Research(panel, fixtures.benchmark(panel), fixtures.current(panel), AS_OF, rules, P, ["SHIPFLAG"])
 
-    def __init__(self, spark: SparkSession, sf_dir: str, rules: list[str] = SIMPLE):
-        self.panel = materialize(fixtures.panel(spark, sf_dir), "panel")
-        gates.require(gates.panel_gate(self.panel, AS_OF, P.min_train, ["SHIPFLAG"]))
-        self.bench, self.current = fixtures.benchmark(self.panel), fixtures.current(self.panel)
-        self.cov = materialize(risk.train_covariance(self.panel, P), "cov")
-        self.rules = rules
 
-    def train(self) -> DataFrame:
-        return splits.walk_forward_rows(self.panel, "train", P)
-
-    def test(self) -> DataFrame:
-        return splits.walk_forward_rows(self.panel, "test", P)
-
-    def allocations(self) -> DataFrame:
-        out = None
-        for r in self.rules:
-            one = allocate.build(r, self.cov, None)
-            out = one if out is None else out.unionByName(one)
-        return out
-
-    def held(self) -> DataFrame:
-        return materialize(backtest.constrained(self.allocations(), self.bench, self.current, self.cov, P), "held")
-
-    def evaluated(self) -> DataFrame:
-        held, test = self.held(), self.test()
-        diff = backtest.differential(backtest.portfolio_returns(held, test), backtest.portfolio_returns_folded(held, test), P.tolerance)
-        return backtest.evaluation(held, test, P).join(diff.select(*backtest.RULE, F.col("status").alias("differential_status"), F.col("worst").alias("differential_max_abs")), backtest.RULE)
+def _runs(spark: SparkSession, sf_dir: str, rules: list[str] = SIMPLE) -> Research:
+    """The flow over the panels by supplier, of which two fail their gate."""
+    panels = materialize(fixtures.panels(spark, sf_dir), "panels")
+    return Research(panels, fixtures.equal_weights(panels), fixtures.ranked_weights(panels), AS_OF, rules, P, close=False)
 
 
 # --- sources, gates, splits -----------------------------------------------------------------------------------------
@@ -159,27 +140,27 @@ def split_disjoint(spark, d):
 
 @query(10)
 def asset_vol(spark, d):
-    return risk.volatility(Research(spark, d).cov).select("split_id", "asset", "n", "vol")
+    return risk.volatility(_run(spark, d).cov).select("split_id", "asset", "n", "vol")
 
 
 @query(10)
 def pair_cov(spark, d):
-    return Research(spark, d).cov.select("split_id", "a", "b", "n", "cov")
+    return _run(spark, d).cov.select("split_id", "a", "b", "n", "cov")
 
 
 @query()
 def pair_corr(spark, d):
-    return risk.correlation(Research(spark, d).cov).select("split_id", "a", "b", "corr")
+    return risk.correlation(_run(spark, d).cov).select("split_id", "a", "b", "corr")
 
 
 @query(6)
 def pair_dist(spark, d):
-    return risk.correlation(Research(spark, d).cov).select("split_id", "a", "b", "dist")
+    return risk.correlation(_run(spark, d).cov).select("split_id", "a", "b", "dist")
 
 
 @query()
 def cvar(spark, d):
-    return risk.tail_mean(Research(spark, d).test(), ["split_id", "asset"], -F.col("ret"), "cvar95")
+    return risk.tail_mean(_run(spark, d).test(), ["split_id", "asset"], -F.col("ret"), "cvar95")
 
 
 @query()
@@ -190,7 +171,7 @@ def drawdown_path(spark, d):
 
 @query()
 def cdar(spark, d):
-    path = risk.drawdown_path(Research(spark, d).test(), ["split_id", "asset"])
+    path = risk.drawdown_path(_run(spark, d).test(), ["split_id", "asset"])
     return risk.tail_mean(path, ["split_id", "asset"], -F.col("drawdown"), "cdar95")
 
 
@@ -199,20 +180,20 @@ METRICS = ["total_return", "cagr", "vol", "max_drawdown", "cvar", "cdar", "turno
 
 @query(6)
 def perf_metrics(spark, d):
-    r = Research(spark, d, ["equal_weight"])
+    r = _run(spark, d, ["equal_weight"])
     return backtest.evaluation(r.held(), r.test(), P).select("split_id", *METRICS)
 
 
 @query()
 def tracking_error(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     delta = r.allocations().join(r.bench.withColumnRenamed("weight", "bench"), ["panel_id", "asset"]).withColumn("d", F.col("weight") - F.col("bench"))
     return risk.tracking_error(delta, r.cov, backtest.RULE).select("split_id", "challenger", "te")
 
 
 @query()
 def turnover(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     target = r.allocations().filter("asset <> 'RO'")
     keys = target.select(*backtest.RULE).distinct()
     previous = r.current.join(keys, "panel_id").filter("asset <> 'AF'")
@@ -221,35 +202,35 @@ def turnover(spark, d):
 
 @query(6)
 def challenge_matrix(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     return backtest.challenge_matrix(r.evaluated(), [*SIMPLE, "min_cdar"], r.panel).drop("panel_id")
 
 
 @query(6)
 def challenge_stability(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     matrix = backtest.challenge_matrix(r.evaluated(), [*SIMPLE, "min_cdar"], r.panel)
-    return backtest.with_stability(matrix, backtest.stability(r.allocations(), P)).select("panel_id", "challenger", "n_splits", "median_cagr", "status", "median_l1", "max_l1", "share_stable", "region")
+    return backtest.with_stability(matrix, backtest.stability(r.held(), P)).select("panel_id", "challenger", "n_splits", "median_cagr", "status", "median_l1", "max_l1", "share_stable", "region")
 
 
 @query()
 def stability(spark, d):
-    return backtest.stability(Research(spark, d).allocations(), P).drop("panel_id")
+    return backtest.stability(_run(spark, d).held(), P).drop("panel_id")
 
 
 @query(10)
 def lw_shrinkage(spark, d):
-    return risk.shrinkage(Research(spark, d).train()).select("split_id", "n", "p", "mu", "shrinkage")
+    return risk.shrinkage(_run(spark, d).train()).select("split_id", "n", "p", "mu", "shrinkage")
 
 
 @query(10)
 def shrunk_mean(spark, d):
-    return risk.shrunk_mean(Research(spark, d).train()).select("split_id", "asset", "m")
+    return risk.shrunk_mean(_run(spark, d).train()).select("split_id", "asset", "m")
 
 
 @query()
 def cvar_contribution(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     weights = r.allocations().filter("challenger = 'inverse_volatility'").select(*SPLIT, "asset", "weight")
     return risk.tail_contribution(r.train(), weights).select("split_id", "asset", "contribution")
 
@@ -259,29 +240,29 @@ def cvar_contribution(spark, d):
 
 @query()
 def alloc_equal(spark, d):
-    return allocate.build("equal_weight", Research(spark, d).cov, None).select("split_id", "asset", "weight", "status")
+    return allocate.build("equal_weight", _run(spark, d).cov, None).select("split_id", "asset", "weight", "status")
 
 
 @query()
 def alloc_invvol(spark, d):
-    return allocate.build("inverse_volatility", Research(spark, d).cov, None).select("split_id", "asset", "weight", "status", "message")
+    return allocate.build("inverse_volatility", _run(spark, d).cov, None).select("split_id", "asset", "weight", "status", "message")
 
 
 @query()
 def alloc_hrp(spark, d):
-    return allocate.build("hierarchical_risk_parity", Research(spark, d).cov, None).select("split_id", "asset", "weight", "status")
+    return allocate.build("hierarchical_risk_parity", _run(spark, d).cov, None).select("split_id", "asset", "weight", "status")
 
 
 @query(12)
 def cluster_variance(spark, d):
-    cov = Research(spark, d).cov
+    cov = _run(spark, d).cov
     clusters = cov.filter("a = b").select(*SPLIT, F.col("a").alias("asset"), F.substring("a", 1, 1).alias("cluster"))
     return allocate.cluster_variance(cov, clusters, [*SPLIT, "cluster"]).select("split_id", "cluster", "variance")
 
 
 def _searched(name: str):
     def run(spark, d):
-        r = Research(spark, d)
+        r = _run(spark, d)
         return allocate.build(name, r.cov, r.train()).select("split_id", "asset", "weight", "status")
 
     run.__name__ = {"risk_budget_cvar": "alloc_rb_cvar", "min_cdar": "alloc_min_cdar", "shrunk_mean_risk": "alloc_mean_risk"}[name]
@@ -295,7 +276,7 @@ for _name in ("risk_budget_cvar", "min_cdar", "shrunk_mean_risk"):
 @query()
 def candidate_scores(spark, d):
     """Every transfer of an eighth from equal weights, scored by CDaR on the test windows."""
-    rows = Research(spark, d).test()
+    rows = _run(spark, d).test()
     wide = allocate._wide(rows)
     start = rows.select(*SPLIT).distinct().withColumn("w", F.array(*[F.lit(1 / 6)] * 6)).withColumn("h", F.lit(0.125))
     return allocate.score_cdar(allocate.candidates(start), wide).select("split_id", "i", "j", "score")
@@ -303,7 +284,7 @@ def candidate_scores(spark, d):
 
 @query()
 def normalize_weights(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     raw = r.cov.filter("a = b").select(*SPLIT, F.col("a").alias("asset"), F.when(F.col("split_no") % 5 == 1, 0.0).when((F.col("split_no") % 5 == 2) & (F.col("a") == "AF"), -0.1).when((F.col("split_no") % 5 == 3) & (F.col("a") == "AO"), None).otherwise(F.col("n") * F.length("a") + F.ascii("a")).cast("double").alias("weight"))
     return gates.normalize_long_only(raw, SPLIT).select("split_id", "asset", "weight", "status")
 
@@ -320,96 +301,162 @@ def drift_weights(spark, d):
 
 @query()
 def cap_te(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     return backtest.cap_tracking_error(r.allocations(), r.bench, r.cov, P.te_cap).select("split_id", "challenger", "asset", "weight", "te_before", "te_after", "te_binding")
 
 
 @query()
 def cap_turnover(spark, d):
-    return Research(spark, d).held().select("split_id", "challenger", "asset", "weight", "turnover_requested", "turnover", "turnover_binding")
+    return _run(spark, d).held().select("split_id", "challenger", "asset", "weight", "turnover_requested", "turnover", "turnover_binding")
 
 
 @query()
 def constraint_diag(spark, d):
-    return backtest.constraint_diagnostics(Research(spark, d).held()).drop("panel_id", "split_no")
+    return backtest.constraint_diagnostics(_run(spark, d).held()).drop("panel_id", "split_no", "te_after", "te_binding", "turnover_binding")
 
 
 @query()
 def portfolio_return(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     return backtest.portfolio_returns(r.held(), r.test()).select("split_id", "challenger", "dt", "ret")
 
 
 @query()
 def differential(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     held, test = r.held(), r.test()
     return backtest.differential(backtest.portfolio_returns(held, test), backtest.portfolio_returns_folded(held, test), P.tolerance).select("split_id", "challenger", "days", "status")
 
 
 @query(6)
 def walk_forward(spark, d):
-    return Research(spark, d).evaluated().select("split_id", "challenger", *METRICS, "te_before", "te_after", "te_binding", "turnover_binding", "differential_status")
+    return _run(spark, d).evaluated().select("split_id", "challenger", *METRICS, "te_before", "te_after", "te_binding", "turnover_binding", "differential_status")
 
 
 @query(6)
 def walk_forward_report(spark, d):
-    r = Research(spark, d)
-    return backtest.report(r.evaluated(), backtest.execution(r.panel, P), r.test(), r.allocations()).select("panel_id", "split_id", "challenger", "status", "signal_time", "execution_time", "test_end", "total_return", "turnover", "differential_status")
+    r = _run(spark, d)
+    return backtest.report(r.evaluated(), r.execution(), r.test(), r.allocations()).select("panel_id", "split_id", "challenger", "status", "signal_time", "execution_time", "test_end", "total_return", "turnover", "differential_status")
 
 
 @query(6)
 def cpcv(spark, d):
-    r = Research(spark, d)
-    rows = materialize(splits.purged(r.panel, P), "purged")
-    cov = materialize(risk.covariance(rows.filter("role = 'train'")), "cov")
-    out = None
-    for name in SIMPLE:
-        one = allocate.build(name, cov, None)
-        out = one if out is None else out.unionByName(one)
-    held = materialize(backtest.constrained(out, r.bench, r.current, cov, P), "held")
-    return backtest.evaluation(held, rows.filter("role = 'test'"), P).select("split_id", "challenger", *METRICS, "te_before")
+    return _run(spark, d).cpcv().select("split_id", "challenger", *METRICS, "te_before")
 
 
 @query()
 def filter_trace(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     return backtest.filter_trace(r.allocations(), r.panel).select("split_id", "challenger", "reason", "threshold", "observed", "evidence_gap")
 
 
 @query()
 def rejected_candidates(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     return backtest.rejected(backtest.filter_trace(r.allocations(), r.panel), [*SIMPLE, "min_cdar"], r.panel).drop("panel_id")
 
 
 @query(6)
 def shadow_replay(spark, d):
-    r = Research(spark, d)
-    return backtest.replay(r.evaluated(), backtest.execution(r.panel, P), r.panel).drop("panel_id", "snapshot_hash")
+    r = _run(spark, d)
+    return backtest.replay(r.evaluated(), r.execution(), r.panel, r.test()).drop("panel_id", "snapshot_hash")
 
 
 @query(10)
 def attribution(spark, d):
-    r = Research(spark, d)
+    r = _run(spark, d)
     return backtest.attribution(r.held(), r.test(), P).select("split_id", "challenger", "dt", "component", "value", "classification", "net", "identity_status")
 
 
 @query()
 def latest_targets(spark, d):
-    return backtest.latest_targets(Research(spark, d).held()).drop("panel_id")
+    return backtest.latest_targets(_run(spark, d).held()).drop("panel_id")
 
 
 @query()
 def decision_snapshot(spark, d):
-    r = Research(spark, d)
-    return backtest.snapshot(r.panel, backtest.latest_targets(r.held()), r.bench, r.current)
+    r = _run(spark, d)
+    return backtest.snapshot(r.panel, backtest.latest_targets(r.held()), r.bench, r.current, r.execution(), P)
 
 
 @query()
 def output_manifest(spark, d):
-    r = Research(spark, d)
-    return evidence.manifest({"panel": r.panel, "allocations": r.allocations(), "splits": splits.walk_forward(r.panel, P)})
+    """What was written, as observed by the write."""
+    r = _run(spark, d)
+    return evidence.written({"panel": r.panel, "allocations": r.allocations(), "splits": splits.walk_forward(r.panel, P)}, scratch_folder(spark, "run"))
+
+
+# --- many panels, and all six rules ---------------------------------------------------------------------------------
+
+
+@query()
+def panels_gate(spark, d):
+    return _runs(spark, d).gate
+
+
+@query(6)
+def panels_matrix(spark, d):
+    return _runs(spark, d).matrix().select("panel_id", "challenger", "n_splits", "status", "median_cagr", "worst_drawdown", "max_turnover", "all_pass", "median_l1", "share_stable", "region")
+
+
+@query(6)
+def panels_report(spark, d):
+    return _runs(spark, d).report().select("panel_id", "split_id", "challenger", "status", "signal_time", "execution_time", "test_end", "total_return", "cdar", "turnover")
+
+
+@query()
+def panels_trace(spark, d):
+    return _runs(spark, d).trace().select("panel_id", "split_id", "challenger", "stage", "reason", "observed")
+
+
+@query()
+def panels_rejected(spark, d):
+    return _runs(spark, d).rejected()
+
+
+@query()
+def panels_targets(spark, d):
+    return backtest.latest_targets(_runs(spark, d).held())
+
+
+@query(6)
+def panels_cpcv(spark, d):
+    return _runs(spark, d).cpcv().select("panel_id", "split_id", "challenger", "status", "total_return", "turnover", "te_before")
+
+
+@query()
+def panels_next_tradable(spark, d):
+    """Order times of the day, by a seventh of the customers, and the next opening (09:30) of the panel of that number."""
+    days = fixtures.panels(spark, d).select("panel_id", "dt").distinct()
+    opens = days.select("panel_id", (F.col("dt").cast("timestamp") + F.make_dt_interval(hours=F.lit(9), mins=F.lit(30))).alias("dt"))
+    asked = files.table(spark, d, "orders").select(F.concat(F.lit("S"), (F.col("o_custkey") % 7).cast("string")).alias("panel_id"), (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))).alias("dt")).distinct()
+    return gates.next_tradable(asked, opens, ["panel_id"])
+
+
+@query(6)
+def price_quantile(spark, d):
+    """The exact 95 % quantile of all prices by return flag, selected without holding a flag's prices."""
+    return risk.selected_quantile(files.table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"))
+
+
+@query(6)
+def six_matrix(spark, d):
+    return _run(spark, d, RULES).matrix().drop("panel_id")
+
+
+@query(6)
+def six_report(spark, d):
+    return _run(spark, d, RULES).report().select("split_id", "challenger", "status", "signal_time", "execution_time", "test_end", *METRICS, "te_before", "differential_status")
+
+
+@query(6)
+def six_cpcv(spark, d):
+    return _run(spark, d, RULES).cpcv().select("split_id", "challenger", "status", *METRICS)
+
+
+@query()
+def six_trace(spark, d):
+    return _run(spark, d, RULES).trace().select("split_id", "challenger", "rule_id", "reason", "method", "evidence_gap")
 
 
 # --- quotes ---------------------------------------------------------------------------------------------------------
@@ -487,6 +534,14 @@ def implied_vol(spark, d):
     return _validated(spark, d).filter("model = 'BLACK_SCHOLES'").select("row_id", F.col("iv.bid").alias("iv_bid"), F.col("iv.mid").alias("iv_mid"), F.col("iv.ask").alias("iv_ask"))
 
 
+@query(6)
+def iv_repriced(spark, d):
+    """Prices at the volatilities found for bid, mid and ask."""
+    q = _validated(spark, d).filter("model = 'BLACK_SCHOLES' and iv.ask is not null")
+    price = lambda v: pricing.black_scholes(F.col("option_type") == "CALL", *[F.col(c) for c in ("underlying_price", "strike", "maturity", "risk_free_rate", "dividend_yield")], F.col(f"iv.{v}"))
+    return q.select("row_id", *[price(v).alias(f"at_{v}") for v in ("bid", "mid", "ask")])
+
+
 @query(6)
 def iv_band(spark, d):
     return _validated(spark, d).filter("model = 'BLACK_SCHOLES'").select("row_id", "theoretical", "model_residual", _only("errors", ["IV_BAND_NON_MONOTONIC"]).alias("errors"), _only("warnings", ["IMPLIED_VOL_NO_ROOT", "MODEL_RESIDUAL_HIGH"]).alias("warnings"))
@@ -520,7 +575,7 @@ def parity(spark, d):
 @query(6)
 def covered_call_cf(spark, d):
     _, anchors, _ = files.states_and_anchors(fixtures.policies(spark, d))
-    return quotes.covered_calls(_validated(spark, d), anchors.withColumnRenamed("state_id", "underlying"), FEES)
+    return quotes.covered_calls(_validated(spark, d), anchors.withColumnRenamed("state_id", "underlying"), FEES).drop("expiry")
 
 
 @query()

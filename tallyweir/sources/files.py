@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..schemas import QUOTE_FIELDS
+from .numbering import numbered
 
 CHAIN = T.StructType([T.StructField(c, T.StringType()) for c in QUOTE_FIELDS])
 ANCHOR = "struct<price: double, reference_units: int>"
@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def wide_to_panel(wide: DataFrame, panel_id: str, assets: list[str]) -> DataFrame:
     """A date column `date` and one column per asset become panel rows; obs_no counts the distinct dates."""
     long = wide.withColumn("dt", F.col("date").cast("date")).unpivot(["dt"], assets, "asset", "ret").withColumn("ret", F.col("ret").cast("double"))
-    dates = long.select("dt").distinct().withColumn("obs_no", (F.row_number().over(Window.orderBy("dt")) - 1).cast("long"))  # one row a date
+    dates = numbered(long.select("dt").distinct(), F.col("dt"), name="obs_no")
     return long.join(dates, "dt").select(F.lit(panel_id).alias("panel_id"), "obs_no", "dt", "asset", "ret")
 
 
@@ -33,14 +33,29 @@ def read_panel(spark: SparkSession, path: str, panel_id: str) -> DataFrame:
     return wide_to_panel(head, panel_id, [c for c in head.columns if c != "date"])
 
 
+def read_weights(spark: SparkSession, path: str, panel_id: str | None = None) -> DataFrame:
+    """A weight CSV with `asset` and `weight`: asset, weight and row_id, the place in the file, as align_weights() takes them (the last of repeated assets counts)."""
+    have = spark.read.option("header", True).csv(path).columns
+    if not {"asset", "weight"} <= set(have):
+        raise ValueError("WEIGHT_FILE_REQUIRES_ASSET_WEIGHT")
+    rows = _in_order(spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in have])).option("header", True).csv(path))
+    out = rows.select("asset", F.col("weight").cast("double").alias("weight"), "row_id")
+    return out if panel_id is None else out.withColumn("panel_id", F.lit(panel_id))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows with row_id, the ordinal over all files by name and place in the file: counts per file and place first, then offsets."""
+    at = rows.withColumns({"__tw_file": F.col("_metadata.file_path"), "__tw_start": F.col("_metadata.file_block_start"), "__tw_row": F.monotonically_increasing_id()})
+    return numbered(at, F.col("__tw_file"), F.col("__tw_start"), F.col("__tw_row"), name="row_id").drop("__tw_file", "__tw_start", "__tw_row")
+
+
 def read_chain(spark: SparkSession, path: str) -> DataFrame:
-    """A chain CSV, all strings, with row_id; a missing column is an error before anything is read."""
+    """A chain CSV, all strings, with row_id, the ordinal over all files; a missing column (vendor_iv too) is an error before anything is read."""
     have = spark.read.option("header", True).csv(path).columns
-    missing = sorted(set(QUOTE_FIELDS) - {"vendor_iv"} - set(have))
+    missing = sorted(set(QUOTE_FIELDS) - set(have))
     if missing:
         raise ValueError("MISSING_COLUMNS:" + ",".join(missing))
-    types = T.StructType([T.StructField(c, T.StringType()) for c in have])
-    return spark.read.schema(types).option("header", True).csv(path).withColumn("row_id", F.monotonically_increasing_id())
+    return _in_order(spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in have])).option("header", True).csv(path))
 
 
 def read_policies(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .files import POLICY, table
 
@@ -19,6 +20,17 @@ with d as (select distinct cast(l_shipdate as date) dt from {lineitem}),
 select 'SHIPFLAG' panel_id, dense_rank() over (order by g.dt)-1 obs_no, g.dt, g.asset, 0.02*(cast(g.cents as double)/m.mu-1.0) ret from g join m on g.asset=m.asset
 """
 
+PANELS = """
+with li as (select 'S'||cast(l_suppkey%7 as varchar(1)) panel_id, cast(l_suppkey%7 as int) r, cast(l_shipdate as date) dt, 'L'||cast(least(cast(l_linenumber as int), 5) as varchar(1)) asset, l_extendedprice price from {lineitem}
+       where cast(l_shipdate as date) <= case when l_suppkey%7=0 then date '1995-10-31' else date '1996-06-30'+cast(90*(l_suppkey%7) as int) end),
+     v as (select panel_id, r, dt, asset, sum(cast(round(price*100) as bigint)) cents from li group by panel_id, r, dt, asset),
+     d as (select panel_id, r, dt, dense_rank() over (partition by panel_id order by dt)-1 obs_no from (select distinct panel_id, r, dt from v)),
+     k as (select distinct panel_id, asset from v),
+     g as (select d.panel_id, d.r, d.obs_no, d.dt, k.asset, coalesce(v.cents,0) cents from d join k on d.panel_id=k.panel_id left join v on v.panel_id=d.panel_id and v.dt=d.dt and v.asset=k.asset),
+     m as (select panel_id, asset, cast(sum(cents) as double)/count(*) mu from g group by panel_id, asset)
+select g.panel_id, cast(g.obs_no as bigint) obs_no, g.dt, g.asset, 0.02*(cast(g.cents as double)/m.mu-1.0) ret from g join m on g.panel_id=m.panel_id and g.asset=m.asset where not (g.r=1 and g.obs_no=3 and g.asset='L5')
+"""
+
 CHAIN = """
 with b as (select p_partkey k, p_brand underlying, p_type, p_size, 950.0 s,
   cast(900+(p_partkey%11)*10 as double) strike, 'CALL' option_type from {part}
@@ -41,6 +53,22 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PANEL, lineitem=table(spark, sf_dir, "lineitem")).withColumn("obs_no", F.col("obs_no").cast("long"))
 
 
+def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel per seventh of the suppliers with a calendar of its own: the first is too short, the second lacks a cell, the others pass."""
+    return spark.sql(PANELS, lineitem=table(spark, sf_dir, "lineitem"))
+
+
+def equal_weights(panel_: DataFrame) -> DataFrame:
+    own = panel_.select("panel_id", "asset").distinct()
+    return own.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("panel_id")))
+
+
+def ranked_weights(panel_: DataFrame) -> DataFrame:
+    """Weights that fall evenly by asset and sum to one."""
+    own, n = Window.partitionBy("panel_id"), F.count("*").over(Window.partitionBy("panel_id"))
+    return panel_.select("panel_id", "asset").distinct().withColumn("weight", (n + 1 - F.row_number().over(own.orderBy("asset"))) / (n * (n + 1) / 2))
+
+
 def benchmark(panel_: DataFrame) -> DataFrame:
     return panel_.select("panel_id", "asset").distinct().withColumn("weight", F.lit(1 / 6))
 

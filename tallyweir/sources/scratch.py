@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below spark.checkpoint.dir and reads it back. Where that is unset, a local master gets a temporary folder and any other is refused."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir that goes when Spark ends. Where that is unset, a local master gets a temporary folder and any other is refused."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -20,5 +19,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to a scratch folder and reads it back."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

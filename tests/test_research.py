@@ -31,7 +31,7 @@ def test_next_tradable_is_strictly_later(spark):
 
 @pytest.mark.parametrize(("change", "as_of", "status"), [
     (lambda p: p, "2030-01-01", "PASS"), (lambda p: p, "2024-06-01", "AS_OF_VIOLATION"), (lambda p: p.filter("asset = 'A'"), "2030-01-01", "RETURN_PANEL_EMPTY_OR_TOO_NARROW"),
-    (lambda p: p.filter("obs_no < 9"), "2030-01-01", "INSUFFICIENT_HISTORY:9<252"), (lambda p: p.filter("not (obs_no = 3 and asset = 'B')"), "2030-01-01", "NON_FINITE_RETURN"),
+    (lambda p: p.filter("obs_no < 9"), "2030-01-01", "INSUFFICIENT_HISTORY:9<315"), (lambda p: p.filter("not (obs_no = 3 and asset = 'B')"), "2030-01-01", "NON_FINITE_RETURN"),
     (lambda p: p.withColumn("ret", F.when(F.col("obs_no") == 4, float("nan")).otherwise(F.col("ret"))), "2030-01-01", "NON_FINITE_RETURN"),
     (lambda p: p.withColumn("ret", F.when(F.col("obs_no") == 4, 1.0).otherwise(F.col("ret"))), "2030-01-01", "IMPLAUSIBLE_DAILY_RETURN"),
     (lambda p: p.unionByName(p.filter("obs_no = 1")), "2030-01-01", "DUPLICATE_ASSET_COLUMNS")])
@@ -83,7 +83,7 @@ def test_panels_stay_apart(spark, panel):
     evaluated = backtest.evaluation(held, rows, ResearchPolicy()).withColumn("differential_status", F.lit("PASS")).cache()
     told = {(r.panel_id, r.split_id): r for r in backtest.report(evaluated, when, rows, allocations).collect()}
     assert len(told) == 4 and told["Q", "WF000"].total_return is None and told["P", "WF000"].execution_time == DAYS[252] and told["P", "WF000"].test_end == DAYS[314]
-    matrix = backtest.with_stability(backtest.challenge_matrix(evaluated, ["inverse_volatility"], both), backtest.stability(allocations))
+    matrix = backtest.with_stability(backtest.challenge_matrix(evaluated, ["inverse_volatility"], both), backtest.stability(held))
     assert {r.panel_id: (r.n_splits, r.status, r.region) for r in matrix.collect()} == {"P": (2, "OK", "STABLE_REGION"), "Q": (0, "NOT_EVALUABLE", "NOT_EVALUABLE")}
     assert {r.panel_id for r in backtest.replay(evaluated, when, both).collect()} == {"P"}
 
