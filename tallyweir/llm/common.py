@@ -87,6 +87,11 @@ def scratch_made(into: list[str]) -> Iterator[None]:
         del _scratch[mark:]
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever dots or ticks it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_of(column: str = "text") -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -143,9 +148,10 @@ def one_row_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     Only rows that repeat the pair are shuffled; of rows that differ elsewhere the one of the least hash stays.
     """
+    row = F.struct(*[quoted(c) for c in docs.columns])
     counted = materialize(rows.groupBy("doc_id", "th").count(), "row_counts")
     alone, repeated = keep_rows(docs, counted.filter("count = 1")), keep_rows(docs, counted.filter("count > 1"))
-    picked = repeated.groupBy(F.col("doc_id").cast("long").alias("__tw_id"), text_key().alias("__tw_th")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("x"))
+    picked = repeated.groupBy(F.col("doc_id").cast("long").alias("__tw_id"), text_key().alias("__tw_th")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("x"))
     return alone.unionByName(picked.select("x.*"))
 
 

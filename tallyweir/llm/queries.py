@@ -37,7 +37,7 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, usable=~langid.held_out())
-    return langid.predict(docs.withColumn("held_out", langid.held_out()), model, "doc_id", "held_out").drop("accepted")
+    return langid.predict(docs.withColumn("held_out", langid.held_out()), model, "doc_id", "held_out")
 
 
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
