@@ -17,16 +17,25 @@ from tallyweir.llm import chosenpath, common, decontam, langid, mixing, tokens
 from tallyweir.llm.queries import TOKENIZER
 
 _last_stage: list[str] = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _stage(f: Callable) -> Callable:
-    """Scratch tables of a stage go once the next one starts: a caller writes each stage's result before that, as run() does."""
+    """Scratch tables of a stage go once the next one starts: a caller writes each stage's result before that, as run() does.
+
+    Columns besides those of documents travel as one struct, so their names and types meet nothing that a stage makes.
+    """
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.delete(spark, _last_stage)
+        others = [c for c in docs.columns if c not in COLUMNS]
+        packed = docs.select(*[c for c in docs.columns if c in COLUMNS], F.struct(*[common.quoted(c) for c in others]).alias("__tw_extra")) if others else docs
         with common.scratch_made(_last_stage):
-            return f(spark, docs, sf_dir)
+            out = f(spark, packed, sf_dir)
+        if "__tw_extra" not in out.columns:
+            return out
+        return out.select(*[F.col("__tw_extra")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
 
     return run_stage
 
