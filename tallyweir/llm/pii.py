@@ -7,6 +7,12 @@ a full name are entities apart from the title, so 'Mrs. Anna Klug', 'Ms. Anna Kl
 name; a credential is the same entity alone and behind 'token='. A mention is
 written in its own format from its entity's surrogate, so spellings of one entity stay spellings of one
 surrogate. Surrogates that meet each other, or that are entities of the corpus themselves, are drawn again.
+
+A person is one or more titles before a whole name: given names and initials, particles, and a family name last, each with
+hyphens and apostrophes. A name found so is followed through its document: its full name and its family name are replaced
+where no title stands before them, too. Behind academic titles alone the gender is what the same name has behind other titles of
+the corpus, if these agree; else the given name comes from a pool of names of any gender. Latin, Cyrillic and Greek names keep their script, names in other
+cased scripts become Latin ones. Names in capitals only, and names that no title of the document introduces, are not found.
 """
 
 from __future__ import annotations
@@ -33,10 +39,19 @@ def _iban() -> str:
     return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(f'{x}(?![A-Za-z0-9])' for x in known + other)})"
 
 
+# Titles by gender (u: academic ones, which tell none), and particles between the parts of a name.
+TITLES = {"f": "Mrs|Ms|Miss|Frau|Fräulein|Madame|Mademoiselle|Mme|Mlle|Señorita|Señora|Srta|Sra|Signora|г-жа|госпожа|Госпожа|Κυρία|κυρία|Κα|κα",
+          "m": "Mr|Herr|Monsieur|Señor|Sr|Signor|г-н|господин|Господин|Κύριος|κύριος|Κος|κος", "u": "Professorin|Professor|Prof|Doctor|Dra|Dr|Mx|проф|д-р"}
+PARTICLES = "von|van|vom|zu|zur|de|der|den|del|della|di|da|du|la|le|bin|ibn|al"
+_TITLE = rf"(?:(?:{'|'.join(TITLES.values())})\.? )"
+_NAME = r"(?:\p{Lu}['’])?(?:\p{Lu}\p{Ll}+)+(?:['’-](?:\p{Lu}['’])?(?:\p{Lu}\p{Ll}+)+)*"
+#: A whole name of up to four parts, particles counted; and any run of names, initials and particles, in which followed names are looked for.
+FULL_NAME = rf"(?:(?:{_NAME}|\p{{Lu}}\.|{PARTICLES}) ){{0,3}}{_NAME}"
+NAMES = rf"(?<!\p{{L}})(?:{_NAME}|\p{{Lu}}\.)(?: (?:{_NAME}|\p{{Lu}}\.|(?:{PARTICLES})(?!\p{{L}})))*(?!\p{{L}})"
 # Kinds of entities and their patterns, the first that fits decides.
 KINDS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9_+])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "cloud_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "repo_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,}",
     "secret": r"(?i:(?<![A-Za-z])(?:password|passwd|api[_-]?key|secret|access[_-]?token|token)\s?[:=]\s?['\x22]?(?=[_+/.-]*[A-Za-z0-9])[A-Za-z0-9_+/.-]{6,}['\x22]?)",
@@ -45,23 +60,29 @@ KINDS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9])1[3-9][0-9]{9}(?![0-9])",
-    "person": r"(?<!\p{L})(?:Mrs|Mr|Ms|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|г-н|г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\p{L})",
+    "person": rf"(?<!\p{{L}})(?=[DFHMPSгГпдКκ]){_TITLE}+{FULL_NAME}(?!\p{{L}})",
 }
-FEMALE = "Mrs|Ms|Frau|Madame|Mme|Señora|Sra|г-жа"
 # Given names by gender and script, and the syllables of family names.
 GIVEN = {
     ("f", "latin"): ["Anna", "Clara", "Elena", "Ines", "Julia", "Laura", "Maria", "Nora", "Olivia", "Sofia"],
     ("m", "latin"): ["Adrian", "Bruno", "David", "Felix", "Hugo", "Jonas", "Lukas", "Martin", "Oscar", "Simon"],
     ("f", "cyrillic"): ["Анна", "Вера", "Ирина", "Ольга"],
     ("m", "cyrillic"): ["Иван", "Олег", "Павел", "Юрий"],
+    ("f", "greek"): ["Άννα", "Ελένη", "Μαρία", "Σοφία"],
+    ("m", "greek"): ["Γιάννης", "Κώστας", "Νίκος", "Πέτρος"],
+    ("u", "latin"): ["Alex", "Chris", "Dominique", "Kim", "Noel", "Robin", "Sascha", "Sidney"],
+    ("u", "cyrillic"): ["Валя", "Женя", "Саша", "Шура"],
+    ("u", "greek"): ["Άλεξ", "Κρις", "Ντένις", "Σάσα"],
 }
 SYLLABLES = {"latin": ["ba", "del", "fin", "gor", "hal", "ker", "lam", "mon", "nor", "pel", "ras", "sen", "tor", "vik", "wen", "zal"],
-             "cyrillic": ["ба", "дел", "гор", "кер", "лам", "мон", "нор", "тор"]}
+             "cyrillic": ["ба", "дел", "гор", "кер", "лам", "мон", "нор", "тор"], "greek": ["βα", "γορ", "δελ", "κερ", "λαμ", "μον", "νορ", "τορ"]}
 _CARD_GROUP = 1
 #: Draws a colliding surrogate may need. Names have a syllable more in every draw, and short kinds grow after ROOMY draws, so
 #: the loop ends for any number of entities.
 ATTEMPTS = 50
 ROOMY = 4
+#: What sets entities apart in a text while it is cut up; a text that holds it is cut by two passes instead.
+MARK = "\x01\x02"
 #: Copies of the surrogate table a hot mention is spread over.
 SALTS = 16
 
@@ -81,11 +102,15 @@ def value_of(kind: Column, mention: Column) -> Column:
     return F.when(kind == "secret", F.regexp_replace(F.regexp_replace(mention, _BEFORE, ""), _AFTER, "")).otherwise(mention)
 
 
+def untitled(mention: Column) -> Column:
+    return F.regexp_replace(mention, rf"^{_TITLE}+", "")
+
+
 def normal(kind: Column, value: Column) -> Column:
-    """What the spellings of one entity share; of a person, what stands behind the title."""
+    """What the spellings of one entity share; of a person, what stands behind the titles."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", F.lower(value)).when(kind == "iban", F.regexp_replace(value, " ", ""))
-            .when(kind == "person", F.regexp_replace(value, r"^\S+ ", "")).otherwise(value))
+            .when(kind == "person", untitled(value)).otherwise(value))
 
 
 def _nibble(stream: Column, i: Column) -> Column:
@@ -112,21 +137,45 @@ def _luhn(digits: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
+def _valid_iban(country: Column, account: Column) -> Column:
+    """The IBAN with check digits that make it 1 modulo 97."""
+    rest = F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+
+
 def _name(kind: Column, norm: Column, stream: Column, attempt: Column) -> Column:
-    """A family name of syllables, or a given name of the pool, with a syllable more in every draw after the third."""
-    cyrillic, female = F.element_at(F.split(norm, " "), -1).rlike(r"\p{IsCyrillic}"), norm.startswith("f ")
+    """A family name of syllables, or given names of the pool, with a syllable more in every draw after the third.
+
+    Every part is made for itself: hyphens stay, an initial becomes an initial, particles and a leading O' stay.
+    """
+    words = F.split(norm, " ")
 
     def pick(options: list[str], at: Column) -> Column:
         return F.element_at(F.array(*[F.lit(x) for x in options]), _nibble(stream, at) % len(options) + 1)
 
-    def syllables(script: str, n: Column) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda k: F.when(k > 0, pick(SYLLABLES[script], k)).otherwise("")), "")
+    def syllables(script: str, n: Column, behind: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda k: F.when(k > 0, pick(SYLLABLES[script], k + behind)).otherwise("")), "")
+
+    def given(script: str) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            def of(at: Column) -> Column:
+                return F.when(norm.startswith("f "), pick(GIVEN["f", script], at)).when(norm.startswith("u "), pick(GIVEN["u", script], at)).otherwise(pick(GIVEN["m", script], at))
+
+            more = F.when(i == 0, syllables(script, F.greatest(attempt - 2, F.lit(0)), F.lit(0))).otherwise("")
+            return (F.when(w.rlike(r"^\p{Ll}"), w).when(w.endswith("."), F.concat(F.substring(of(i * 7), 1, 1), more, F.lit(".")))
+                    .otherwise(F.concat(F.array_join(F.transform(F.split(w, "-"), lambda _, j: of(i * 7 + j * 3)), "-"), more)))
+
+        return F.array_join(F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), one), " ")
+
+    def family(script: str) -> Column:
+        parts = F.transform(F.split(norm, "-"), lambda x, j: F.concat(F.regexp_extract(x, "^\\p{Lu}['’]", 0), F.initcap(syllables(script, attempt + 4, j * 9))))
+        return F.array_join(parts, "-")
 
     def name(script: str) -> Column:
-        given = F.when(female, pick(GIVEN["f", script], F.lit(0))).otherwise(pick(GIVEN["m", script], F.lit(0)))
-        return F.when(kind == "given", F.concat(given, syllables(script, F.greatest(attempt - 2, F.lit(0))))).otherwise(F.initcap(syllables(script, attempt + 4)))
+        return F.when(kind == "given", given(script)).otherwise(family(script))
 
-    return F.when(cyrillic, name("cyrillic")).otherwise(name("latin"))
+    last = F.element_at(words, -1)
+    return F.when(last.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(last.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
 
 
 def surrogate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
@@ -135,12 +184,13 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
     top = F.regexp_extract(norm, r"\.[A-Za-z]+$", 0)
     grown = F.greatest(attempt - ROOMY, F.lit(0))
     octet = [(_nibble(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)]
-    fixed = {"cloud_key": 4, "repo_token": 4, "iban": 2}
+    fixed = {"cloud_key": 4, "repo_token": 4}
     out = F.when(kind == "email", F.concat(F.substring(stream, F.lit(1), grown), _scrambled(F.substring(norm, F.lit(1), F.length(norm) - F.length(top)), stream), top))
     out = out.when(kind == "ip", F.concat_ws(".", *octet)).when(kind.isin("given", "family"), _name(kind, norm, stream, attempt))
     out = out.when(kind == "card", _luhn(F.concat(F.substring(norm, 1, 1), _scrambled(F.substring(norm, F.lit(2), F.length(norm)), stream))))
     out = out.when(kind == "phone", F.concat(F.when(norm.rlike("^[01]"), F.substring(norm, 1, 1)).otherwise(F.lit("")), _scrambled(F.when(norm.rlike("^[01]"), F.substring(norm, F.lit(2), F.length(norm))).otherwise(norm), stream), F.translate(F.substring(stream, F.lit(1), grown), "abcdef", "012345")))
     out = out.when(kind == "private_key", F.concat(F.lit("-----BEGIN PRIVATE KEY-----"), stream, F.lit("-----END PRIVATE KEY-----")))
+    out = out.when(kind == "iban", _valid_iban(F.substring(norm, 1, 2), _scrambled(F.substring(norm, F.lit(5), F.length(norm)), stream)))
     for k, n in fixed.items():
         out = out.when(kind == k, F.concat(F.substring(norm, 1, n), _scrambled(F.substring(norm, F.lit(n + 1), F.length(norm)), stream)))
     return out.otherwise(F.concat(_scrambled(norm, stream), F.when(kind == "secret", F.substring(stream, F.lit(1), grown)).otherwise("")))
@@ -157,16 +207,16 @@ def written(kind: Column, mention: Column, norm: Column, made: Column) -> Column
     spaced = F.array_join(F.zip_with(chars, tight, lambda c, n: F.when(c != " ", F.substring(made, n, F.lit(1))).otherwise(c)), "")
     return (F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", spaced)
             .when(kind == "email", F.when(mention == F.upper(mention), F.upper(made)).otherwise(made))
-            .when(kind == "person", F.concat(F.regexp_extract(mention, r"^\S+ ", 0), made)).otherwise(made))
+            .when(kind == "person", F.concat(F.regexp_extract(mention, rf"^{_TITLE}+", 0), made)).otherwise(made))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, norm, made: a surrogate for each distinct (kind, norm), no two alike within a kind and none an entity.
 
-    Kind given (gender, given name, family name) is told apart within its family name.
+    Kind given (gender, given names, family name) is told apart within its family name.
     """
     given, words = F.col("kind") == "given", F.split("norm", " ")
-    scope, itself = F.when(given, F.element_at(words, -1)).otherwise(""), F.when(given, F.get(words, F.lit(1))).otherwise(F.col("norm"))
+    scope, itself = F.when(given, F.element_at(words, -1)).otherwise(""), F.when(given, F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), " ")).otherwise(F.col("norm"))
     own = materialize(entities.select("kind", "norm").distinct().withColumns({"scope": scope, "itself": itself}), "pii_entities")
     todo, done = own.withColumn("attempt", F.lit(0)), []
     for _ in range(ATTEMPTS):
@@ -187,7 +237,10 @@ def replaced(mentions: DataFrame, key: str) -> DataFrame:
     typed = mentions.withColumn("kind", kind_of(F.col("mention"))).withColumn("value", value_of(F.col("kind"), F.col("mention")))
     typed = typed.withColumn("entity", F.when(F.col("kind") == "secret", kind_of(F.col("value"))).otherwise(F.col("kind"))).withColumn("norm", normal(F.col("entity"), F.col("value")))
     person = F.col("entity") == "person"
-    gender = F.when(F.col("mention").rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("m")
+    told = F.when(person, F.when(F.col("mention").rlike(rf"^{_TITLE}*?(?:{TITLES['f']})\.? "), "f").when(F.col("mention").rlike(rf"^{_TITLE}*?(?:{TITLES['m']})\.? "), "m"))
+    name = Window.partitionBy("entity", "norm")  # the titles of one name, the spellings of one entity
+    typed = typed.withColumn("told", told).withColumns({"least": F.min("told").over(name), "most": F.max("told").over(name)})
+    gender = F.coalesce("told", F.when(F.col("least") == F.col("most"), F.col("least")), F.lit("u"))
     typed = typed.withColumns({"main_kind": F.when(person, "family").otherwise(F.col("entity")), "main": F.when(person, F.element_at(F.split("norm", " "), -1)).otherwise(F.col("norm")),
                                "given": F.when(person & F.col("norm").contains(" "), F.concat_ws(" ", gender, "norm"))})
     typed = materialize(typed, "pii_mentions")
@@ -201,22 +254,56 @@ def replaced(mentions: DataFrame, key: str) -> DataFrame:
     return out.select("mention", "kind", F.when(F.col("kind") == "secret", around).otherwise(body).alias("new"))
 
 
+def parts_of(text: Column) -> Column:
+    """What stands between entities and the entities, in turn, by one pass of the pattern. Null text: null."""
+    marked = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK, -1)
+    twice = F.flatten(F.zip_with(F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda p, e: F.array(p, e)))
+    return F.when(F.contains(text, F.lit(MARK)), F.filter(twice, lambda x: x.isNotNull())).otherwise(marked)
+
+
+def _wide(name: Column) -> Column:
+    """Every part of a name with spaces of its own on both sides."""
+    return F.concat(F.lit(" "), F.replace(name, F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def names_to_follow(found: Column, m: Column) -> Column:
+    """old, new: the full names of a document's persons, the longest first, then their family names."""
+    people = F.filter(F.array_distinct(found), lambda e: F.element_at(m, e)["kind"] == "person")
+    full = F.transform(people, lambda e: F.struct((-F.length(untitled(e))).alias("at"), untitled(e).alias("old"), untitled(F.element_at(m, e)["new"]).alias("new")))
+    family = F.transform(full, lambda x: F.struct(F.lit(1).alias("at"), F.element_at(F.split(x["old"], " "), -1).alias("old"), F.element_at(F.split(x["new"], " "), -1).alias("new")))
+    whole = F.filter(full, lambda x: F.contains(x["old"], F.lit(" ")))
+    return F.transform(F.array_sort(F.array_distinct(F.concat(whole, family))), lambda x: F.struct(_wide(x["old"]).alias("old"), _wide(x["new"]).alias("new")))
+
+
+def followed(piece: Column, names: Column) -> Column:
+    """A text between entities with the names replaced that stand in it."""
+
+    def one(run: Column) -> Column:
+        done = F.aggregate(names, _wide(run), lambda x, n: F.replace(x, n["old"], n["new"]))
+        return F.replace(F.substring(done, F.lit(2), F.length(done) - 2), F.lit("  "), F.lit(" "))
+
+    runs = F.transform(F.regexp_extract_all(piece, F.lit(NAMES), F.lit(0)), one)
+    return F.array_join(F.flatten(F.zip_with(F.split(piece, NAMES, -1), runs, lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
+
+
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text, n_entities, kinds: every text with its entities replaced, a row per input row.
 
-    Null text stays null with no entity; texts without entities are unchanged. Repeated rows and null doc_ids are
-    treated like any other row. Equal entities receive equal surrogates across the corpus under one key.
+    n_entities counts what the pattern finds, not the names followed from there. Null text stays null with no entity; texts without
+    entities are unchanged. Repeated rows and null doc_ids are treated like any other row. Equal entities receive equal surrogates
+    across the corpus under one key.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    hit = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    clean = base.filter(~hit).select("doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
-    found = materialize(base.filter(hit).withColumn("th", text_key()).withColumn("found", F.regexp_extract_all("text", F.lit(ANY), 0)), "pii_found")
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), parts_of(F.col("text")).alias("parts"))
+    cut = materialize(cut, "pii_parts")
+    hit = F.coalesce(F.size("parts") > 1, F.lit(False))
+    clean = cut.filter(~hit).select("doc_id", F.get("parts", F.lit(0)).alias("text"), F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    found = cut.filter(hit).select("doc_id", "th", F.filter("parts", lambda x, i: i % 2 == 0).alias("pieces"), F.filter("parts", lambda x, i: i % 2 == 1).alias("found"))
     mentions = found.select(F.explode("found").alias("mention")).distinct()
     salted = materialize(replaced(mentions, key), "pii_table").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own = found.select("doc_id", "th", F.explode(F.array_distinct("found")).alias("mention"), F.pmod("th", F.lit(SALTS)).cast("int").alias("salt")).distinct()
     maps = own.join(salted, ["mention", "salt"]).groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("mention", F.struct("new", "kind")))).alias("m"))
-    joined = same(found, maps)
-    pieces = F.split("text", ANY, -1)
+    joined = same(found, maps).withColumn("names", names_to_follow(F.col("found"), F.col("m")))
+    pieces = F.when(F.size("names") > 0, F.transform("pieces", lambda p: followed(p, F.col("names")))).otherwise(F.col("pieces"))
     new = F.transform("found", lambda e: F.element_at("m", e)["new"])
     text = F.array_join(F.flatten(F.zip_with(pieces, new, lambda p, e: F.array(p, F.coalesce(e, F.lit(""))))), "")
     kinds = F.array_sort(F.array_distinct(F.transform("found", lambda e: F.element_at("m", e)["kind"])))

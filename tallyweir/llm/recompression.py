@@ -141,7 +141,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         owner = np.repeat(np.arange(len(group)), lengths)
         ok = np.arange(len(flat)) <= (ends - 1 - WIDTH)[owner]
         for i in np.flatnonzero(ok & ~has).tolist():  # the window names itself
-            anchor[i], place[i] = digest(b" ".join(flat[i : i + WIDTH])) & (1 << 64) - 1, -1 - i
+            anchor[i], place[i] = xxhash.xxh3_64_intdigest(b" ".join(flat[i : i + WIDTH]), 11), -1 - i  # a seed apart from that of context digests
         at, n = contexts(anchor, place, owner, ok, CONTEXT_WINDOWS)
         who = owner[at]
         context = np.array([digest(b" ".join(flat[a : a + c + WIDTH - 1])) for a, c in zip(at.tolist(), n.tolist(), strict=True)], np.int64)

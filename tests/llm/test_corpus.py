@@ -235,6 +235,7 @@ def test_ibans_of_every_length(spark):
     got = {r.doc_id: r for r in pii.pseudonymize(df, "k").collect()}
     for i, (a, b) in enumerate(zip(known, spaced, strict=True)):
         x, y = got[i].text.removeprefix("pay ").removesuffix(", THE END").split(" or ")
+        assert x[:2] == a[:2] and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
         assert got[i].n_entities == 2 and got[i].kinds == ["iban"] and x == y.replace(" ", "") != a and [len(w) for w in y.split()] == [len(w) for w in b.split()]
     assert got[99].text.endswith(" THE END")
 
@@ -276,6 +277,34 @@ def test_people_and_credentials_keep_their_surrogates(spark):
     assert {r.doc_id: r.n_entities for r in rows} == {0: 2, 1: 5, 2: 2, 3: 3, 4: 2, 5: 2, 6: 2}
 
 
+def test_whole_names_are_followed(spark):
+    texts = ["Ms Anna Maria Klug", "Mrs. Mary-Jane O'Neil-Smith left", "Mr. John Doe wrote. John Doe left, then Doe Doe and Then John Doe came", "Dr. Anna Klug, Prof. Dr. Max Lee, Miss Klug",
+             "Mr. Γιώργος Παπαδόπουλος met Παπαδόπουλος", "Frau A. von Klug and Klug. Kluge klug", "Mrs. Robin Vogt", "Dr. Robin Vogt", "a" + pii.MARK + "b Mr. Doe", "John Doe and Klug without a title"]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    anna = got[0].text.split()
+    assert len(anna) == 4 and anna[0] == "Ms" and anna[1] in pii.GIVEN["f", "latin"] and anna[2] in pii.GIVEN["f", "latin"] and anna[3] != "Klug"
+    mary = got[1].text.split()
+    assert mary[3:] == ["left"] and all(x in pii.GIVEN["f", "latin"] for x in mary[1].split("-")) and mary[2].startswith("O'") and mary[2].count("-") == 1 and not {"Neil", "Smith", "Mary", "Jane"} & set(got[1].text.replace("'", " ").replace("-", " ").split())
+    name = got[2].text.removeprefix("Mr. ").split(" wrote. ")[0]
+    doe = name.split()[1]
+    assert got[2].text == f"Mr. {name} wrote. {name} left, then {doe} {doe} and Then {name} came" and "Doe" not in name and got[2].n_entities == 1
+    assert got[3].text.split(", ")[2] == f"Miss {anna[3]}" and got[3].text.startswith("Dr. ") and f" {anna[3]}, Prof. Dr. " in got[3].text and "Lee" not in got[3].text
+    george = got[4].text.split()
+    assert george[1] in pii.GIVEN["m", "greek"] and george[2] == george[4] != "Παπαδόπουλος" and all("α" <= c.lower() <= "ω" for c in george[2])
+    assert got[5].text.split()[2] == "von" and got[5].text.split()[1].endswith(".") and got[5].text.endswith(f" {anna[3]} and {anna[3]}. Kluge klug")
+    assert got[6].text.removeprefix("Mrs. ") == got[7].text.removeprefix("Dr. ") and got[7].text.split()[1] in pii.GIVEN["f", "latin"]
+    assert got[8].text == "a" + pii.MARK + f"b Mr. {doe}" and got[9].text == texts[9] and got[9].n_entities == 0
+
+
+def test_surrogates_of_null_ids_and_long_texts(spark):
+    long = "plain words of no one " * 20_000 + "Mr. John Doe " + "and Doe too " * 500
+    df = spark.createDataFrame([(None, "ip 42.144.35.254"), (None, None), (None, "ip 42.144.35.254"), (1, long)], "doc_id long, text string")
+    got = pii.pseudonymize(df, "k").collect()
+    assert len(got) == 4 and sorted(r.n_entities for r in got) == [0, 1, 1, 1]
+    text = next(r.text for r in got if r.doc_id == 1)
+    assert "Doe" not in text and text.startswith("plain words of no one " * 20_000) and text.count(" too ") == 500
+
+
 def test_values_without_letters_or_digits_are_no_secrets(spark):
     df = spark.createDataFrame([(1, "Password: ________"), (2, "token=......")], "doc_id long, text string")
     assert {(r.doc_id, r.text, r.n_entities) for r in pii.pseudonymize(df, "k").collect()} == {(1, "Password: ________", 0), (2, "token=......", 0)}
