@@ -17,9 +17,12 @@ these texts' shingles are sent. Groups are the connected components of the links
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,17 @@ AGAIN = 3
 #: A bucket is not split where its texts' next buckets hold, on average, this share of it.
 DENSE = 0.5
 MAP_BITS = 512
+#: Bytes that a task takes from or puts into an Arrow batch at a time, about.
+BATCH = 1 << 22
+#: Postings that are counted at a time.
+POSTINGS = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about size bytes of text; a longer text begins a piece."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // size)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -95,9 +109,12 @@ def _overlaps(sets: list[np.ndarray]) -> list[np.ndarray]:
     for s in sets:
         own = number[off : off + len(s)]
         off += len(s)
-        n = df[own]
-        at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        out.append(np.bincount(posting[at], minlength=len(sets)))
+        shared = np.zeros(len(sets), np.int64)
+        for part in np.split(own, np.flatnonzero(np.diff(np.cumsum(df[own]) // POSTINGS)) + 1):
+            n = df[part]
+            at = np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            shared += np.bincount(posting[at], minlength=len(sets))
+        out.append(shared)
     return out
 
 
@@ -209,10 +226,11 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     longs, order = pa.list_(pa.int64()), ["node", "b0", "b1", "c"]
 
     def emit(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             known: dict[str, tuple] = {}  # copies often stand together
-            who = [xxhash.xxh3_128_hexdigest(t) for t in b.column("text").to_pylist()]
-            for c, text in zip(who, b.column("text").to_pylist(), strict=True):
+            texts = b.column("text").to_pylist()
+            who = [xxhash.xxh3_128_hexdigest(t) for t in texts]
+            for c, text in zip(who, texts, strict=True):
                 if c not in known:
                     s = shingles(text)
                     known[c] = (children(s, seeds, threshold)[0], len(s), parity_map(s))
@@ -229,7 +247,7 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     def below(batches):
         """For each text and bucket of it, what it samples on."""
         again = np.arange(AGAIN, dtype=np.uint64)
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             cols: list[list] = [[], [], [], []]
             for c, text, nodes in zip(b.column("c").to_pylist(), b.column("text").to_pylist(), b.column("nodes").to_pylist(), strict=True):
                 parents = np.array([x["node"] for x in nodes], np.int64)
@@ -269,27 +287,39 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
 
     def useful(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        return pdf[with_partner(pdf, threshold)][["c", "node", "b0", "b1", "side", "earlier"]]
+        return pdf[with_partner(pdf, threshold)][["c", "n", "node", "b0", "b1", "side", "earlier"]]
 
-    kept = _dealt(here, nodes.count() // 20_000 + 1).applyInPandas(useful, "c string, node long, b0 int, b1 int, side int, earlier array<long>")
+    kept = _dealt(here, nodes.count() // 20_000 + 1).applyInPandas(useful, "c string, n int, node long, b0 int, b1 int, side int, earlier array<long>")
     wanted = materialize(kept.join(reps, "c"), "path_wanted")
     want = wanted.groupBy("doc_id", "th", "c").agg(F.collect_list(F.struct("node", "b0", "b1", "side", "earlier")).alias("want"))
     schema = pa.schema([("node", pa.int64()), ("b0", pa.int32()), ("b1", pa.int32()), ("side", pa.int32()), ("earlier", longs), ("c", pa.string()), ("own", pa.binary())])
 
     def sets(batches):
-        for b in batches:
-            rows = []
+        """A row for each bucket that a text is wanted in: a text's set may go out many times, so batches are closed by their bytes."""
+        rows, held = [], 0
+
+        def close():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        for b in (x for whole in batches for x in slices(whole)):
             for c, text, want in zip(b.column("c").to_pylist(), b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
                 own = shingles(text).tobytes()
-                rows += [(w["node"], w["b0"], w["b1"], w["side"], w["earlier"], c, own) for w in want]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                for w in want:
+                    rows.append((w["node"], w["b0"], w["b1"], w["side"], w["earlier"], c, own))
+                    held += len(own) + 8 * len(w["earlier"])
+                    if held >= BATCH:
+                        yield close()
+                        rows, held = [], 0
+        if rows:
+            yield close()
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         return linked(pdf.drop_duplicates(order).sort_values(order, kind="stable", ignore_index=True), threshold)  # a repeated row brings its set twice
 
     dealt = same(sieved(base, wanted).hint("merge"), want).select("c", "text", "want").mapInArrow(sets, "node long, b0 int, b1 int, side int, earlier array<long>, c string, own binary")
-    found = materialize(_dealt(dealt, wanted.count() // 1000 + 1).applyInPandas(verify, "c string, links long, peer string"), "path_links")
+    facts = wanted.agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).first()
+    groups = max(facts["rows"] // 1000, (facts["shingles"] or 0) // POSTINGS) + 1
+    found = materialize(_dealt(dealt, groups).applyInPandas(verify, "c string, links long, peer string"), "path_links")
     links = found.groupBy("c").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("c").alias("a"), F.col("peer").alias("b")))
     out = every.select("doc_id", "th", "c").join(links, "c", "left").join(roots.withColumnRenamed("v", "c"), "c", "left")

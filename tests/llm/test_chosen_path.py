@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyweir.llm import chosenpath
@@ -29,3 +31,22 @@ def test_maps_bound_the_difference():
     b = chosenpath.shingles(" ".join(rng.choices("abcdef", k=300)).encode())
     apart = sum(bin(x ^ y).count("1") for x, y in zip(chosenpath.parity_map(a), chosenpath.parity_map(b), strict=True))
     assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_batches_are_cut_by_bytes():
+    texts = [b"", b"a" * 10, b"b" * 25, b"", b"c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    for size in (1, 8, 1000):
+        pieces = [x.column("text").to_pylist() for x in chosenpath.slices(batch, size)]
+        assert [t for x in pieces for t in x] == texts
+        assert all(sum(map(len, x[1:])) <= size for x in pieces)
+    assert sum(x.num_rows for x in chosenpath.slices(batch.slice(0, 0))) == 0
+
+
+def test_overlaps_in_parts(monkeypatch):
+    rng = random.Random(7)
+    sets = [np.unique(np.array(rng.choices(range(60), k=k), np.uint64)) for k in (40, 1, 25, 60)]
+    plain = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for postings in (1, 7, 1 << 20):
+        monkeypatch.setattr(chosenpath, "POSTINGS", postings)
+        assert [x.tolist() for x in chosenpath._overlaps(sets)] == plain
