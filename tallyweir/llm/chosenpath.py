@@ -4,7 +4,8 @@ A text is the set of its five-word shingles. In each run a keyed hash samples sh
 1/threshold of them; each sampled shingle leads to a bucket, and texts that share it meet there. Buckets of up to
 ``LIMIT`` texts are compared exhaustively and exactly. The texts of a larger bucket sample again, ``AGAIN`` times over, and split
 on, unless they are so alike that most share every shingle: these, and what is still large at the last level, are compared
-block by block. A similar pair meets in one run with a known probability, and runs are repeated until a pair at the threshold
+block by block. Which buckets these are is estimated from about ``PROBE`` texts each; that chooses between two ways that both take
+all texts of the bucket. A similar pair meets in one run with a known probability, and runs are repeated until a pair at the threshold
 is met with the target recall; pairs that are more alike are met more surely.
 
 Equal texts are one class and joined once. A pair is compared only in the first bucket (by key) it shares, so every
@@ -38,6 +39,8 @@ LIMIT = 512
 AGAIN = 3
 #: A bucket is not split where its texts' next buckets hold, on average, this share of it.
 DENSE = 0.5
+#: Texts of a larger bucket, about, by which that share is estimated before the others sample on.
+PROBE = 512
 MAP_BITS = 512
 #: Bytes that a task takes from or puts into an Arrow batch at a time, about.
 BATCH = 1 << 22
@@ -258,19 +261,26 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
                     cols[k] += x
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["c", "node", "parent", "parent_size"])
 
+    def sampled_on(rows: DataFrame, name: str) -> DataFrame:
+        """c, node, parent, parent_size: what the texts (c) of the buckets (node, size) of rows sample on under each."""
+        want = materialize(rows.join(reps, "c").groupBy("doc_id", "th", "c").agg(F.collect_list(F.struct("node", "size")).alias("nodes")), "path_asked")
+        on = same(sieved(base, want).hint("merge"), want).select("c", "text", "nodes").mapInArrow(below, "c string, node long, parent long, parent_size long").distinct()
+        return materialize(on, name)
+
     first = materialize(sized(classes.select("c", F.explode("keys").alias("node")).distinct()), "path_nodes")
     terminal, large = [first.filter(F.col("size") <= limit)], first.filter(F.col("size") > limit)
     for _ in range(LEVELS - 1):
         if large.isEmpty():
             break
-        want = materialize(large.join(reps, "c").groupBy("doc_id", "th", "c").agg(F.collect_list(F.struct("node", "size")).alias("nodes")), "path_asked")
-        on = same(sieved(base, want).hint("merge"), want).select("c", "text", "nodes").mapInArrow(below, "c string, node long, parent long, parent_size long").distinct()
-        on = materialize(on, "path_children")
+        # whether a bucket divides is told by some of its texts: those of a dense one are compared block by block, so all the others need not sample
+        some = large.filter(F.pmod(F.xxhash64("node", "c"), F.col("size")) < PROBE).select("c", "node")
+        on = sampled_on(sized(some), "path_probes")
         counts = on.groupBy("node", "parent", "parent_size").agg(F.count("*").alias("size"))
         # a text's next buckets hold size rows each, so the mean over texts weighs each bucket by its size
         dense = materialize(counts.groupBy("parent").agg((F.sum(F.col("size") * F.col("size")) / F.sum("size") / F.first("parent_size")).alias("share")).filter(F.col("share") >= DENSE).select("parent"), "path_dense")
         terminal.append(large.join(dense.select(F.col("parent").alias("node")), "node", "left_semi"))
-        split = materialize(sized(on.join(dense, "parent", "left_anti").select("c", "node")), "path_nodes")
+        on = sampled_on(large.join(dense.select(F.col("parent").alias("node")), "node", "left_anti"), "path_children")
+        split = materialize(sized(on.select("c", "node")), "path_nodes")
         terminal.append(split.filter(F.col("size") <= limit))
         large = split.filter(F.col("size") > limit)
     nodes = large

@@ -50,3 +50,22 @@ def test_overlaps_in_parts(monkeypatch):
     for postings in (1, 7, 1 << 20):
         monkeypatch.setattr(chosenpath, "POSTINGS", postings)
         assert [x.tolist() for x in chosenpath._overlaps(sets)] == plain
+
+
+def test_only_some_texts_of_a_dense_bucket_sample_on(spark, monkeypatch):
+    rng, made = random.Random(8), []
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+    common, write = words(120), chosenpath.materialize
+    rows = [(k, " ".join(common + words(2))) for k in range(400)]  # 116 of 120 shingles are common
+
+    def counted(df, name):
+        out = write(df, name)
+        if "parent_size" in df.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosenpath, "materialize", counted)
+    monkeypatch.setattr(chosenpath, "PROBE", 40, raising=False)
+    got = chosenpath.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), limit=32).collect()
+    assert {r.n_links for r in got} == {399} and len({r.root for r in got}) == 1
+    assert 0 < sum(made) < 6000  # 400 texts in 12 buckets make 18,000
