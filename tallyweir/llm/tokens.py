@@ -9,6 +9,8 @@ any-store writes; the rank table stands beside them.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -153,6 +155,16 @@ def encoder(path: str) -> Encoder:
     return _workers[path]
 
 
+def forget() -> None:
+    """Gives back what encoders hold in this worker: workers are used again by other stages, which need the memory."""
+    if _workers:
+        _workers.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+            trim(0)
+
+
 def _planes(values: np.ndarray, width: int) -> bytes:
     return zstandard.compress(np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), 3)
 
@@ -253,6 +265,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 0) -> None:
     shared = spark.sparkContext.broadcast(rank)
 
     def encode(batches):
+        forget()
         for pdf in batches:
             coded = [encode_ids(shared.value[_unplanes(raw, 4)]) for raw in pdf["raw"]]
             yield pdf.drop(columns="raw").assign(control=[c for c, _ in coded], data=[d for _, d in coded])

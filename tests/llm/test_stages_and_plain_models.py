@@ -8,7 +8,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyweir.llm import langid, simhash
+from tallyweir.llm import langid, simhash, tokens
+from tallyweir.llm.queries import TOKENIZER
 
 EXTRA = {"a.b": "x", "__tw_rid": "y", "shard": "z", "th": "w", "ti`ck": "v"}
 
@@ -108,3 +109,16 @@ def test_training_equals_plain_loops():
                     table[a][d] -= step * min(50.0, 1 / sum(v * v for v in share)) * s * back[d]
             done += 1
     assert np.abs(model.logits[:40] - (table[:40] @ np.array(weights))).max() < 1e-5 and model.languages == ["de", "en"]
+
+
+def test_workers_keep_no_encoder_after_the_token_files(spark):
+    docs = spark.createDataFrame([(k, f"word{k} and other words") for k in range(40)], "doc_id long, text string")
+    assert tokens.tokens_round_trip(docs, TOKENIZER).count() == 40
+
+    def held(batches):
+        from tallyweir.llm import tokens as own
+
+        for pdf in batches:
+            yield pdf.assign(id=len(own._workers))
+
+    assert {r["id"] for r in spark.range(64, numPartitions=16).mapInPandas(held, "id long").collect()} == {0}
