@@ -123,17 +123,17 @@ def same(left: DataFrame, right: DataFrame, how: str = "inner", keys: tuple[str,
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{k}" for k in keys])
 
 
-def sieved(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose (doc_id, th) is among keys and a few others, so that a join with keys need not shuffle texts it drops.
+def sieved(rows: DataFrame, keys: DataFrame, by: tuple[str, ...] = ("doc_id", "th"), how: str = "left_semi") -> DataFrame:
+    """The rows whose (doc_id, th), or what by names, is among keys and a few others, so that a join with keys need not shuffle texts it drops. left_anti: all other rows.
 
     A bit for each key's hash is set in a bitmap of SIEVE_WORDS longs, which is broadcast. Its size does not grow with the
     keys; with very many of them it lets more rows through, never fewer. Null doc_ids are keys like others.
     """
-    h = F.xxhash64("doc_id", "th")
+    h = F.xxhash64(*by)
     word, bit = h.bitwiseAND(F.lit(SIEVE_WORDS - 1)), F.shiftrightunsigned(h, 58).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     bitmap = keys.groupBy(word.alias("__tw_word")).agg(F.bit_or(one).alias("__tw_bits"))
-    return rows.join(F.broadcast(bitmap), (word == F.col("__tw_word")) & (F.getbit("__tw_bits", bit) == 1), "left_semi")
+    return rows.join(F.broadcast(bitmap), (word == F.col("__tw_word")) & (F.getbit("__tw_bits", bit) == 1), how)
 
 
 def keep_rows(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:

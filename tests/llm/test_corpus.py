@@ -342,6 +342,27 @@ def test_near_lines_against_all_pairs(spark):
     assert {r.doc_id for r in linedup.near_lines(df).collect()} == want
 
 
+def test_lines_that_share_words_do_not_meet(spark):
+    """Shuffled bytes follow the lines where unlike long lines share words of a bounded vocabulary; each word occurs in fewer than 512 of them."""
+    words = [f"w{i:05d}" for i in range(6000)]
+    rows = [(i, " ".join(rng.sample(words, 150))) for i in range(6000)]
+    rows += [(6000 + i, rows[i][1].replace(" ", " other ", 1)) for i in range(50)]
+    store = spark._jsc.sc().statusStore()
+
+    def shuffled(n):
+        before = sum(e.totalShuffleWrite() for e in _all(store.executorList(False)))
+        out = {r.doc_id for r in linedup.near_lines(spark.createDataFrame(rows[:n] + rows[6000:], "doc_id long, text string")).collect()}
+        return out, sum(e.totalShuffleWrite() for e in _all(store.executorList(False))) - before
+
+    (few, small), (many, large) = shuffled(1500), shuffled(6000)
+    assert few == many == set(range(6000, 6050))
+    assert large < 6 * small
+
+
+def _all(seq):
+    return [seq.apply(k) for k in range(seq.size())]
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     for f in (suffix.dedup_bytes, recompression.dedup_words, chosenpath.near_duplicates, simhash.edited_likeness, linedup.line_counts):
